@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from registry import records as rec
 from spanwise.operators.derive import with_priority_group
 from spanwise.plans.extract import cohort_extract, dose_index
 from spanwise.plans.process import derive_cohort, exclude
+from spanwise.sources.extract import flags_to_int, normalise_missing
 from spanwise.sources.snapshots import snapshot
 
 
@@ -39,6 +41,15 @@ class Study:
         """Dose dates, stored because every index-relative query starts from them."""
         return self._store("doses", lambda: dose_index(rec.records(self.spark, self.sf_dir), self.codelists, rec.DATES))
 
+    @property
+    def index(self) -> DataFrame:
+        """People with both doses."""
+        return self.doses.where(F.col("dose_2").isNotNull())
+
+    @property
+    def cleaned(self) -> DataFrame:
+        return flags_to_int(normalise_missing(self.extract))
+
     @property
     def extract(self) -> DataFrame:
         return self._store("extract", self.build_extract)

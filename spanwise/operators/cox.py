@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,19 @@ def outcome_rows(df: DataFrame, outcomes: Sequence[Outcome], keep: Sequence[str]
     )
 
 
-def cells(rows: DataFrame, terms: Mapping[str, Column], model: str) -> DataFrame:
-    """Counts by outcome, day and covariate values ``x0, x1, …``; rows with an unknown covariate are dropped."""
-    xs = [c.cast("double").alias(f"x{i}") for i, c in enumerate(terms.values())]
-    known = rows.select("outcome", "time", "event", *xs).dropna()
-    return known.groupBy("outcome", "time", *[f"x{i}" for i in range(len(xs))]).agg(
+def outcome_cells(df: DataFrame, outcomes: Sequence[Outcome], covariates: Sequence[str]) -> DataFrame:
+    """People and events by outcome, day and covariate values; unknown covariates are dropped."""
+    rows = outcome_rows(df, outcomes, covariates).dropna(subset=list(covariates))
+    return rows.groupBy("outcome", "time", *covariates).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("event").cast("bigint")).alias("d")
+    )
+
+
+def model_cells(counted: DataFrame, terms: Sequence[Column], model: str) -> DataFrame:
+    """The cells of one model with its covariates as ``x0, x1, …``."""
+    xs = [c.cast("double").alias(f"x{i}") for i, c in enumerate(terms)]
+    return counted.select("outcome", "time", "n", "d", *xs).groupBy("outcome", "time", *[f"x{i}" for i in range(len(xs))]).agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d")
     ).withColumn("model", F.lit(model))
 
 
@@ -184,12 +192,13 @@ def cox_ph(
     models: Sequence[str] = ("unadjusted", "age adjusted"), age_center: float = 50.0,
 ) -> DataFrame:
     """Hazard ratios of each level against the first, without and with age, for every outcome."""
-    rows = outcome_rows(df, outcomes, [factor, age]).where(F.col(factor).isin(*levels) & F.col(age).isNotNull())
+    known = df.where(F.col(factor).isin(*levels))
+    base = outcome_cells(known, outcomes, [factor, age]).persist()
     dummies = {f"{factor}{level}": (F.col(factor) == level).cast("double") for level in levels[1:]}
     years = {"unadjusted": F.lit(0.0), "age adjusted": (F.col(age) - age_center) / 10.0}
-    parts = [cells(rows, dummies | {"age": years[m]}, m) for m in models]
-    counted = parts[0]
-    for part in parts[1:]:
-        counted = counted.unionByName(part)
-    fits = fit(counted, len(dummies) + 1)
+    parts = [model_cells(base, [*dummies.values(), years[m]], m) for m in models]
+    try:
+        fits = fit(reduce(DataFrame.unionByName, parts), len(dummies) + 1)
+    finally:
+        base.unpersist()
     return tidy(df.sparkSession, fits, {m: [*dummies, None] for m in models})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +63,28 @@ def _numeric_summary(cells: DataFrame, by: Sequence[str], threshold: int) -> Dat
     return wide.select(*by, *[F.when(~F.col("redacted"), F.col(c)).alias(c) for c in names], "redacted")
 
 
+def properties(
+    df: DataFrame, threshold: int = 5, id_suffix: str = "_id",
+    stage: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
+) -> DataFrame:
+    """Redacted summary of every column by type: numbers and dates (in days since 1970) by position, text by level.
+
+    Values are counted once for all columns; ``stage`` may store these counts, which several steps read.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if not f.name.endswith(id_suffix)}
+    counts = stage(column_counts(df, list(kinds)), "counts")
+    text = [c for c, k in kinds.items() if k in ("string", "boolean")]
+    dates = [c for c, k in kinds.items() if k == "date"]
+    number = F.when(F.col("column").isin(*dates), _as_number("date")).otherwise(_as_number("double"))
+    numeric = _numeric_summary(
+        counts.where(~F.col("column").isin(*text)).withColumn("value", number), ["column"], threshold)
+    kind = F.when(F.col("column").isin(*dates), "date").otherwise("number")
+    levels = _level_summary(
+        counts.where(F.col("column").isin(*text)).select("column", F.coalesce("text", F.lit(MISSING)).alias("level"), "n"), threshold, 1)
+    return numeric.withColumn("kind", kind).unionByName(
+        levels.withColumn("kind", F.lit("category")), allowMissingColumns=True)
+
+
 def summary_numeric(df: DataFrame, columns: Sequence[str], threshold: int = 5) -> DataFrame:
     """Count, missing, distinct, moments, range and inverse-distribution quantiles of each column."""
     cells = column_counts(df, columns).withColumn("value", F.col("text").try_cast("double"))
@@ -117,6 +139,10 @@ def summary_categorical(
         extra = counts.where((F.col("column") == column) & ~F.col("level").isin(*declared)).drop("column")
         counts = counts.where(F.col("column") != column).unionByName(
             own.unionByName(extra).select(F.lit(column).alias("column"), "level", "n"))
+    return _level_summary(counts, threshold, accuracy)
+
+
+def _level_summary(counts: DataFrame, threshold: int, accuracy: int) -> DataFrame:
     rounded = counts.withColumn("n", round_to_base(F.col("n"), float(accuracy)).cast("bigint"))
     last = (F.col("level") == MISSING).cast("int")
     full = rounded.withColumns(_shares("n", "level", ["column"], "n")).withColumn(
