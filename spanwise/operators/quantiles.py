@@ -12,7 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
+BLOCK = 16
+SLICES = BLOCK * BLOCK
+
+
+def slice_of(cuts: Column, heads: Column, value: Column) -> Column:
+    """How many cut points lie below the value: whole blocks first (``heads`` ends each block), then one block."""
+    whole = F.size(F.filter(heads, lambda c: c < value)) * BLOCK
+    return whole + F.size(F.filter(F.slice(cuts, whole + 1, F.lit(BLOCK)), lambda c: c < value))
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -36,10 +43,8 @@ def quantiles(cells: DataFrame, by: Sequence[str], probs: Sequence[float], kind:
     cuts = cells.groupBy(*by).agg(
         F.sum("n").alias("total"),
         F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 10_000).alias("cuts"),
-    )
-    sliced = cells.join(cuts, by).withColumn(
-        "slice", F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    )
+    ).withColumn("heads", F.filter("cuts", lambda c, i: i % BLOCK == BLOCK - 1))
+    sliced = cells.join(cuts, by).withColumn("slice", slice_of(F.col("cuts"), F.col("heads"), F.col("value")))
     wanted = F.array_sort(F.array_distinct(F.array(*[r for p in probs for r in ranks(F.col("total"), p, kind)])))
     order = Window.partitionBy(*by).orderBy("slice")
     slices = (
