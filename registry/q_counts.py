@@ -74,7 +74,7 @@ def _valid_at_test(st):
     """Region valid on the day of a person's first positive test."""
     from spanwise.operators.spells import attribute_as_of
     first = st.records("tests").where("positive").groupBy("patient_id").agg(F.min("event_date").alias("tested"))
-    return first.join(attribute_as_of(first, st.records("registrations"), C("tested"), "region", "region"), "patient_id")
+    return ft.join_all(first, attribute_as_of(first, st.records("registrations"), C("tested"), "region", "region"))
 
 
 add("interval_as_of_join", _valid_at_test, on_records("""SELECT f.patient_id, f.tested, v.region FROM
@@ -253,7 +253,8 @@ def _cat_counts(cols, source="cohort"):
 
 
 _CAT = [
-    f"counted AS (SELECT *, CAST(lvl = '(missing)' AS INTEGER) AS ord FROM ({_cat_counts(_CATS)} UNION ALL SELECT 'bpcat', 'Very high', 0))", MASK,
+    f"""counted AS (SELECT margin, lvl, CAST(sum(n) AS BIGINT) AS n, CAST(lvl = '(missing)' AS INTEGER) AS ord FROM ({_cat_counts(_CATS)}
+    UNION ALL SELECT 'bpcat', unnest([{", ".join(f"'{x}'" for x in _BP_LEVELS)}]), 0) GROUP BY 1, 2)""", MASK,
 ]
 CAT_SELECT = """SELECT margin AS "column", lvl AS level, CASE WHEN NOT mask THEN n END AS n,
 CASE WHEN NOT mask THEN round(n / CAST(sum(n) OVER (PARTITION BY margin) AS DOUBLE), 6) END AS pct,

@@ -154,10 +154,16 @@ add(
 )
 
 # spells ---------------------------------------------------------------------------------------------------------
+
+
+def _everyone(st, part):
+    return ft.join_all(st.index.select("patient_id"), part)
+
+
 _HELD = "r.start_date <= dose_2{plus} AND (r.end_date IS NULL OR r.end_date > dose_2{plus})"
 add(
     "deregistration_date",
-    lambda st: spells.deregistration_date(st.index, st.records("registrations"), d2(), stop(), "dereg_date"),
+    lambda st: _everyone(st, spells.deregistration_date(st.index, st.records("registrations"), d2(), stop(), "dereg_date")),
     on_records(f"""SELECT d.patient_id, CASE WHEN NOT bool_or(r.end_date IS NULL) AND max(r.end_date) BETWEEN any_value(dose_2) AND {END}
     THEN max(r.end_date) END AS dereg_date FROM doses d LEFT JOIN registration r ON r.patient_id = d.patient_id GROUP BY 1"""),
 )
@@ -177,12 +183,12 @@ def _as_of(table: str, attribute: str, held: str) -> str:
 
 add(
     "practice_attr_as_of",
-    lambda st: spells.attribute_as_of(st.index, st.records("registrations"), d2(), "region", "region"),
+    lambda st: _everyone(st, spells.attribute_as_of(st.index, st.records("registrations"), d2(), "region", "region")),
     on_records(_as_of("registration", "region", _HELD.format(plus=""))),
 )
 add(
     "address_attr_as_of",
-    lambda st: spells.attribute_as_of(st.index, st.records("addresses"), d2(), "deprivation_rank", "deprivation_rank")
+    lambda st: _everyone(st, spells.attribute_as_of(st.index, st.records("addresses"), d2(), "deprivation_rank", "deprivation_rank"))
     .withColumn("deprivation_rank", round_to_base(F.col("deprivation_rank").cast("double"), 100.0)),
     on_records(f"""SELECT patient_id, {to_base('CAST(deprivation_rank AS DOUBLE)', '100.0')} AS deprivation_rank
     FROM ({_as_of('address', 'deprivation_rank', 'r.start_date <= dose_2')})"""),

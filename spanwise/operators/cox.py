@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.operators.wald import wald
@@ -56,72 +56,63 @@ def model_cells(counted: DataFrame, terms: Sequence[Column], model: str) -> Data
     ).withColumn("model", F.lit(model))
 
 
-def _series(x: Column) -> tuple[Column, Column, Column]:
-    """Asymptotic log-gamma, digamma and trigamma of large arguments."""
-    i, i2 = 1.0 / x, 1.0 / (x * x)
-    lgamma = (x - 0.5) * F.ln(x) - x + 0.9189385332046727 + i / 12.0 - i * i2 / 360.0 + i * i2 * i2 / 1260.0
-    digamma = F.ln(x) - i / 2.0 - i2 / 12.0 + i2 * i2 / 120.0 - i2 * i2 * i2 / 252.0
-    trigamma = i + i2 / 2.0 + i * i2 / 6.0 - i * i2 * i2 / 30.0 + i * i2 * i2 * i2 / 42.0
+def _series(x: str) -> tuple[str, str, str]:
+    """Asymptotic log-gamma, digamma and trigamma of large arguments, as SQL text."""
+    lgamma = f"(({x} - 0.5) * ln({x}) - {x} + 0.9189385332046727D + 1D / (12 * {x}) - 1D / (360 * pow({x}, 3)) + 1D / (1260 * pow({x}, 5)))"
+    digamma = f"(ln({x}) - 1D / (2 * {x}) - 1D / (12 * pow({x}, 2)) + 1D / (120 * pow({x}, 4)) - 1D / (252 * pow({x}, 6)))"
+    trigamma = f"(1D / {x} + 1D / (2 * pow({x}, 2)) + 1D / (6 * pow({x}, 3)) - 1D / (30 * pow({x}, 5)) + 1D / (42 * pow({x}, 7)))"
     return lgamma, digamma, trigamma
 
 
-def tie_sums(s0: Column, e0: Column, d: Column) -> tuple[Column, Column, Column]:
-    """Sums over tied events of ``log f``, ``1/f`` and ``1/f**2`` with ``f_l = s0 - l/d * e0``."""
-    def exact(term) -> Column:
-        steps = F.sequence(F.lit(0), (d - 1).cast("int"))
-        return F.aggregate(steps, F.lit(0.0), lambda acc, l: acc + term(s0 - l / d * e0))
+def tie_sums(s0: str = "s0", e0: str = "e0", d: str = "d", exact_up_to: int = EXACT_TIES) -> tuple[str, str, str]:
+    """Sums over tied events of ``ln f``, ``1/f`` and ``1/f**2`` with ``f_l = s0 - l/d * e0``, as SQL text."""
+    def exact(term: str) -> str:
+        f = f"({s0} - l / {d} * {e0})"
+        return f"aggregate(sequence(0, cast({d} - 1 as int)), 0D, (acc, l) -> acc + {term.replace('f', f)})"
 
     # f_l = (e0/d) * (a - l) with a = d * s0 / e0, so the sums are differences of gamma functions
-    unit = e0 / d
-    top, bottom = s0 / unit + 1.0, s0 / unit - d + 1.0
-    lg_t, dg_t, tg_t = _series(top)
-    lg_b, dg_b, tg_b = _series(bottom)
-    smooth = (d > EXACT_TIES) & (bottom > 30.0)
+    unit = f"({e0} / {d})"
+    top, bottom = f"({s0} / {unit} + 1)", f"({s0} / {unit} - {d} + 1)"
+    (lg_t, dg_t, tg_t), (lg_b, dg_b, tg_b) = _series(top), _series(bottom)
+    smooth = f"{d} > {exact_up_to} AND {bottom} > 30"
     return (
-        F.when(smooth, d * F.ln(unit) + lg_t - lg_b).otherwise(exact(F.ln)),
-        F.when(smooth, (dg_t - dg_b) / unit).otherwise(exact(lambda f: 1.0 / f)),
-        F.when(smooth, (tg_b - tg_t) / (unit * unit)).otherwise(exact(lambda f: 1.0 / (f * f))),
+        f"CASE WHEN {smooth} THEN {d} * ln({unit}) + {lg_t} - {lg_b} ELSE {exact('ln(f)')} END",
+        f"CASE WHEN {smooth} THEN ({dg_t} - {dg_b}) / {unit} ELSE {exact('1D / f')} END",
+        f"CASE WHEN {smooth} THEN ({tg_b} - {tg_t}) / ({unit} * {unit}) ELSE {exact('1D / (f * f)')} END",
     )
 
 
 def partial_likelihood(counted: DataFrame, betas: DataFrame, p: int) -> DataFrame:
     """Log likelihood ``ll``, score ``u*`` and information ``i*_*`` per outcome and model at given coefficients.
 
-    ``betas`` has one row per outcome and model with columns ``b0 … b(p-1)``.
+    ``betas`` has one row per outcome and model with columns ``b0 … b(p-1)``. Expressions are SQL text: a Newton
+    step builds the same plan again, and text is far quicker to assemble than nested Column objects.
     """
     pairs = [(j, k) for j in range(p) for k in range(j, p)]
-    x = [F.col(f"x{j}") for j in range(p)]
-    xb = sum((x[j] * F.col(f"b{j}") for j in range(1, p)), x[0] * F.col("b0"))
-    weighted = counted.join(F.broadcast(betas), ["outcome", "model"]).withColumn("xb", xb)
-    nw, dw = F.col("n") * F.exp("xb"), F.col("d") * F.exp("xb")
-    sums = [F.sum(nw).alias("s0"), F.sum(dw).alias("e0"), F.sum("d").cast("double").alias("d"),
-            F.sum(F.col("d") * F.col("xb")).alias("dxb")]
-    for j in range(p):
-        sums += [F.sum(nw * x[j]).alias(f"s{j}_"), F.sum(dw * x[j]).alias(f"e{j}_"), F.sum(F.col("d") * x[j]).alias(f"dx{j}")]
-    for j, k in pairs:
-        sums += [F.sum(nw * x[j] * x[k]).alias(f"s{j}_{k}"), F.sum(dw * x[j] * x[k]).alias(f"e{j}_{k}")]
-    daily = weighted.groupBy("outcome", "model", "time").agg(*sums)
+    moments = {"0": "1D"} | {f"{j}_": f"x{j}" for j in range(p)} | {f"{j}_{k}": f"x{j} * x{k}" for j, k in pairs}
+    linear = " + ".join(f"x{j} * b{j}" for j in range(p))
+    weighted = counted.join(F.broadcast(betas), ["outcome", "model"]).selectExpr("*", f"{linear} AS xb").selectExpr(
+        "*", "n * exp(xb) AS nw", "d * exp(xb) AS dw")
+    sums = ["cast(sum(d) as double) AS d", "sum(d * xb) AS dxb", *[f"sum(d * x{j}) AS dx{j}" for j in range(p)]]
+    sums += [f"sum(nw * {x}) AS s{m}" for m, x in moments.items()] + [f"sum(dw * {x}) AS e{m}" for m, x in moments.items()]
+    daily = weighted.groupBy("outcome", "model", "time").agg(*[F.expr(e) for e in sums])
     # at most one row per model and day from here on
-    backwards = Window.partitionBy("outcome", "model").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = ["s0", *[f"s{j}_" for j in range(p)], *[f"s{j}_{k}" for j, k in pairs]]
-    at_risk = daily.select(
-        "outcome", "model", "d", "dxb", "e0", *[F.sum(c).over(backwards).alias(c) for c in risk],
-        *[f"e{j}_" for j in range(p)], *[f"e{j}_{k}" for j, k in pairs], *[f"dx{j}" for j in range(p)],
-    ).where(F.col("d") > 0)
-    r0, r1, r2 = tie_sums(F.col("s0"), F.col("e0"), F.col("d"))
-    tied = at_risk.withColumns({"r0": r0, "r1": r1, "r2": r2}).withColumns(
-        {f"r_{j}": F.col(f"e{j}_") / F.col("e0") for j in range(p)}
-    ).withColumns({f"u_{j}": F.col(f"s{j}_") - F.col(f"r_{j}") * F.col("s0") for j in range(p)})
-    d, c1, c2 = F.col("d"), F.col("r1"), F.col("r2")
-    out = [F.sum(F.col("dxb") - F.col("r0")).alias("ll"), F.sum("d").cast("bigint").alias("events")]
-    for j in range(p):
-        out.append(F.sum(F.col(f"dx{j}") - d * F.col(f"r_{j}") - F.col(f"u_{j}") * c1).alias(f"u{j}"))
-    for j, k in pairs:
-        rj, rk, uj, uk = F.col(f"r_{j}"), F.col(f"r_{k}"), F.col(f"u_{j}"), F.col(f"u_{k}")
-        second = d * F.col(f"e{j}_{k}") / F.col("e0") + (F.col(f"s{j}_{k}") - F.col(f"e{j}_{k}") / F.col("e0") * F.col("s0")) * c1
-        square = d * rj * rk + (rj * uk + uj * rk) * c1 + uj * uk * c2
-        out.append(F.sum(second - square).alias(f"i{j}_{k}"))
-    return tied.groupBy("outcome", "model").agg(*out)
+    back = "OVER (PARTITION BY outcome, model ORDER BY time DESC ROWS UNBOUNDED PRECEDING)"
+    at_risk = daily.selectExpr(
+        "outcome", "model", "d", "dxb", *[f"dx{j}" for j in range(p)], *[f"e{m}" for m in moments],
+        *[f"sum(s{m}) {back} AS s{m}" for m in moments],
+    ).where("d > 0")
+    r0, r1, r2 = tie_sums()
+    tied = at_risk.selectExpr("*", f"{r0} AS r0", f"{r1} AS c1", f"{r2} AS c2", *[f"e{j}_ / e0 AS r_{j}" for j in range(p)]).selectExpr(
+        "*", *[f"s{j}_ - r_{j} * s0 AS u_{j}" for j in range(p)])
+    out = ["sum(dxb - r0) AS ll", "cast(sum(d) as bigint) AS events"]
+    out += [f"sum(dx{j} - d * r_{j} - u_{j} * c1) AS u{j}" for j in range(p)]
+    out += [
+        f"sum(d * e{j}_{k} / e0 + (s{j}_{k} - e{j}_{k} / e0 * s0) * c1"
+        f" - d * r_{j} * r_{k} - (r_{j} * u_{k} + u_{j} * r_{k}) * c1 - u_{j} * u_{k} * c2) AS i{j}_{k}"
+        for j, k in pairs
+    ]
+    return tied.groupBy("outcome", "model").agg(*[F.expr(e) for e in out])
 
 
 def _betas(spark, state: dict[tuple[str, str], np.ndarray], p: int) -> DataFrame:

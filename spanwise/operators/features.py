@@ -6,7 +6,7 @@ Three steps, each a plain DataFrame operation:
 2. *fold*  – reduce to one row per person, day and tag before anything is shuffled by person, so a
              person with a third of all records still becomes at most (days x tags) rows;
 3. *resolve* – join the folded days to the index dates once and compute every feature in one
-             aggregation on the person.
+             aggregation on the person. Days of several record tables can be pooled for this step.
 """
 
 from __future__ import annotations
@@ -39,21 +39,28 @@ class Feature:
     upper: Column | None = None
 
 
-def tag_by_codelist(events: DataFrame, codelists: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Inner join to the named lists on coding system and code; ``category`` comes from the list."""
+def tag_by_codelist(events: DataFrame, codelists: DataFrame, names: Sequence[str], prefix: str = "") -> DataFrame:
+    """Inner join to the named lists on coding system and code; ``category`` comes from the list.
+
+    The tag is the list name behind ``prefix``, which keeps the tags of several record tables apart.
+    """
     wanted = codelists.where(F.col("codelist").isin(*names)).select(
-        "system", "code", F.col("codelist").alias("tag"), "category"
+        "system", "code", F.concat(F.lit(prefix), F.col("codelist")).alias("tag"), "category"
     )
     return events.join(broadcast_if_small(wanted), ["system", "code"])
 
 
-def tag_by_rule(events: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """A record gets one row for each rule that holds."""
-    tags = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
-    return events.withColumn("tag", F.explode(tags)).withColumn("category", F.lit(None).cast("string"))
+def fold_rules(events: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """One row per person, day and rule, with the number of records for which the rule holds.
+
+    All rules are counted in one pass; the split into tags happens after the days are folded. Serves dates, flags and
+    counts; features that return a value need a code list tag.
+    """
+    counted = events.groupBy(PERSON, "event_date").agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
+    return counted.unpivot([PERSON, "event_date"], list(rules), "tag", "n").where(F.col("n") > 0)
 
 
-def fold_days(tagged: DataFrame, features: Sequence[Feature], values: bool | None = None) -> DataFrame:
+def fold_days(tagged: DataFrame, features: Sequence[Feature]) -> DataFrame:
     """One row per person, day and tag (and category where a feature returns one).
 
     All buffers are numbers or dates, so the map-side partial aggregation stays in the hash aggregate.
@@ -78,43 +85,69 @@ def fold_days(tagged: DataFrame, features: Sequence[Feature], values: bool | Non
     return tagged.groupBy(*keys).agg(*aggs)
 
 
-def _aggregate(f: Feature) -> Column:
-    match = (F.col("tag") == f.tag) & within(F.col("event_date"), f.lower, f.upper)
-    day = F.when(match, F.col("event_date"))
-    if f.how == "first_date":
-        out = F.min(day)
-    elif f.how == "last_date":
-        out = F.max(day)
-    elif f.how == "flag":
-        out = F.bool_or(match)
-    elif f.how == "count":
-        out = F.sum(F.when(match, F.col("n")))
-    elif f.how == "first_value":
-        out = F.min_by("first_value", F.when(match, F.struct("event_date", "first_id")))
-    elif f.how == "last_value":
-        out = F.max_by("last_value", F.when(match, F.struct("event_date", "last_id")))
-    elif f.how == "last_category":
-        out = F.max_by("category", F.when(match, F.struct("event_date", "last_id")))
-    elif f.how == "latest_day_mean":
-        measured = match & (F.col("value_n") > 0)
-        out = F.max_by(F.try_divide(F.col("value_sum"), F.col("value_n").cast("double")), F.when(measured, F.col("event_date")))
-    elif f.how == "latest_day":
-        out = F.max(F.when(match & (F.col("value_n") > 0), F.col("event_date")))
-    else:
+def _bounds(features: Sequence[Feature]) -> dict[int, tuple[str, Column]]:
+    """Window bounds by Column object, each with a column name; a bound shared by features appears once."""
+    named: dict[int, tuple[str, Column]] = {}
+    for bound in (b for f in features for b in (f.lower, f.upper) if b is not None):
+        named.setdefault(id(bound), (f"_bound_{len(named)}", bound))
+    return named
+
+
+def _aggregate(f: Feature, bounds: Mapping[int, tuple[str, Column]]) -> Column:
+    tag = f.tag.replace("'", "\\'")
+    match = f"tag = '{tag}'"
+    if f.lower is not None:
+        match += f" AND event_date >= {bounds[id(f.lower)][0]}"
+    if f.upper is not None:
+        match += f" AND event_date <= {bounds[id(f.upper)][0]}"
+    day = f"CASE WHEN {match} THEN event_date END"
+    measured = f"CASE WHEN {match} AND value_n > 0 THEN event_date END"
+    by_how = {
+        "first_date": f"min({day})",
+        "last_date": f"max({day})",
+        "flag": f"bool_or({match})",
+        "count": f"sum(CASE WHEN {match} THEN n END)",
+        # one row per day and tag, so the day alone orders these
+        "first_value": f"min_by(first_value, {day})",
+        "last_value": f"max_by(last_value, {day})",
+        "latest_day_mean": f"max_by(try_divide(value_sum, cast(value_n as double)), {measured})",
+        "latest_day": f"max({measured})",
+        # one row per day, tag and category
+        "last_category": f"max_by(category, CASE WHEN {match} THEN struct(event_date, last_id) END)",
+    }
+    if f.how not in by_how:
         raise ValueError(f"unknown feature kind {f.how}")
-    return out.alias(f.name)
+    return F.expr(by_how[f.how]).alias(f.name)
+
+
+def pool(*days: DataFrame) -> DataFrame:
+    """Folded days of several record tables in one frame, so that one join and one aggregation serve them all."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), days)
+
+
+def found(index: DataFrame, days: DataFrame, features: Sequence[Feature]) -> DataFrame:
+    """Features of the people of ``index`` that have at least one folded day.
+
+    Window bounds are computed once per person, before the join. All features share one aggregation, so the record
+    tables are read once: a hash aggregate, or a sort-based one when a category (text) is among the features, which
+    then uses the order the join on the person leaves behind.
+    """
+    bounds = _bounds(features)
+    slim = index.select(PERSON, *[bound.alias(name) for name, bound in bounds.values()])
+    own = days.where(F.col("tag").isin(*sorted({f.tag for f in features})))
+    return slim.join(own, PERSON).groupBy(PERSON).agg(*[_aggregate(f, bounds) for f in features])
+
+
+def with_defaults(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
+    """Flags of people without records are false, counts 0."""
+    defaults = {"flag": F.lit(False), "count": F.lit(0).cast("bigint")}
+    return df.withColumns({f.name: F.coalesce(F.col(f.name), defaults[f.how]) for f in features if f.how in defaults})
 
 
 def resolve(index: DataFrame, days: DataFrame, features: Sequence[Feature]) -> DataFrame:
-    """Every person of ``index`` with all features; flags and counts default to false and 0."""
-    found = index.join(days, PERSON).groupBy(PERSON).agg(*[_aggregate(f) for f in features])
-    defaults = {f.name: F.lit(False) for f in features if f.how == "flag"}
-    defaults |= {f.name: F.lit(0).cast("bigint") for f in features if f.how == "count"}
-    joined = index.select(PERSON).join(found, PERSON, "left")
-    return joined.select(PERSON, *[
-        (F.coalesce(F.col(f.name), defaults[f.name]) if f.name in defaults else F.col(f.name)).alias(f.name)
-        for f in features
-    ])
+    """Every person of ``index`` with all features."""
+    joined = index.select(PERSON).join(found(index, days, features), PERSON, "left")
+    return with_defaults(joined, features).select(PERSON, *[f.name for f in features])
 
 
 def coded_features(index: DataFrame, events: DataFrame, codelists: DataFrame, features: Sequence[Feature]) -> DataFrame:
@@ -128,8 +161,7 @@ def rule_features(
 ) -> DataFrame:
     """Features of records picked by predicates: ``tag`` names the rule."""
     used = {f.tag for f in features}
-    tagged = tag_by_rule(events, {name: rule for name, rule in rules.items() if name in used})
-    return resolve(index, fold_days(tagged, features), features)
+    return resolve(index, fold_rules(events, {name: rule for name, rule in rules.items() if name in used}), features)
 
 
 def matching(events: DataFrame, codelists: DataFrame, name: str) -> DataFrame:

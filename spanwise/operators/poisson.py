@@ -28,31 +28,35 @@ def poisson_rates(
 ) -> DataFrame:
     """``log(events) ~ level + age + log(person-time)``: rate of each level at ``at_age``.
 
-    Limits use the standard error of the level's own coefficient (of the intercept for the first level).
+    Limits use the standard error of the level's own coefficient (of the intercept for the first level). The cells are
+    few (levels x ages) and levels without person-time are left out.
     """
     spark = cells.sparkSession
+    cells = cells.where((F.col("days") > 0) & F.col("level").isin(*levels) & F.col("age").isNotNull()).persist()
+    observed = {row.level for row in cells.select("level").distinct().collect()}
+    levels = [level for level in levels if level in observed]
     terms = [f"is_{i}" for i in range(1, len(levels))] + (["age"] if with_age else [])
-    data = cells.where((F.col("days") > 0) & F.col("level").isin(*levels) & F.col("age").isNotNull()).select(
+    data = cells.select(
         F.col("events").cast("double").alias("label"),
         F.ln(F.col("days") / (DAYS_PER_YEAR * per)).alias("offset"),
         *[(F.col("level") == level).cast("double").alias(f"is_{i}") for i, level in enumerate(levels) if i > 0],
         "age",
     )
-    rows = VectorAssembler(inputCols=terms, outputCol="features").transform(data).select("label", "offset", "features").persist()
+    rows = VectorAssembler(inputCols=terms, outputCol="features").transform(data).select("label", "offset", "features")
     try:
         model = GeneralizedLinearRegression(
             family="poisson", link="log", offsetCol="offset", maxIter=50, tol=1e-10, regParam=0.0
         ).fit(rows)
         errors = list(model.summary.coefficientStandardErrors)
     finally:
-        rows.unpersist()
+        cells.unpersist()
     slopes, intercept = list(model.coefficients), model.intercept
     shift = slopes[-1] * at_age if with_age else 0.0
     out = []
     for i, level in enumerate(levels):
         estimate = intercept + shift + (slopes[i - 1] if i else 0.0)
         se = errors[i - 1] if i else errors[-1]
-        out.append((level, *(math.exp(estimate + k * z * se) for k in (0, -1, 1))))
+        out.append((level, *(math.exp(min(estimate + k * z * se, 700.0)) for k in (0, -1, 1))))
     columns = list(zip(*out))
     return spark.createDataFrame(pa.table(
         [pa.array(columns[0], pa.string()), *[pa.array(c, pa.float64()) for c in columns[1:]]],

@@ -28,15 +28,14 @@ def registered_as_of(index: DataFrame, spells: DataFrame, on: Column) -> DataFra
 
 
 def attribute_as_of(index: DataFrame, spells: DataFrame, on: Column, attribute: str, name: str) -> DataFrame:
-    """Attribute of the covering spell; the latest start wins, then the larger spell id."""
+    """Attribute of the covering spell, for people who have one; the latest start wins, then the larger spell id."""
     slim = spells.groupBy(PERSON, "start_date", "end_date").agg(
         F.max(F.struct("spell_id", attribute)).alias("last")
     )
     held = index.select(PERSON, on.alias("as_of")).join(slim, PERSON).where(covers(F.col("as_of")))
-    latest = held.groupBy(PERSON).agg(
+    return held.groupBy(PERSON).agg(
         F.max_by(F.col("last"), F.struct(F.col("start_date"), F.col("last.spell_id"))).getField(attribute).alias(name)
     )
-    return index.select(PERSON).join(latest, PERSON, "left")
 
 
 def deregistration_date(index: DataFrame, spells: DataFrame, lower: Column, upper: Column, name: str) -> DataFrame:
@@ -45,4 +44,4 @@ def deregistration_date(index: DataFrame, spells: DataFrame, lower: Column, uppe
         F.max("end_date").alias("left_on"), F.bool_or(F.col("end_date").isNull()).alias("still_open")
     )
     left = F.when(~F.col("still_open") & within(F.col("left_on"), lower, upper), F.col("left_on"))
-    return index.join(ends, PERSON, "left").select(PERSON, left.alias(name))
+    return index.join(ends, PERSON).select(PERSON, left.alias(name))

@@ -132,30 +132,45 @@ def death_features(index: DataFrame, deaths: DataFrame, codelists: DataFrame, da
     ])
 
 
-def test_features(index: DataFrame, tests: DataFrame, dates: StudyDates) -> DataFrame:
-    """Index needs the death dates, around which positive tests are looked for."""
-    d2, immune, end = F.col("dose_2"), days_after(F.col("dose_2"), dates.immune_days), as_date(dates.end)
+def test_feature_list(d2: Column, immune: Column, end: Column) -> list[Feature]:
+    """Needs the death dates in the index, around which positive tests are looked for."""
     late, early = F.col("death_date_post_vax"), F.col("death_date_post_vax2")
-    return ft.rule_features(index, tests, {"any": F.lit(True), "positive": F.col("positive")}, [
-        Feature("covid_positive_test_date", "positive", "first_date", immune, end),
-        Feature("covid_positive_test_within_2_weeks_post_vax2", "positive", "flag", d2, immune),
-        Feature("positive_before_death", "positive", "flag", F.date_sub(late, 28), late),
-        Feature("positive_before_early_death", "positive", "flag", F.date_sub(early, 28), early),
-        Feature("prior_positive_test_date", "positive", "first_date", upper=immune),
-        Feature("tests_conducted_any", "any", "count", immune, end),
-        Feature("tests_conducted_positive", "positive", "count", immune, end),
-    ])
+    return [
+        Feature("covid_positive_test_date", "test_positive", "first_date", immune, end),
+        Feature("covid_positive_test_within_2_weeks_post_vax2", "test_positive", "flag", d2, immune),
+        Feature("positive_before_death", "test_positive", "flag", F.date_sub(late, 28), late),
+        Feature("positive_before_early_death", "test_positive", "flag", F.date_sub(early, 28), early),
+        Feature("prior_positive_test_date", "test_positive", "first_date", upper=immune),
+        Feature("tests_conducted_any", "test_any", "count", immune, end),
+        Feature("tests_conducted_positive", "test_positive", "count", immune, end),
+    ]
 
 
-def admission_features(index: DataFrame, admissions: DataFrame, codelists: DataFrame, dates: StudyDates) -> DataFrame:
-    d2, immune, end = F.col("dose_2"), days_after(F.col("dose_2"), dates.immune_days), as_date(dates.end)
-    tag = "covid_identification"
-    return ft.coded_features(index, admissions, codelists, [
+def admission_feature_list(d2: Column, immune: Column, end: Column) -> list[Feature]:
+    tag = "admission_covid_identification"
+    return [
         Feature("covid_hospital_admission_date", tag, "first_date", immune, end),
         Feature("covid_hospitalisation_within_2_weeks_post_vax2", tag, "flag", d2, immune),
         Feature("covid_hospitalisation_critical_care", tag, "first_value", immune, end),
         Feature("prior_covidadmitted_date", tag, "first_date", upper=immune),
-    ])
+    ]
+
+
+def record_features(index: DataFrame, records: Records, codelists: DataFrame, dates: StudyDates) -> DataFrame:
+    """Features of tests, admissions, clinical records and medications in one join and one aggregation."""
+    d2, immune, end = F.col("dose_2"), days_after(F.col("dose_2"), dates.immune_days), as_date(dates.end)
+    tests = test_feature_list(d2, immune, end)
+    admissions = admission_feature_list(d2, immune, end)
+    clinical = clinical_feature_list(d2, F.col("birth_date"), immune)
+    medications = [Feature("immunosuppression_medication_date", "immunosuppression_medication", "last_date", upper=d2)]
+    test_rules = {"test_any": F.lit(True), "test_positive": F.col("positive")}
+    days = ft.pool(
+        ft.fold_days(ft.tag_by_codelist(records.clinical, codelists, sorted({f.tag for f in clinical})), clinical),
+        ft.fold_rules(records.tests, test_rules),
+        ft.fold_days(ft.tag_by_codelist(records.admissions, codelists, ["covid_identification"], "admission_"), admissions),
+        ft.fold_days(ft.tag_by_codelist(records.medications, codelists, ["immunosuppression_medication"]), medications),
+    )
+    return ft.found(index, days, [*tests, *admissions, *clinical, *medications])
 
 
 def cohort_extract(
@@ -174,17 +189,16 @@ def cohort_extract(
     wide = ft.join_all(
         index,
         deaths,
-        test_features(ft.join_all(index, deaths), records.tests, dates),
-        admission_features(index, records.admissions, codelists, dates),
-        ft.coded_features(index, records.clinical, codelists, clinical_feature_list(d2, F.col("birth_date"), immune)),
-        ft.coded_features(index, records.medications, codelists, [
-            Feature("immunosuppression_medication_date", "immunosuppression_medication", "last_date", upper=d2)]),
+        record_features(ft.join_all(index, deaths), records, codelists, dates),
         spells.deregistration_date(index, records.registrations, d2, end, "dereg_date"),
         spells.attribute_as_of(index, records.registrations, d2, "region", "region"),
         spells.attribute_as_of(index, records.addresses, d2, "deprivation_rank", "deprivation_rank"),
         ft.record_flag(records.vaccinations, F.col("health_worker"), "hscworker"),
         ft.most_frequent_code(records.hospital_ethnicity, "ethnic_group", "ethnicity_6_sus"),
     )
+    wide = ft.with_defaults(
+        wide, [*test_feature_list(d2, immune, end), *admission_feature_list(d2, immune, end),
+               *clinical_feature_list(d2, F.col("birth_date"), immune)])
     early_positive = F.col("covid_positive_test_within_2_weeks_post_vax2")
     early_admission = F.col("covid_hospitalisation_within_2_weeks_post_vax2")
     rank = round_to_base(F.col("deprivation_rank").cast("double"), 100.0)

@@ -167,12 +167,10 @@ def adjusted_rates(
     """Crude and age-adjusted rates of the four outcomes by kidney-disease stage."""
     factor = "chronic_kidney_disease"
     base = characteristics(grouped, [factor], [("", "")], per)
-    present = set(r.level for r in base.select("level").collect())
-    used = [level for level in levels if level in present]
     parts = []
     for name, (event, time) in OUTCOMES.items():
         time = critical_care_time if name == "critical_care" else time
-        rates = age_adjusted_rate(grouped, event, time, factor, used, per)
+        rates = age_adjusted_rate(grouped, event, time, factor, levels, per)
         parts.append(rates.select(F.lit(factor).alias("variable"), "level", *[
             F.round(c, 2).alias(f"{c}_{name}") for c in ("rate_adj", "lower_adj", "upper_adj")]))
         if time != OUTCOMES[name][1]:
