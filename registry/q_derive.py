@@ -11,8 +11,8 @@ from spanwise.functions.logic import band, first_label, if_known, label_order, p
 from spanwise.functions.numbers import count_cell, interval_cell, parse_count_cell, percent_of, rate_cell, strata_label
 from spanwise.operators import derive as d
 from spanwise.operators.rates import rate_columns
-from spanwise.operators.reshape import drop_pairs, melt
-from spanwise.plans.process import derive_cohort, eligible, exclude
+from spanwise.operators.reshape import drop_pairs, melt, rename
+from spanwise.plans.process import COHORT_COLUMNS, DROPPED_AFTER_EXCLUSION, derive_cohort, eligible, exclude
 from spanwise.plans.tables import BETWEEN, SINCE, report_levels
 from spanwise.sources.extract import FLAG_COLUMNS, flags_to_int
 
@@ -179,12 +179,12 @@ add("days_between", lambda st: st.index.select("patient_id", days_between(C("dos
     on_records("SELECT patient_id, dose_2 - dose_1 AS tbv FROM doses"))
 add("priority_cascade", lambda st: st.grouped.select("patient_id", "group", d.group_label(C("group")).alias("label")),
     on_cohort(f'SELECT patient_id, "group", {GROUP_CASE} AS label FROM grouped'))
+_KEPT = [c for c in COHORT_COLUMNS if c not in DROPPED_AFTER_EXCLUSION]
+add("column_select", lambda st: st.cohort_all.drop(*DROPPED_AFTER_EXCLUSION).select(*_KEPT), on_cohort(f"SELECT {', '.join(_KEPT)} FROM cohort_all"))
 add(
-    "column_select_rename",
-    lambda st: st.cohort_all.drop("censor_date_1").select("patient_id", "covid_positive_test", "time_to_positive_test", "ageband2")
-    .withColumnsRenamed({"covid_positive_test": "event", "time_to_positive_test": "person_time", "ageband2": "level"})
-    .withColumn("person_time", C("person_time").cast("bigint")),
-    on_cohort("SELECT patient_id, covid_positive_test AS event, time_to_positive_test AS person_time, ageband2 AS level FROM cohort_all"),
+    "rename",
+    lambda st: rename(st.cohort_all.select("patient_id", "covid_positive_test", C("tbv").alias("days"), "ageband2"), {"covid_positive_test": "event", "ageband2": "level"}),
+    on_cohort("SELECT patient_id, covid_positive_test AS event, tbv AS days, ageband2 AS level FROM cohort_all"),
 )
 
 

@@ -10,7 +10,7 @@ from spanwise.operators.survival import cumulative_incidence, kaplan_meier
 from spanwise.session import scratch_path
 from spanwise.sources import codelists as cl
 from spanwise.sources.extract import EXTRACT_TYPES, NUMBER_COLUMNS, normalise_missing, read_typed_csv
-from spanwise.sources.snapshots import read_curve, snapshot, value_at, write_csv
+from spanwise.sources.snapshots import read_curve, read_snapshot, value_at, write_csv, write_snapshot
 
 MEASURES = ["bp_sys", "bp_dias", "creatinine"]
 
@@ -68,8 +68,9 @@ add(
     lambda st: cl.filter_category(_product_codes(st), "brands", ["SMALL", "LARGE"]),
     f"SELECT * FROM ({_LISTS}) WHERE codelist = 'brands' AND category IN ('SMALL', 'LARGE')",
 )
-add("snapshot_write_read", lambda st: snapshot(st.records("clinical"), "clinical"),
-    on_records("SELECT patient_id, event_date, event_id, 'gp' AS system, code, value FROM clinical"))
+_CLINICAL = on_records("SELECT patient_id, event_date, event_id, 'gp' AS system, code, value FROM clinical")
+add("snapshot_write", lambda st: st.spark.read.parquet(write_snapshot(st.records("clinical"), scratch_path(st.spark, "clinical"))), _CLINICAL)
+add("snapshot_read", lambda st: read_snapshot(st.spark, write_snapshot(st.cohort_all, scratch_path(st.spark, "cohort"))), on_cohort("SELECT * FROM cohort_all"))
 
 
 def _csv_result(st):

@@ -28,6 +28,19 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def join_groups(cells: DataFrame, per_group: DataFrame, by: Sequence[str], copies: int = 64) -> DataFrame:
+    """Put a few columns per group beside its cells.
+
+    The key is salted by the value and the group rows are copied once per salt, so a group with most of the cells is
+    spread over ``copies`` tasks instead of one. Unknown groups are kept.
+    """
+    salts = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    right = salts.withColumnsRenamed({b: f"_{b}" for b in by})
+    left = cells.withColumn("_part", F.pmod(F.hash("value"), F.lit(copies)))
+    matches = [F.col("_part") == F.col("_salt"), *[F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]]
+    return left.join(right, matches).drop("_part", "_salt", *[f"_{b}" for b in by])
+
+
 def ranks(total: Column, p: float, kind: str) -> list[Column]:
     """1-based ranks a quantile needs: one for ``step`` (inverse distribution), two for ``linear``."""
     n = total.cast("double")
@@ -37,6 +50,12 @@ def ranks(total: Column, p: float, kind: str) -> list[Column]:
     return [low.cast("bigint"), F.least(low + 1, total).cast("bigint")]
 
 
+def join_slices(cells: DataFrame, slices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keep the cells of the wanted slices; a slice holds about 1/256 of the distinct values of its group."""
+    right = slices.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return cells.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+
 def quantiles(cells: DataFrame, by: Sequence[str], probs: Sequence[float], kind: str = "linear") -> DataFrame:
     """Quantiles ``q0, q1, …`` per group from ``(by, value, n)`` cells, exact for any number of values."""
     by = list(by)
@@ -44,7 +63,7 @@ def quantiles(cells: DataFrame, by: Sequence[str], probs: Sequence[float], kind:
         F.sum("n").alias("total"),
         F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 10_000).alias("cuts"),
     ).withColumn("heads", F.filter("cuts", lambda c, i: i % BLOCK == BLOCK - 1))
-    sliced = cells.join(cuts, by).withColumn("slice", slice_of(F.col("cuts"), F.col("heads"), F.col("value")))
+    sliced = join_groups(cells, cuts, by).withColumn("slice", slice_of(F.col("cuts"), F.col("heads"), F.col("value")))
     wanted = F.array_sort(F.array_distinct(F.array(*[r for p in probs for r in ranks(F.col("total"), p, kind)])))
     order = Window.partitionBy(*by).orderBy("slice")
     slices = (
@@ -56,7 +75,7 @@ def quantiles(cells: DataFrame, by: Sequence[str], probs: Sequence[float], kind:
     )
     inside = Window.partitionBy(*by, "slice").orderBy("value")
     found = (
-        sliced.select(*by, "slice", "value", "n", "total").join(slices, [*by, "slice"])
+        join_slices(sliced.select(*by, "slice", "value", "n", "total"), slices, [*by, "slice"])
         .withColumn("upto", F.col("before") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("rank", F.explode(F.filter("wanted", lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))))
         .groupBy(*by).agg(F.first("total").alias("total"), F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("at"))

@@ -50,6 +50,9 @@ def union_rows(*parts: DataFrame) -> DataFrame:
 
 def drop_pairs(df: DataFrame, variable: str, level: str, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """Remove (variable, level) combinations that a report does not show."""
+    pairs = list(pairs)
+    if not pairs:
+        return df
     dropped = reduce(lambda a, b: a | b, [(F.col(variable) == v) & (F.col(level) == l) for v, l in pairs])
     return df.where(~F.coalesce(dropped, F.lit(False)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwise.operators.disclosure import suppress_mask, suppress_two_way
-from spanwise.operators.quantiles import quantiles
+from spanwise.operators.quantiles import join_groups, quantiles
 from spanwise.operators.reshape import complete_levels
 from spanwise.functions.numbers import round_to_base
 
@@ -41,7 +41,7 @@ def _moments(cells: DataFrame, by: Sequence[str]) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
     spread = (
-        cells.join(basic.select(*by, "mean"), list(by)).groupBy(*by)
+        join_groups(cells, basic.select(*by, "mean"), by).groupBy(*by)
         .agg(F.sum((v - F.col("mean")) * (v - F.col("mean")) * n).alias("ss"))
     )
     return basic.join(spread, list(by), "left").withColumn(
@@ -49,7 +49,8 @@ def _moments(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     ).drop("ss")
 
 
-def _numeric_summary(cells: DataFrame, by: Sequence[str], threshold: int) -> DataFrame:
+def _numeric_summary(cells: DataFrame, by: Sequence[str], threshold: int, redacted: Column | None = None) -> DataFrame:
+    """``redacted`` may replace the rule that hides groups of 1…threshold people; it sees one row per group."""
     by = list(by)
     points = quantiles(cells.where(F.col("value").isNotNull()), by, STEP_PROBS, "step")
     points = points.withColumnsRenamed({f"q{i}": name for i, name in enumerate(STEP_NAMES)})
@@ -57,7 +58,7 @@ def _numeric_summary(cells: DataFrame, by: Sequence[str], threshold: int) -> Dat
         "pct_nonmiss": F.col("n_nonmiss") / F.col("n"),
         "n_miss": F.col("n") - F.col("n_nonmiss"),
         "pct_miss": (F.col("n") - F.col("n_nonmiss")) / F.col("n"),
-        "redacted": F.col("n").between(1, threshold),
+        "redacted": F.col("n").between(1, threshold) if redacted is None else redacted,
     })
     names = ["n", "n_nonmiss", "pct_nonmiss", "n_miss", "pct_miss", "unique", "mean", "sd", "min", *STEP_NAMES, "max"]
     return wide.select(*by, *[F.when(~F.col("redacted"), F.col(c)).alias(c) for c in names], "redacted")
@@ -105,14 +106,8 @@ def summary_by_category(df: DataFrame, category: str, number: str, threshold: in
     cells = df.groupBy(
         F.coalesce(F.col(category).cast("string"), F.lit(MISSING)).alias("level"), F.col(number).cast("double").alias("value")
     ).agg(F.count(F.lit(1)).alias("n"))
-    out = _numeric_summary(cells, ["level"], threshold)
     # one vector over all levels: a level may also be hidden to protect a smaller one
-    counts = df.groupBy(F.coalesce(F.col(category).cast("string"), F.lit(MISSING)).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    marks = counts.select("level", suppress_mask(F.col("n"), [F.lit(1)], ["level"], threshold).alias("mask"))
-    return out.drop("redacted").join(marks, "level").select(
-        "level", *[F.when(~F.col("mask"), F.col(c)).alias(c) for c in out.columns if c not in ("level", "redacted")],
-        F.col("mask").alias("redacted"),
-    )
+    return _numeric_summary(cells, ["level"], threshold, suppress_mask(F.col("n"), [F.lit(1)], ["level"], threshold))
 
 
 def _shares(n: str, level: str, by: Sequence[str], pct_of: str) -> dict[str, Column]:

@@ -166,7 +166,7 @@ def adjusted_rates(
 ) -> DataFrame:
     """Crude and age-adjusted rates of the four outcomes by kidney-disease stage."""
     factor = "chronic_kidney_disease"
-    base = characteristics(grouped, [factor], [("", "")], per)
+    base = characteristics(grouped, [factor], [], per)
     parts = []
     for name, (event, time) in OUTCOMES.items():
         time = critical_care_time if name == "critical_care" else time
