@@ -37,7 +37,8 @@ def join_groups(cells: DataFrame, per_group: DataFrame, by: Sequence[str], copie
     salts = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     right = salts.withColumnsRenamed({b: f"_{b}" for b in by})
     left = cells.withColumn("_part", F.pmod(F.hash("value"), F.lit(copies)))
-    matches = [F.col("_part") == F.col("_salt"), *[F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]]
+    # null-safe on every key, so that no filter is inferred for one use of the cells only and they are computed once
+    matches = [F.col("_part").eqNullSafe(F.col("_salt")), *[F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]]
     return left.join(right, matches).drop("_part", "_salt", *[f"_{b}" for b in by])
 
 

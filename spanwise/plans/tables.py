@@ -7,9 +7,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.functions.logic import band, first_label
+from spanwise.functions.logic import band, first_label, label_order
 from spanwise.functions.numbers import count_cell, interval_cell, number_text, rate_cell, shown
 from spanwise.operators.cox import Outcome, cox_ph
+from spanwise.operators.derive import ETHNICITY_LABELS, IMD_LABELS, REGION_LABELS
 from spanwise.operators.disclosure import (
     rebuild_totals, round_counts, suppress_small_percentages, suppress_small_rows,
 )
@@ -38,6 +39,13 @@ CONDITIONS = [
     "asplenia", "asthma", "cancer", "diabetes", "chd", "haem_cancer", "immunosuppression", "learning_disability",
     "cld", "chronic_neuro_dis_inc_sig_learn_dis", "chronic_resp_dis", "sev_mental_ill",
 ]
+# Row order of the characteristics table and of the levels of its variables.
+TABLE_ORDER = [
+    "ageband3", "sex", "bmi", "smoking_status", "ethnicity", "imd", "region", "asplenia", "asthma", "bpcat", "cancer",
+    "chronic_kidney_disease", "diabetes", "dialysis", "chd", "haem_cancer", "immunosuppression", "learning_disability",
+    "cld", "chronic_neuro_dis_inc_sig_learn_dis", "chronic_resp_dis", "sev_mental_ill", "transplant",
+    "time_since_fully_vaccinated", "time_between_vaccinations", "prior_covid_cat",
+]
 # Levels the table leaves out.
 HIDDEN_LEVELS = [
     ("prior_covid_cat", "Unknown"), ("chronic_kidney_disease", "No CKD"), ("chronic_kidney_disease", "Unknown"),
@@ -49,6 +57,20 @@ SINCE = ([0, 28, 56, 84, float("inf")], ["0-4 weeks", "4-8 weeks", "8-12 weeks",
 BETWEEN = ([0, 42, 84, float("inf")], ["6 weeks or less", "6-12 weeks", "12 weeks or more"])
 CKD_LEVELS = ["No CKD", "Stage 3a", "Stage 3b", "Stage 4", "Stage 5"]
 
+LEVEL_ORDER = [
+    *AGE3[1], "Female", "Male", "Not obese", "Obese", "N&M", "S&E", *ETHNICITY_LABELS.values(), *IMD_LABELS.values(),
+    *REGION_LABELS.values(), "Normal", "Elevated/high", *CKD_LEVELS, "Previous kidney transplant",
+    "No previous kidney transplant", "Previous dialysis", "No previous dialysis", "Other", *SINCE[1], *BETWEEN[1],
+    "Between first and second dose", "Prior to first dose",
+]
+
+
+def in_table_order(table: DataFrame) -> DataFrame:
+    """Aggregated rows in the order of variables and levels; ``Unknown`` and unlisted levels come last."""
+    listed = [level for level in dict.fromkeys(LEVEL_ORDER) if level != "Unknown"]
+    return table.orderBy(label_order(F.col("variable"), TABLE_ORDER), label_order(F.col("level"), listed).asc_nulls_last())
+
+
 COUNTS = ["n", *[f"events_{o}" for o in OUTCOMES]]
 
 

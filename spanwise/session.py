@@ -64,6 +64,5 @@ def hold_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
 
     Larger tables are returned unchanged, so nothing unbounded reaches the driver.
     """
-    if not is_small(df, limit):
-        return df
-    return df.sparkSession.createDataFrame(df.toArrow())
+    held = df.limit(limit + 1).toArrow()
+    return df.sparkSession.createDataFrame(held) if held.num_rows <= limit else df
