@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.plans.extract import Records, StudyDates
+from spanwise.plans.extract import Records, StudyDates, with_combined_lists
 from spanwise.session import hold_small
 from spanwise.sources import codelists as cl
 
@@ -191,11 +191,5 @@ def codelists(spark: SparkSession) -> DataFrame:
     """All lists of the study, combined lists included; held once per application."""
     key = spark.sparkContext.applicationId
     if key not in _CODELISTS:
-        base = cl.inline(spark, CODELISTS)
-        full = (
-            base.unionByName(cl.combine(base, "cancer", ["lung_cancer", "other_cancer"]))
-            .unionByName(cl.combine(base, "prior_covid", ["covid_case", "covid_case_test", "covid_case_sequelae"]))
-            .unionByName(cl.filter_category(base, "smoking", ["S", "E"], "smoking_ever"))
-        )
-        _CODELISTS[key] = hold_small(full)
+        _CODELISTS[key] = hold_small(with_combined_lists(cl.inline(spark, CODELISTS)))
     return _CODELISTS[key]

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from registry.records import CODELISTS, DATES, REGIONS, STUDY_END
 from spanwise.operators import derive as d
-from spanwise.plans.extract import DATED_CONDITIONS, DEPRIVATION_RANKS
+from spanwise.plans.extract import COMBINED_LISTS, DATED_CONDITIONS, DEPRIVATION_RANKS
 from spanwise.plans.process import COHORT_COLUMNS, DROPPED_AFTER_EXCLUSION
 
-COMBINED = {
-    "cancer": ["lung_cancer", "other_cancer"],
-    "prior_covid": ["covid_case", "covid_case_test", "covid_case_sequelae"],
-}
-
 
 def codes(name: str, categories: list[str] | None = None) -> str:
     """``('a', 'b')`` for an IN list."""
-    entries = [e for part in COMBINED.get(name, [name]) for e in CODELISTS[part][1]]
+    entries = [e for part in COMBINED_LISTS.get(name, [name]) for e in CODELISTS[part][1]]
     kept = [e if isinstance(e, str) else e[0] for e in entries
             if categories is None or (not isinstance(e, str) and e[1] in categories)]
     return "(" + ", ".join(f"'{c}'" for c in dict.fromkeys(kept)) + ")"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.functions.dates import as_date, completed_years, days_after, years_after, years_before
@@ -14,7 +15,8 @@ from spanwise.functions.numbers import round_to_base
 from spanwise.operators import features as ft
 from spanwise.operators import spells
 from spanwise.operators.features import PERSON, Feature
-from spanwise.session import broadcast_if_small
+from spanwise.session import broadcast_if_small, hold_small
+from spanwise.sources import codelists as cl
 
 #: Areas ranked for deprivation; fifths are cut at multiples of a fifth of it.
 DEPRIVATION_RANKS = 32844
@@ -28,6 +30,65 @@ DATED_CONDITIONS = [
 ]
 
 
+# Coding system, code column and category column of each code file of the study.
+CODE_FILES: dict[str, tuple[str, str, str | None]] = {
+    "covid_vaccine": ("snomed", "code", None),
+    "covid_identification": ("icd10", "icd10_code", None),
+    "care_home": ("snomed", "code", None),
+    "ethnicity": ("snomed", "code", "grouping_6_id"),
+    "smoking": ("ctv3", "CTV3Code", "Category"),
+    "asthma": ("snomed", "code", None),
+    "asplenia": ("snomed", "code", None),
+    "lung_cancer": ("ctv3", "CTV3ID", None),
+    "haem_cancer": ("ctv3", "CTV3ID", None),
+    "other_cancer": ("ctv3", "CTV3ID", None),
+    "chd": ("snomed", "code", None),
+    "chronic_neuro_dis_inc_sig_learn_dis": ("snomed", "code", None),
+    "chronic_resp_dis": ("snomed", "code", None),
+    "dialysis": ("ctv3", "CTV3ID", None),
+    "diabetes": ("snomed", "code", None),
+    "immunosuppression_diagnosis_date": ("snomed", "code", None),
+    "immunosuppression_medication": ("snomed", "code", None),
+    "learning_disability": ("snomed", "code", None),
+    "cld": ("snomed", "code", None),
+    "sev_mental_ill": ("snomed", "code", None),
+    "kidney_transplant": ("ctv3", "CTV3ID", None),
+    "other_organ_transplant": ("ctv3", "CTV3ID", None),
+    "covid_case": ("ctv3", "CTV3ID", None),
+    "covid_case_test": ("ctv3", "CTV3ID", None),
+    "covid_case_sequelae": ("ctv3", "CTV3ID", None),
+}
+# Lists of a few codes.
+SHORT_LISTS: dict[str, tuple[str, list[str]]] = {
+    "high_risk": ("snomed", ["1300561000000107"]),
+    "lower_risk": ("snomed", ["1300591000000101", "1300571000000100"]),
+    "bp_sys": ("ctv3", ["2469."]),
+    "bp_dias": ("ctv3", ["246A."]),
+    "creatinine": ("ctv3", ["XE2q5"]),
+}
+#: Lists put together from others.
+COMBINED_LISTS = {
+    "cancer": ["lung_cancer", "other_cancer"],
+    "prior_covid": ["covid_case", "covid_case_test", "covid_case_sequelae"],
+}
+
+
+def with_combined_lists(base: DataFrame) -> DataFrame:
+    parts = [cl.combine(base, name, names) for name, names in COMBINED_LISTS.items()]
+    return reduce(DataFrame.unionByName, [base, *parts, cl.filter_category(base, "smoking", ["S", "E"], "smoking_ever")])
+
+
+def study_codelists(spark: SparkSession, paths: Mapping[str, str], bmi_codes: Sequence[str], bmi_system: str = "snomed") -> DataFrame:
+    """All lists of the study from code files (name -> path); fails when a list has no code."""
+    files = [cl.CodelistFile(name, paths[name], *CODE_FILES[name]) for name in CODE_FILES if name in paths]
+    short = cl.inline(spark, SHORT_LISTS | {"bmi": (bmi_system, list(bmi_codes))})
+    full = hold_small(with_combined_lists(cl.load(spark, files).unionByName(short)))
+    absent = sorted(row.codelist for row in cl.missing(full, [*CODE_FILES, *SHORT_LISTS, "bmi"]).collect())
+    if absent:
+        raise ValueError(f"code lists without codes: {', '.join(absent)}")
+    return full
+
+
 @dataclass(frozen=True)
 class Records:
     """Record tables. Event tables carry ``patient_id event_date event_id system code value``."""

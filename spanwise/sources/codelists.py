@@ -61,3 +61,9 @@ def filter_category(codelists: DataFrame, name: str, include: Sequence[str], new
     return codelists.where((F.col("codelist") == name) & F.col("category").isin(*include)).select(
         F.lit(new_name or name).alias("codelist"), "system", "code", "category"
     )
+
+
+def missing(codelists: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Names of wanted lists that hold no code (an anti join; a study should stop when there are any)."""
+    wanted = codelists.sparkSession.createDataFrame(pa.table({"codelist": list(names)}))
+    return wanted.join(codelists.select("codelist").distinct(), "codelist", "left_anti")

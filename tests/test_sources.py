@@ -1,5 +1,8 @@
 from datetime import date
 
+import pytest
+
+from spanwise.plans.extract import CODE_FILES, study_codelists
 from spanwise.session import scratch_path
 from spanwise.sources import codelists as cl
 from spanwise.sources.extract import flags_to_int, normalise_missing, read_typed_csv
@@ -41,3 +44,20 @@ def test_curve_reading(spark):
     path = write_csv(df, scratch_path(spark, "curve"), files=1)
     back = read_curve(spark, path, before_time=290, relabel={"old": "new"}, drop_times=[25]).collect()
     assert [tuple(r) for r in back] == [("new", 0, 0.0)]
+
+
+def test_study_lists_must_all_have_codes(spark, tmp_path):
+    paths = {}
+    for name, (_, column, category) in CODE_FILES.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_text(f"{column},{category or 'term'}\n{name}-1,S\n{name}-1,S\n")
+        paths[name] = str(path)
+    full = study_codelists(spark, paths, ["bmi-1"]).collect()
+    by_name = {}
+    for r in full:
+        by_name.setdefault(r.codelist, []).append(r.code)
+    assert by_name["asthma"] == ["asthma-1"] and sorted(by_name["cancer"]) == ["lung_cancer-1", "other_cancer-1"]
+    assert by_name["smoking_ever"] == ["smoking-1"] and by_name["bp_sys"] == ["2469."]
+    del paths["chd"]
+    with pytest.raises(ValueError, match="chd"):
+        study_codelists(spark, paths, ["bmi-1"])

@@ -3,11 +3,10 @@ import glob
 
 import pytest
 
-from registry.records import STUDY_END
+from registry import records as rec
 from registry.study import study
 from spanwise.plans import steps
 from spanwise.plans import tables as tb
-from spanwise.sources.snapshots import write_csv
 
 
 def rows(path):
@@ -19,8 +18,8 @@ def rows(path):
 @pytest.fixture(scope="module")
 def out(spark, sf_dir, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("study"))
-    extract = write_csv(study(spark, sf_dir).extract, f"{folder}/input")
-    steps.process(spark, extract, folder, STUDY_END)
+    extract = steps.extract(rec.records(spark, sf_dir), rec.codelists(spark), rec.DATES, folder)
+    steps.process(spark, extract, folder, rec.STUDY_END)
     return folder
 
 
