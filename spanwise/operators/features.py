@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.dates import within
-from spanwise.session import broadcast_if_small
+from spanwise.functions.logic import label_order
+from spanwise.session import broadcast_if_small, is_small
 
 PERSON = "patient_id"
+#: Most categories a code list may carry for a feature that returns one.
+CATEGORY_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -39,15 +42,36 @@ class Feature:
     upper: Column | None = None
 
 
-def tag_by_codelist(events: DataFrame, codelists: DataFrame, names: Sequence[str], prefix: str = "") -> DataFrame:
-    """Inner join to the named lists on coding system and code; ``category`` comes from the list.
+def category_labels(codelists: DataFrame, features: Sequence[Feature]) -> list[str]:
+    """Category labels of the lists whose category a feature returns, in sorted order.
 
-    The tag is the list name behind ``prefix``, which keeps the tags of several record tables apart.
+    Records carry the 1-based position instead of the text, which keeps every aggregation buffer a number.
     """
+    names = sorted({f.tag for f in features if f.how == "last_category"})
+    if not names:
+        return []
+    listed = codelists.where(F.col("codelist").isin(*names) & F.col("category").isNotNull()).select("category").distinct()
+    labels = [row.category for row in listed.limit(CATEGORY_LIMIT + 1).collect()]
+    if len(labels) > CATEGORY_LIMIT:
+        raise ValueError(f"more than {CATEGORY_LIMIT} categories in {', '.join(names)}")
+    return sorted(labels)
+
+
+def tag_by_codelist(
+    events: DataFrame, codelists: DataFrame, names: Sequence[str], prefix: str = "", labels: Sequence[str] = ()
+) -> DataFrame:
+    """Inner join to the named lists on coding system and code.
+
+    The tag is the list name behind ``prefix``, which keeps the tags of several record tables apart; ``category`` is the
+    position of the list's category in ``labels``.
+    """
+    position = label_order(F.col("category"), labels).cast("int") if labels else F.lit(None).cast("int")
     wanted = codelists.where(F.col("codelist").isin(*names)).select(
-        "system", "code", F.concat(F.lit(prefix), F.col("codelist")).alias("tag"), "category"
+        "system", "code", F.concat(F.lit(prefix), F.col("codelist")).alias("tag"), position.alias("category")
     )
-    return events.join(broadcast_if_small(wanted), ["system", "code"])
+    # one row per list and code, so that a code listed twice does not count a record twice
+    once = wanted.groupBy("system", "code", "tag").agg(F.min("category").alias("category"))
+    return events.join(F.broadcast(once) if is_small(wanted) else once, ["system", "code"])
 
 
 def fold_rules(events: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -61,28 +85,22 @@ def fold_rules(events: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 
 def fold_days(tagged: DataFrame, features: Sequence[Feature]) -> DataFrame:
-    """One row per person, day and tag (and category where a feature returns one).
+    """One row per person, day and tag; within a day the record id orders the records.
 
-    All buffers are numbers or dates, so the map-side partial aggregation stays in the hash aggregate.
+    All buffers are numbers or dates, so the map-side partial aggregation is a hash aggregate.
     """
     hows = {f.how for f in features}
-    by_category = sorted({f.tag for f in features if f.how == "last_category"})
-    category = F.when(F.col("tag").isin(*by_category), F.col("category")) if by_category else F.lit(None).cast("string")
-    keys = [PERSON, F.col("event_date"), F.col("tag")]
-    if by_category:
-        keys.append(category.alias("category"))
     aggs = [F.count(F.lit(1)).alias("n")]
-    if hows & {"last_value", "last_category"}:
-        aggs.append(F.max("event_id").alias("last_id"))
+    if "last_category" in hows:
+        aggs.append(F.max_by("category", "event_id").alias("last_category"))
     if "last_value" in hows:
         aggs.append(F.max_by("value", "event_id").alias("last_value"))
     if "first_value" in hows:
-        aggs.append(F.min("event_id").alias("first_id"))
         aggs.append(F.min_by("value", "event_id").alias("first_value"))
     if hows & {"latest_day_mean", "latest_day"}:
         aggs.append(F.sum("value").alias("value_sum"))
         aggs.append(F.count("value").alias("value_n"))
-    return tagged.groupBy(*keys).agg(*aggs)
+    return tagged.groupBy(PERSON, "event_date", "tag").agg(*aggs)
 
 
 def _bounds(features: Sequence[Feature]) -> dict[int, tuple[str, Column]]:
@@ -93,7 +111,7 @@ def _bounds(features: Sequence[Feature]) -> dict[int, tuple[str, Column]]:
     return named
 
 
-def _aggregate(f: Feature, bounds: Mapping[int, tuple[str, Column]]) -> Column:
+def _aggregate(f: Feature, bounds: Mapping[int, tuple[str, Column]], labels: Sequence[str]) -> Column:
     tag = f.tag.replace("'", "\\'")
     match = f"tag = '{tag}'"
     if f.lower is not None:
@@ -112,12 +130,14 @@ def _aggregate(f: Feature, bounds: Mapping[int, tuple[str, Column]]) -> Column:
         "last_value": f"max_by(last_value, {day})",
         "latest_day_mean": f"max_by(try_divide(value_sum, cast(value_n as double)), {measured})",
         "latest_day": f"max({measured})",
-        # one row per day, tag and category
-        "last_category": f"max_by(category, CASE WHEN {match} THEN struct(event_date, last_id) END)",
+        "last_category": f"max_by(last_category, {day})",
     }
     if f.how not in by_how:
         raise ValueError(f"unknown feature kind {f.how}")
-    return F.expr(by_how[f.how]).alias(f.name)
+    out = F.expr(by_how[f.how])
+    if f.how == "last_category":
+        out = F.get(F.array(*[F.lit(label) for label in labels]), out - 1)
+    return out.alias(f.name)
 
 
 def pool(*days: DataFrame) -> DataFrame:
@@ -125,17 +145,16 @@ def pool(*days: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), days)
 
 
-def found(index: DataFrame, days: DataFrame, features: Sequence[Feature]) -> DataFrame:
+def found(index: DataFrame, days: DataFrame, features: Sequence[Feature], labels: Sequence[str] = ()) -> DataFrame:
     """Features of the people of ``index`` that have at least one folded day.
 
-    Window bounds are computed once per person, before the join. All features share one aggregation, so the record
-    tables are read once: a hash aggregate, or a sort-based one when a category (text) is among the features, which
-    then uses the order the join on the person leaves behind.
+    Window bounds are computed once per person, before the join. All features share one hash aggregation, so the record
+    tables are read once.
     """
     bounds = _bounds(features)
     slim = index.select(PERSON, *[bound.alias(name) for name, bound in bounds.values()])
     own = days.where(F.col("tag").isin(*sorted({f.tag for f in features})))
-    return slim.join(own, PERSON).groupBy(PERSON).agg(*[_aggregate(f, bounds) for f in features])
+    return slim.join(own, PERSON).groupBy(PERSON).agg(*[_aggregate(f, bounds, labels) for f in features])
 
 
 def with_defaults(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
@@ -144,16 +163,17 @@ def with_defaults(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
     return df.withColumns({f.name: F.coalesce(F.col(f.name), defaults[f.how]) for f in features if f.how in defaults})
 
 
-def resolve(index: DataFrame, days: DataFrame, features: Sequence[Feature]) -> DataFrame:
+def resolve(index: DataFrame, days: DataFrame, features: Sequence[Feature], labels: Sequence[str] = ()) -> DataFrame:
     """Every person of ``index`` with all features."""
-    joined = index.select(PERSON).join(found(index, days, features), PERSON, "left")
+    joined = index.select(PERSON).join(found(index, days, features, labels), PERSON, "left")
     return with_defaults(joined, features).select(PERSON, *[f.name for f in features])
 
 
 def coded_features(index: DataFrame, events: DataFrame, codelists: DataFrame, features: Sequence[Feature]) -> DataFrame:
     """Features of coded records: ``tag`` names the code list."""
-    tagged = tag_by_codelist(events, codelists, sorted({f.tag for f in features}))
-    return resolve(index, fold_days(tagged, features), features)
+    labels = category_labels(codelists, features)
+    tagged = tag_by_codelist(events, codelists, sorted({f.tag for f in features}), labels=labels)
+    return resolve(index, fold_days(tagged, features), features, labels)
 
 
 def rule_features(

@@ -225,13 +225,15 @@ def record_features(index: DataFrame, records: Records, codelists: DataFrame, da
     clinical = clinical_feature_list(d2, F.col("birth_date"), immune)
     medications = [Feature("immunosuppression_medication_date", "immunosuppression_medication", "last_date", upper=d2)]
     test_rules = {"test_any": F.lit(True), "test_positive": F.col("positive")}
+    labels = ft.category_labels(codelists, clinical)
+    clinical_lists = sorted({f.tag for f in clinical})
     days = ft.pool(
-        ft.fold_days(ft.tag_by_codelist(records.clinical, codelists, sorted({f.tag for f in clinical})), clinical),
+        ft.fold_days(ft.tag_by_codelist(records.clinical, codelists, clinical_lists, labels=labels), clinical),
         ft.fold_rules(records.tests, test_rules),
         ft.fold_days(ft.tag_by_codelist(records.admissions, codelists, ["covid_identification"], "admission_"), admissions),
         ft.fold_days(ft.tag_by_codelist(records.medications, codelists, ["immunosuppression_medication"]), medications),
     )
-    return ft.found(index, days, [*tests, *admissions, *clinical, *medications])
+    return ft.found(index, days, [*tests, *admissions, *clinical, *medications], labels)
 
 
 def cohort_extract(

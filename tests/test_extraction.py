@@ -89,6 +89,14 @@ def test_folding_keeps_one_row_per_day_and_tag(spark):
     assert len(folded) == 1 and folded[0].n == 500
 
 
+def test_code_listed_under_two_categories_counts_once(spark):
+    codes = cl.inline(spark, {"c": ("gp", [("A.", "y"), ("A.", "x")])})
+    events = spark.createDataFrame([(1, day(0), 1, "gp", "A.", 1.0)], EVENTS)
+    index = spark.createDataFrame([(1, day(9))], "patient_id long, d date")
+    out = ft.coded_features(index, events, codes, [Feature("n", "c", "count"), Feature("k", "c", "last_category")]).first()
+    assert (out.n, out.k) == (1, "x")
+
+
 def test_doses_chain(spark):
     rows = [(1, day(0)), (1, day(14)), (1, day(15)), (1, day(40)), (2, day(3)), (3, day(-9)), (3, day(1))]
     doses = spark.createDataFrame(rows, "patient_id long, event_date date")
