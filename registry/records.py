@@ -76,6 +76,7 @@ def cents() -> Column:
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, with sex and birth date derived from the account balance."""
     c = cents()
     sex = (
         F.when(F.pmod(c, F.lit(97)) == 0, None).when(F.pmod(c, F.lit(89)) == 0, "U")
