@@ -12,14 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 16
-SLICES = BLOCK * BLOCK
+SLICES = 256
 
 
-def slice_of(cuts: Column, heads: Column, value: Column) -> Column:
-    """How many cut points lie below the value: whole blocks first (``heads`` ends each block), then one block."""
-    whole = F.size(F.filter(heads, lambda c: c < value)) * BLOCK
-    return whole + F.size(F.filter(F.slice(cuts, whole + 1, F.lit(BLOCK)), lambda c: c < value))
+def with_slice(cells: DataFrame) -> DataFrame:
+    """Number of cut points below the value, by binary search: one compiled projection per halving."""
+    cells, step = cells.withColumn("slice", F.lit(0)), SLICES // 2
+    while step >= 1:
+        below = F.get("cuts", F.col("slice") + (step - 1)) < F.col("value")
+        cells = cells.withColumn("slice", F.col("slice") + F.when(below, step).otherwise(0))
+        step //= 2
+    return cells
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -63,8 +66,8 @@ def quantiles(cells: DataFrame, by: Sequence[str], probs: Sequence[float], kind:
     cuts = cells.groupBy(*by).agg(
         F.sum("n").alias("total"),
         F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 10_000).alias("cuts"),
-    ).withColumn("heads", F.filter("cuts", lambda c, i: i % BLOCK == BLOCK - 1))
-    sliced = join_groups(cells, cuts, by).withColumn("slice", slice_of(F.col("cuts"), F.col("heads"), F.col("value")))
+    )
+    sliced = with_slice(join_groups(cells, cuts, by)).drop("cuts")
     wanted = F.array_sort(F.array_distinct(F.array(*[r for p in probs for r in ranks(F.col("total"), p, kind)])))
     order = Window.partitionBy(*by).orderBy("slice")
     slices = (
