@@ -1,10 +1,9 @@
 """Joins, counts, rates, quantiles, summaries, windows and reshaping."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.base import add, r, rounded
-from registry.q_derive import C, RATE_SQL, end
+from registry.q_derive import C
 from registry.sql import codes, half_even, on_cohort, on_extract, on_records, text, with_steps, COHORT
 from spanwise.functions.numbers import interval_cell, percent_of
 from spanwise.operators import derive as d
@@ -12,10 +11,9 @@ from spanwise.operators import features as ft
 from spanwise.operators import reshape as rs
 from spanwise.operators import summaries as sm
 from spanwise.operators.quantiles import quantiles, value_counts
-from spanwise.operators.rates import OUTCOMES, crude_rate, measure_cells, measure_totals, outcome_sums, rate_columns
+from spanwise.operators.rates import OUTCOMES, crude_rate, rate_columns
 from spanwise.operators.rates import test_counts as count_tests
 from spanwise.operators.survival import event_lag_bins
-from spanwise.plans import curves as cv
 from spanwise.plans import tables as tb
 
 N = "count(*) AS n"

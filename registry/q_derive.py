@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from registry import records as rec
-from registry.base import add, r, rounded
+from registry.base import add, r
 from registry.q_sources import GROUP_CASE
 from registry.sql import half_even, on_cohort, on_extract, on_records, relabel, text
 from spanwise.functions.dates import as_date, days_between, time_to_event
-from spanwise.functions.logic import band, first_label, if_known, label_order, present, row_max, row_min, row_min_strict
-from spanwise.functions.numbers import count_cell, interval_cell, parse_count_cell, percent_of, rate_cell, strata_label
+from spanwise.functions.logic import band, if_known, label_order, present, row_max, row_min, row_min_strict
+from spanwise.functions.numbers import count_cell, parse_count_cell, percent_of, rate_cell, strata_label
 from spanwise.operators import derive as d
 from spanwise.operators.rates import rate_columns
 from spanwise.operators.reshape import drop_pairs, melt, rename

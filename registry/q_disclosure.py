@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from registry.base import add
 from registry.q_counts import MASK, n
 from registry.q_derive import C
-from registry.q_sources import GROUP_CASE
 from registry.sql import COHORT, on_cohort, with_steps
 from spanwise.functions.numbers import mask_text, round_to_base
 from spanwise.operators import disclosure as dc

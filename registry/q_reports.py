@@ -3,21 +3,19 @@
 from pyspark.sql import functions as F
 
 from registry import records as rec
-from registry.base import add, r, rounded
-from registry.q_counts import ALL_VARIABLES, BOTH, HIDDEN_SQL, _TESTS_SQL, cont, date_sql, long_sql, numeric_sql, rate_select
+from registry.base import add, rounded
+from registry.q_counts import ALL_VARIABLES, BOTH, HIDDEN_SQL, _TESTS_SQL, cont, long_sql, numeric_sql, rate_select
 from registry.q_derive import C
 from registry.q_sources import km_steps
-from registry.sql import COHORT, EXTRACT, half_even, on_cohort, on_extract, text, to_base, with_steps
-from registry.study import study
+from registry.sql import COHORT, half_even, on_cohort, on_extract, text, to_base, with_steps
 from spanwise.operators import cox
 from spanwise.operators.poisson import age_adjusted_rate
 from spanwise.operators.rates import OUTCOMES, TESTS
-from spanwise.operators.summaries import MISSING, properties
+from spanwise.operators.summaries import properties
 from spanwise.operators.survival import cumulative_incidence, kaplan_meier, risk_table
 from spanwise.operators.wald import wald
 from spanwise.plans import curves as cv
 from spanwise.plans import tables as tb
-from spanwise.plans.extract import cohort_extract
 from spanwise.plans.process import COHORT_COLUMNS, DROPPED_AFTER_EXCLUSION, derive_cohort, exclude
 from spanwise.session import scratch_path
 from spanwise.sources.snapshots import snapshot, write_csv
@@ -26,7 +24,6 @@ from spanwise.sources.snapshots import snapshot, write_csv
 _KM = """SELECT g AS "group", t AS time, CAST(n_risk AS BIGINT) AS n_risk, CAST(d AS BIGINT) AS n_event, CASE WHEN gone THEN 0.0 ELSE round(s, 6) END AS estimate,
 CASE WHEN NOT gone THEN round(exp(ln(s) - 1.959963984540054 * se), 6) END AS conf_low,
 CASE WHEN NOT gone THEN round(least(1.0, exp(ln(s) + 1.959963984540054 * se)), 6) END AS conf_high FROM km"""
-_FILL = "km0 AS (SELECT 1)"
 
 
 def _km(st):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from registry.base import add, rounded
-from registry.sql import COHORT, on_cohort, on_extract, on_records, half_even, text, to_base, with_steps
+from registry.sql import COHORT, on_cohort, on_extract, on_records, half_even, to_base, with_steps
 from spanwise.operators.derive import PRIORITY_GROUPS
 from spanwise.plans.curves import group_counts
 from spanwise.operators.survival import cumulative_incidence, kaplan_meier
