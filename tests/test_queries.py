@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry_point
 from check import compare, connect
+from registry import ORACLES, QUERIES
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 # Iterative models: no SQL counterpart for several coefficients; checked against brute force in test_statistics.
 MODEL_ONLY = {"cox_ph", "wald_tidy", "age_adjusted_rate", "report_ckd_hazards", "report_adjusted_rates"}
 
