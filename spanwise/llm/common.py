@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanwise.session import scratch_path
 
@@ -34,3 +35,15 @@ def word_blocks(data: bytes, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
                 end += 1
         yield data[start:end].split()
         start = end
+
+
+def small_enough(df: DataFrame, rows: int = 50_000, mb: int = 32) -> bool:
+    """Whether a stored table is proven to hold at most ``rows`` rows and ``mb`` MB; counting stops beyond ``rows``."""
+    counted = df.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("size")).first()
+    return counted.n <= rows and (counted.size or 0) <= mb << 20
+
+
+def broadcast_checked(df: DataFrame, rows: int = 50_000, mb: int = 32) -> DataFrame:
+    """A stored table with a broadcast hint when it is proven small; otherwise Spark joins it by shuffle."""
+    return F.broadcast(df) if small_enough(df, rows, mb) else df

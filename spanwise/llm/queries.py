@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanwise.llm import simhash
+from spanwise.llm import mixing, sharding, simhash
 from spanwise.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -19,3 +20,47 @@ def query(function):
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 4-word shingles, links at 4 or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes: sources weigh 5, 2, 1 and share 150 % of all words."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+ORACLES["op2_mixing"] = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0) AS size,
+    coalesce(CASE WHEN length(text) > 0 THEN 0.05::DOUBLE + 0.95::DOUBLE * (length(translate(text, '{mixing.NOISE}', ''))::DOUBLE / length(text)) END,
+      1.0::DOUBLE) AS weight
+  FROM documents),
+keyed AS (
+  SELECT doc_id, source, size, -ln((CAST('0x' || substr(md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, ''), size::VARCHAR)), 1, 13)
+    AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight AS k
+  FROM sized),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+numbered AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS position FROM totals),
+weighted AS (SELECT *, CASE position % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2.0::DOUBLE * source_size AS cap FROM numbered),
+levels AS (
+  SELECT *, row_number() OVER fill AS place, cap / w AS ratio,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0)) AS level
+  FROM weighted
+  WINDOW fill AS (ORDER BY cap / w, position), earlier AS (ORDER BY cap / w, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aimed AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, place) FROM levels WHERE ratio > level), 0) * w) AS target
+  FROM levels),
+planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM aimed),
+ordered AS (
+  SELECT k.*, p.source_size, p.target, p.epochs, floor(p.target)::BIGINT - p.epochs * p.source_size AS rest,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id ASC NULLS LAST, k.size ROWS UNBOUNDED PRECEDING) - k.size AS before
+  FROM keyed k JOIN planned p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM ordered"""
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes along the Hilbert curve of language, source and size."""
+    placed = sharding.hilbert_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "hilbert")
