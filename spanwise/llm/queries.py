@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import mixing, sharding, simhash
+from spanwise.llm import language, mixing, sharding, simhash
 from spanwise.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -64,3 +64,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.hilbert_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from labelled texts that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model, names = language.fit(docs.where(language.in_training()))
+    return language.predict(docs, model, names).select("doc_id", (~language.in_training()).alias("held_out"), "lang_pred", "score")
