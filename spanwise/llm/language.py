@@ -150,6 +150,46 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     return train(np.concatenate([w for w, _ in parts]), np.concatenate([m for _, m in parts]), labels, len(names), steps), names
 
 
+def _pooled(model: ByteTagger, classes: int, texts: list[bytes]) -> np.ndarray:
+    """Sums of the log probabilities of all bytes of each text."""
+    sums, held, rows, n = np.zeros((len(texts), classes)), [], [], 0
+
+    def flush():
+        owner = np.concatenate([np.full(len(w), i) for i, (w, _) in zip(rows, held)])
+        data, mask = np.concatenate([w for w, _ in held]), np.concatenate([m for _, m in held])
+        for s in range(0, len(data), BATCH):
+            p = model.log_probabilities(np.ascontiguousarray(data[s:s + BATCH].T))
+            np.add.at(sums, owner[s:s + BATCH], np.einsum("tcb,bt->bc", p, mask[s:s + BATCH], optimize=True))
+        held.clear()
+        rows.clear()
+
+    for i, data in enumerate(texts):
+        for s in range(0, len(data), BATCH * WINDOW):
+            held.append(cut_windows(data[s:s + BATCH * WINDOW], WINDOW))
+            rows.append(i)
+            n += len(held[-1][0])
+            if n >= 4 * BATCH:
+                flush()
+                n = 0
+    if held:
+        flush()
+    return sums
+
+
+def label_texts(model: ByteTagger | None, names: list[str], texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Language and its pooled probability of each text; ``und`` and 0 where there is no letter or no network."""
+    best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    at = [i for i, t in enumerate(texts) if names and LETTER.search(t.decode("utf-8", "replace"))]
+    if at:
+        chosen = [texts[i] for i in at]
+        mean = _pooled(model, len(names), chosen) / np.array([len(t) for t in chosen])[:, None]
+        p = np.exp(mean - mean.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        for i, row in zip(at, p):
+            best[i], score[i] = names[int(row.argmax())], row.max()
+    return best, score
+
+
 def predict(docs: DataFrame, model: ByteTagger | None, names: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, lang_pred, score)`` per row: the language with the largest pooled probability, and that probability.
 
@@ -158,44 +198,23 @@ def predict(docs: DataFrame, model: ByteTagger | None, names: list[str], key: st
     """
     kind = docs.schema[key].dataType.simpleString()
 
-    def pooled(texts: list[bytes]) -> np.ndarray:
-        sums, held, rows = np.zeros((len(texts), len(names))), [], []
-
-        def flush():
-            owner = np.concatenate([np.full(len(w), i) for i, (w, _) in zip(rows, held)])
-            data, mask = np.concatenate([w for w, _ in held]), np.concatenate([m for _, m in held])
-            for s in range(0, len(data), BATCH):
-                p = model.log_probabilities(np.ascontiguousarray(data[s:s + BATCH].T))
-                np.add.at(sums, owner[s:s + BATCH], np.einsum("tcb,bt->bc", p, mask[s:s + BATCH], optimize=True))
-            held.clear()
-            rows.clear()
-
-        n = 0
-        for i, data in enumerate(texts):
-            for s in range(0, len(data), BATCH * WINDOW):
-                held.append(cut_windows(data[s:s + BATCH * WINDOW], WINDOW))
-                rows.append(i)
-                n += len(held[-1][0])
-                if n >= 4 * BATCH:
-                    flush()
-                    n = 0
-        if held:
-            flush()
-        return sums
-
     def run(batches):
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            lettered = [bool(names) and LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
-            best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            at = [i for i, ok in enumerate(lettered) if ok]
-            if at:
-                chosen = [texts[i] for i in at]
-                mean = pooled(chosen) / np.array([len(t) for t in chosen])[:, None]
-                p = np.exp(mean - mean.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                for i, row in zip(at, p):
-                    best[i], score[i] = names[int(row.argmax())], row.max()
+            best, score = label_texts(model, names, texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
 
     return docs.select(key, F.encode(F.col(text), "UTF-8").alias("_text")).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: ByteTagger | None, names: list[str], text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is told with a probability of ``least`` or more; ``und`` ones go."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts = [(v.as_py() or "").encode("utf-8", "replace") for v in batch.column(at)]
+            _, score = label_texts(model, names, texts)
+            yield batch.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import language, mixing, sharding, simhash
+from spanwise.llm import decontaminate, language, mixing, sharding, simhash
 from spanwise.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -72,3 +72,9 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, names = language.fit(docs.where(language.in_training()))
     return language.predict(docs, model, names).select("doc_id", (~language.in_training()).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents, copied or paraphrased."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -242,3 +242,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     known = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n_exact")
     return own.join(known, "fp").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_exact")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group of near-duplicates: the one with the smallest ``key``.
+
+    Of repeated rows of one key one stays, too. Rows without a key stay, as they cannot be told from each other.
+    """
+    groups = stored(near_duplicates(docs, key, text, words, threshold).select(key, "component_id"), "simhash-groups")
+    others = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    again = stored(groups.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "simhash-again")
+    kept = docs.join(others, key, "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)
