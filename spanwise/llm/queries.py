@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import decontaminate, language, mixing, mtree, sharding, simhash
+from spanwise.llm import decontaminate, hmm, language, mixing, mtree, sharding, simhash
 from spanwise.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -95,3 +95,11 @@ scored AS (
   FROM clean q JOIN clean c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents by a hidden Markov model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = hmm.score(docs, docs.where(hmm.in_training()))
+    return scored.withColumn("held_out", ~hmm.in_training())
