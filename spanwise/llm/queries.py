@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import decontaminate, hmm, language, mixing, mtree, quality, sharding, simhash
+from spanwise.llm import decontaminate, hmm, language, mixing, mtree, quality, sharding, simhash, style_tree
 from spanwise.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -110,3 +110,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text, learned from labels that are not held out."""
     scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (~quality.in_training()).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return style_tree.main_texts(table(spark, sf_dir, "pages"))
