@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import decontaminate, hmm, language, mixing, mtree, quality, sharding, simhash, style_tree
+from spanwise.llm import decontaminate, hmm, language, mixing, mtree, quality, sharding, simhash, style_tree, url_lists
 from spanwise.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -116,3 +116,42 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return style_tree.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by the list entries that were active when they were fetched; times and entries follow from the pages."""
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.judge(url_lists.captures_of(pages), url_lists.entries_of(pages))
+
+
+_HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', ''), '')"
+_STEPS = r"list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '')"
+ORACLES["op7_url_lists"] = f"""
+WITH parsed AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes((page_id * 7919) % 518400) AS fetched, {_HOST} AS host, {_STEPS} AS steps,
+    page_id // 7 AS turn FROM pages),
+given AS (
+  SELECT CASE WHEN turn % 3 = 0 THEN 'spam' ELSE 'adult' END AS list,
+    CASE turn % 4 WHEN 2 THEN 'host' WHEN 3 THEN 'domain' ELSE 'prefix' END AS kind,
+    CASE turn % 4 WHEN 2 THEN host WHEN 3 THEN array_to_string(string_split(host, '.')[-3:], '.')
+      ELSE host || '/' || array_to_string(steps[1:2], '/') END AS name,
+    TIMESTAMP '2024-01-01' + to_days(((turn * 37) % 360)::INTEGER) AS valid_from, turn % 5 >= 2 AS listed
+  FROM parsed WHERE page_id % 7 = 0 AND host IS NOT NULL AND len(string_split(host, '.')) >= 3),
+folded AS (SELECT list, kind, name, valid_from, bool_and(listed) AS listed FROM given GROUP BY ALL),
+spans AS (
+  SELECT *, lead(valid_from, 1, TIMESTAMP '9999-12-31') OVER (PARTITION BY list, kind, name ORDER BY valid_from) AS valid_to FROM folded),
+names AS (
+  SELECT page_id, url, fetched, 'host' AS kind, host AS name FROM parsed WHERE host IS NOT NULL
+  UNION ALL SELECT page_id, url, fetched, 'domain', array_to_string(string_split(host, '.')[n:], '.')
+    FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS n FROM parsed WHERE host IS NOT NULL)
+  UNION ALL SELECT page_id, url, fetched, 'prefix', host || '/' || array_to_string(steps[1:n], '/')
+    FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS n FROM parsed WHERE host IS NOT NULL)),
+met AS (
+  SELECT n.*, s.list, list_position(['prefix', 'host', 'domain'], n.kind) AS rank FROM names n JOIN spans s
+  ON n.kind = s.kind AND n.name = s.name AND s.listed AND s.valid_from <= n.fetched AND n.fetched < s.valid_to),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY page_id) AS hits,
+    row_number() OVER (PARTITION BY page_id ORDER BY rank, length(name) DESC, name, list) AS place FROM met)
+SELECT p.page_id, p.url, p.fetched, b.page_id IS NULL AS allowed, coalesce(b.hits, 0) AS hits, b.list, b.kind, b.name
+FROM parsed p LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (page_id)"""
