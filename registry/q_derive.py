@@ -85,7 +85,7 @@ add(
 )
 add(
     "first_of_follow_up",
-    lambda st: st.grouped.select("patient_id", d.first_of_follow_up(C("follow_up_time"), C("time_to_positive_test"), C("time_to_hospitalisation"),
+    lambda st: st.grouped.select("patient_id", row_min_strict(C("follow_up_time"), C("time_to_positive_test"), C("time_to_hospitalisation"),
                                                                     C("time_to_covid_death")).cast("bigint").alias("time")),
     on_cohort("SELECT patient_id, least(follow_up_time, time_to_positive_test, time_to_hospitalisation, time_to_covid_death) AS time FROM grouped"),
 )

@@ -9,7 +9,7 @@ from registry.q_derive import C
 from registry.q_sources import km_steps
 from registry.sql import COHORT, half_even, on_cohort, on_extract, text, to_base, with_steps
 from spanwise.operators import cox
-from spanwise.operators.poisson import age_adjusted_rate
+from spanwise.operators.poisson import RATE_COLUMNS, age_adjusted_rate, age_adjusted_rates
 from spanwise.operators.rates import OUTCOMES, TESTS
 from spanwise.operators.summaries import properties
 from spanwise.operators.survival import cumulative_incidence, kaplan_meier, risk_table
@@ -96,7 +96,7 @@ def _one_covariate(st):
     """Hazard ratio per ten years of age for each outcome."""
     counted = cox.model_cells(cox.outcome_cells(st.cohort, _COX, ["age"]), [(C("age") - 50.0) / 10.0], "age")
     fits = cox.fit(counted, 1)
-    return rounded(cox.tidy(st.spark, fits, {"age": ["per_10_years"]}), "estimate", "conf_low", "conf_high", digits=5).drop("p_value")
+    return rounded(cox.tidy(st.spark, fits, {"age": ["per_10_years"]}), "estimate", "conf_low", "conf_high", digits=5).drop("p_value", "converged", "steps")
 
 
 def _newton_sql(steps: int = 8) -> str:
@@ -134,18 +134,56 @@ def _wald(st):
     return st.spark.createDataFrame(rows, "outcome string, estimate double, se double, low_90 double, high_90 double, p_value double")
 
 
-add("wald_tidy", lambda st: rounded(_wald(st), "estimate", "se", "low_90", "high_90", "p_value", digits=5))
+# twice the normal tail, by Simpson's rule from 0 to |z|
+_P = """greatest(0.0, 1.0 - 2.0 * list_sum([(CASE WHEN k IN (0, 400) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * exp(-pow(k * z / 400.0, 2) / 2.0)
+    FOR k IN range(0, 401)]) * z / 1200.0 / sqrt(2.0 * pi()))"""
+add("wald_tidy", lambda st: rounded(_wald(st), "estimate", "se", "low_90", "high_90", "p_value", digits=5), with_steps(
+    COHORT, _newton_sql(_NEWTON), f"wf AS (SELECT outcome, b, 1.0 / sqrt(v) AS se, least(abs(b * sqrt(v)), 12.0) AS z FROM n{_NEWTON - 1})",
+    query=f"""SELECT outcome, round(b, 5) AS estimate, round(se, 5) AS se, round(b - 1.6448536269514722 * se, 5) AS low_90,
+    round(b + 1.6448536269514722 * se, 5) AS high_90, round({_P}, 5) AS p_value FROM wf"""))
+
+
+def age_rate_steps(event: str, time: str, variables: dict[str, str], per: int, name: str = "a", source: str = "grouped", steps: int = 12) -> list[str]:
+    """Age-adjusted rates as CTE ``<name>``: Newton in the age slope alone, unrolled, over cells of each variable's levels."""
+    cells = " UNION ALL ".join(f"SELECT '{v}' AS variable, {x} AS level, CAST(age AS DOUBLE) AS age, {event} AS e, {time} AS d FROM {source}" for v, x in variables.items())
+    out = [
+        f"""{name}c AS (SELECT variable, level, age, CAST(count(*) FILTER (e = 1) AS DOUBLE) AS n, sum(d) / {365.25 * per} AS t
+        FROM ({cells}) WHERE d > -1 AND age IS NOT NULL GROUP BY 1, 2, 3 HAVING sum(d) > 0)""",
+        f"{name}x AS (SELECT *, age - sum(t * age) OVER w / sum(t) OVER w AS x, sum(t * age) OVER w / sum(t) OVER w AS c FROM {name}c WINDOW w AS (PARTITION BY variable))",
+        f"{name}b0 AS (SELECT DISTINCT variable, CAST(0.0 AS DOUBLE) AS b FROM {name}c)",
+    ]
+    for i in range(steps + 1):
+        out.append(f"""{name}s{i} AS (SELECT variable, level, any_value(b) AS b, any_value(c) AS c, sum(n) AS n, sum(n * x) AS nx, sum(t * exp(b * x)) AS s0,
+        sum(t * x * exp(b * x)) AS s1, sum(t * x * x * exp(b * x)) AS s2 FROM {name}x JOIN {name}b{i} USING (variable) GROUP BY 1, 2)""")
+        out.append(f"""{name}b{i + 1} AS (SELECT variable, any_value(b) + (sum(nx) - sum(n * s1 / s0)) / sum(n * (s2 / s0 - pow(s1 / s0, 2))) AS b FROM {name}s{i} GROUP BY 1)""")
+    infinite = "CAST('Infinity' AS DOUBLE)"
+    out.append(f"""{name}f AS (SELECT *, s1 / s0 AS m, 1.0 / sum(n * (s2 / s0 - pow(s1 / s0, 2))) OVER (PARTITION BY variable) AS v,
+        row_number() OVER w AS place, first_value(n) OVER w AS n1, first_value(s1 / s0) OVER w AS m1 FROM {name}s{steps} WINDOW w AS (PARTITION BY variable ORDER BY level))""")
+    out.append(f"""{name}e AS (SELECT variable, level, n, CASE WHEN n > 0 THEN n / s0 * exp(-b * c) END AS rate, CASE WHEN n = 0 OR (place > 1 AND n1 = 0) THEN NULL
+        WHEN place = 1 THEN sqrt(1.0 / n + pow(m + c, 2) * v) ELSE sqrt(1.0 / n + 1.0 / n1 + pow(m - m1, 2) * v) END AS se FROM {name}f)""")
+    out.append(f"""{name} AS (SELECT variable, level, coalesce(rate, 0.0) AS rate_adj, coalesce(rate * exp(-se), 0.0) AS lower_adj,
+        coalesce(rate * exp(se), {infinite}) AS upper_adj FROM {name}e)""")
+    return out
+
+
+_STAGE = {"chronic_kidney_disease": "coalesce(chronic_kidney_disease, 'Unknown')"}
+_ADJUSTED = {v: f"coalesce({v}, '{tb.UNKNOWN_LABELS.get(v, 'Unknown')}')" for v in ("sex", "bmi", "smoking_status", "ethnicity", "imd", "region", "chronic_kidney_disease")}
+_ADJ_COLUMNS = ", ".join(f"round({c}, 4) AS {c}" for c in RATE_COLUMNS)
 add("age_adjusted_rate", lambda st: rounded(age_adjusted_rate(
-    st.cohort, "covid_positive_test", "time_to_positive_test", "chronic_kidney_disease", [*_LEVELS[:-1], "Unknown"]), "rate_adj", "lower_adj", "upper_adj", digits=4))
+    st.cohort, "covid_positive_test", "time_to_positive_test", "chronic_kidney_disease", _LEVELS), *RATE_COLUMNS, digits=4),
+    with_steps(COHORT, *age_rate_steps("covid_positive_test", "time_to_positive_test", _STAGE, 1000, source="cohort"), query=f"SELECT level, {_ADJ_COLUMNS} FROM a"))
+add("age_adjusted_rates", lambda st: rounded(age_adjusted_rates(
+    st.cohort, "covid_positive_test", "time_to_positive_test", list(_ADJUSTED), labels=tb.UNKNOWN_LABELS), *RATE_COLUMNS, digits=4),
+    with_steps(COHORT, *age_rate_steps("covid_positive_test", "time_to_positive_test", _ADJUSTED, 1000, source="cohort"), query=f"SELECT variable, level, {_ADJ_COLUMNS} FROM a"))
 
 # report tables ------------------------------------------------------------------------------------------------------
 
 
-def measures(source: str, keys: list[str], min_time: int | None = None, per: float = 1000.0) -> str:
+def measures(source: str, keys: list[str], min_time: int | None = None, per: float = 1000.0, outcomes: dict = OUTCOMES) -> str:
     """All measures of a table in two CTEs: ``tot`` and ``fin``."""
-    kept = {o: "true" if min_time is None else f"{t} > {min_time}" for o, (_, t) in OUTCOMES.items()}
+    kept = {o: "true" if min_time is None else f"{t} > {min_time}" for o, (_, t) in outcomes.items()}
     sums = ", ".join(f"CAST(coalesce(sum({e}) FILTER ({kept[o]}), 0) AS DOUBLE) AS e_{o}, CAST(coalesce(sum({t}) FILTER ({kept[o]}), 0) AS DOUBLE) AS t_{o}"
-                     for o, (e, t) in OUTCOMES.items())
+                     for o, (e, t) in outcomes.items())
     k = ", ".join(keys)
     pct = ", ".join(f"{half_even(f'CAST({t} AS DOUBLE) / n * 100.0')} AS {t}" for t in TESTS)
     cols = ", ".join(f"CAST(e_{o} AS BIGINT) AS events_{o}, {rate_select(f'e_{o}', f't_{o}', per, f'_{o}')}" for o in OUTCOMES)
@@ -154,8 +192,8 @@ def measures(source: str, keys: list[str], min_time: int | None = None, per: flo
 fin AS (SELECT {k}, n, fu_q1, fu_median, fu_q3, {pct}, {half_even('tests_positive / nullif(tests_any, 0) * 100.0', 2)} AS positivity, {cols} FROM tot)"""
 
 
-def redact_sql(keys: list[str], total: str | None = None) -> str:
-    """``red``: suppressed and rounded; with ``total`` the total row is rebuilt."""
+def redact_sql(keys: list[str], total: str | None = None, source: str = "fin", more: tuple[str, ...] = ()) -> str:
+    """``red``: suppressed and rounded; with ``total`` the total row is rebuilt. ``more`` statistics hang on each outcome's events."""
     k = ", ".join(keys)
     cols = ["CASE WHEN n >= 8 THEN round_even(n / 5.0::DOUBLE, 0) * 5.0 END AS n"]
     cols += [f"CASE WHEN n >= 8 THEN {c} END AS {c}" for c in ("fu_q1", "fu_median", "fu_q3")]
@@ -163,15 +201,15 @@ def redact_sql(keys: list[str], total: str | None = None) -> str:
     cols.append("CASE WHEN events_positive_test >= 8 THEN positivity END AS positivity")
     for o in OUTCOMES:
         cols.append(f"CASE WHEN events_{o} >= 8 THEN round_even(events_{o} / 5.0::DOUBLE, 0) * 5.0 END AS events_{o}")
-        cols += [f"CASE WHEN events_{o} >= 8 THEN {s}_{o} END AS {s}_{o}" for s in ("py", "rate", "lower", "upper")]
-    base = f"red0 AS (SELECT {k}, {', '.join(cols)} FROM fin)"
+        cols += [f"CASE WHEN events_{o} >= 8 THEN {s}_{o} END AS {s}_{o}" for s in ("py", "rate", "lower", "upper", *more)]
+    base = f"red0 AS (SELECT {k}, {', '.join(cols)} FROM {source})"
     if total is None:
         return base + ", red AS (SELECT * FROM red0)"
     rebuilt = ", ".join(f"CASE WHEN {total} THEN coalesce(sum({c}) FILTER (NOT ({total})) OVER (), 0.0) ELSE {c} END AS {c}" for c in tb.COUNTS)
     return base + f", red AS (SELECT * REPLACE ({rebuilt}) FROM red0)"
 
 
-def format_sql(keys: list[str]) -> str:
+def format_sql(keys: list[str], adjusted: bool = False) -> str:
     def cell(x: str) -> str:
         return f"coalesce({text(x)}, '[REDACTED]')"
 
@@ -180,12 +218,14 @@ def format_sql(keys: list[str]) -> str:
     for o in OUTCOMES:
         cols.append(f"{cell(f'events_{o}')} || ' (' || {cell(f'py_{o}')} || ')' AS {o}_count")
         cols.append(f"{cell(f'rate_{o}')} || ' (' || {cell(f'lower_{o}')} || '-' || {cell(f'upper_{o}')} || ')' AS {o}_rate")
+        if adjusted:
+            cols.append(f"{cell(f'rate_adj_{o}')} || ' (' || {cell(f'lower_adj_{o}')} || '-' || {cell(f'upper_adj_{o}')} || ')' AS {o}_rate_adj")
     return f"SELECT {', '.join(keys)}, {', '.join(cols)} FROM red"
 
 
 _LABEL = "CASE g " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(tb.TABLE_GROUPS)) + " END"
 _T1 = [BOTH, measures("both_rows", ["g"])]
-_T1_KEYS = ['g AS "group"', f"{_LABEL} AS label"]
+_T1_KEYS = ['g AS "group"', f"{_LABEL.replace(tb.TABLE_GROUPS[3], tb.REDACTED_GROUPS[3]).replace(tb.TABLE_GROUPS[4], tb.REDACTED_GROUPS[4])} AS label"]
 add("report_priority_groups", lambda st: tb.priority_groups_redacted(st.grouped),
     with_steps(COHORT, *_T1, redact_sql(["g"], "g = 0"), query=format_sql(_T1_KEYS)))
 add("report_priority_groups_raw", lambda st: tb.priority_groups(st.grouped),
@@ -208,7 +248,13 @@ _T3 = [long_sql(["chronic_kidney_disease"]), measures("long", ["variable", "leve
 add("report_ckd_rates", lambda st: tb.characteristics_redacted(st.grouped, **tb.CKD_OPTIONS),
     with_steps(COHORT, *_T3, redact_sql(_T2_KEYS), query=f"{format_sql(_T2_KEYS)} WHERE level <> 'Unknown'"))
 add("report_ckd_hazards", lambda st: rounded(tb.ckd_hazards(st.cohort), "estimate", "conf_low", "conf_high", "p_value"))
-add("report_adjusted_rates", lambda st: tb.adjusted_rates_redacted(st.grouped, levels=[*_LEVELS[:-1], "Unknown"]))
+_T4_OUTCOMES = OUTCOMES | {"critical_care": (OUTCOMES["critical_care"][0], "time_to_hospitalisation")}
+_T4_ADJUSTED = [step for o, (e, t) in _T4_OUTCOMES.items() for step in age_rate_steps(e, t, _STAGE, 10000, f"a_{o}")]
+_T4_JOINED = "adjusted AS (SELECT fin.*, " + ", ".join(f"round(a_{o}.{c}, 2) AS {c}_{o}" for o in OUTCOMES for c in RATE_COLUMNS) + " FROM fin " + " ".join(
+    f"LEFT JOIN a_{o} ON a_{o}.level = fin.level" for o in OUTCOMES) + ")"
+add("report_adjusted_rates", lambda st: tb.adjusted_rates_redacted(st.grouped), with_steps(
+    COHORT, *_T3[:1], measures("long", _T2_KEYS, -1, 10000.0, _T4_OUTCOMES), *_T4_ADJUSTED, _T4_JOINED,
+    redact_sql(_T2_KEYS, source="adjusted", more=tuple(RATE_COLUMNS)), query=format_sql(_T2_KEYS, adjusted=True)))
 
 # curves, flowchart, histogram, overlap ----------------------------------------------------------------------------
 
@@ -256,7 +302,8 @@ def _histogram_sql(tests: str) -> str:
 
 _T = "coalesce(tests_conducted_any, 0)"
 add("test_histogram", lambda st: cv.test_histogram(st.grouped), with_steps(COHORT, BOTH, query=_histogram_sql(_T)))
-add("report_test_histogram", lambda st: cv.test_histogram(st.grouped, cap=4), with_steps(COHORT, BOTH, query=_histogram_sql(f"least({_T}, 4)")))
+add("report_test_histogram", lambda st: cv.test_histogram(st.grouped), with_steps(COHORT, BOTH, query=_histogram_sql(_T)))
+add("test_histogram_pooled", lambda st: cv.test_histogram(st.grouped, cap=4), with_steps(COHORT, BOTH, query=_histogram_sql(f"least({_T}, 4)")))
 
 
 def _overlap(st):

@@ -23,13 +23,13 @@ def as_date(value: str) -> Column:
 
 
 def within(date: Column, lower: Column | None = None, upper: Column | None = None) -> Column:
-    """Inclusive window; an unknown date or bound matches nothing."""
+    """Inclusive window as plain comparisons, which a filter hands to the scan; NULL for an unknown date or bound."""
     inside = date.isNotNull()
     if lower is not None:
         inside = inside & (date >= lower)
     if upper is not None:
         inside = inside & (date <= upper)
-    return F.coalesce(inside, F.lit(False))
+    return inside
 
 
 def completed_years(birth: Column, on: Column) -> Column:

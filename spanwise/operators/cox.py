@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from spanwise.operators.wald import wald
 
-#: Above this many events on one day the tie sums use asymptotic series instead of one term per event.
-EXACT_TIES = 2000
-
 
 @dataclass(frozen=True)
 class Outcome:
@@ -56,32 +53,6 @@ def model_cells(counted: DataFrame, terms: Sequence[Column], model: str) -> Data
     ).withColumn("model", F.lit(model))
 
 
-def _series(x: str) -> tuple[str, str, str]:
-    """Asymptotic log-gamma, digamma and trigamma of large arguments, as SQL text."""
-    lgamma = f"(({x} - 0.5) * ln({x}) - {x} + 0.9189385332046727D + 1D / (12 * {x}) - 1D / (360 * pow({x}, 3)) + 1D / (1260 * pow({x}, 5)))"
-    digamma = f"(ln({x}) - 1D / (2 * {x}) - 1D / (12 * pow({x}, 2)) + 1D / (120 * pow({x}, 4)) - 1D / (252 * pow({x}, 6)))"
-    trigamma = f"(1D / {x} + 1D / (2 * pow({x}, 2)) + 1D / (6 * pow({x}, 3)) - 1D / (30 * pow({x}, 5)) + 1D / (42 * pow({x}, 7)))"
-    return lgamma, digamma, trigamma
-
-
-def tie_sums(s0: str = "s0", e0: str = "e0", d: str = "d", exact_up_to: int = EXACT_TIES) -> tuple[str, str, str]:
-    """Sums over tied events of ``ln f``, ``1/f`` and ``1/f**2`` with ``f_l = s0 - l/d * e0``, as SQL text."""
-    def exact(term: str) -> str:
-        f = f"({s0} - l / {d} * {e0})"
-        return f"aggregate(sequence(0, cast({d} - 1 as int)), 0D, (acc, l) -> acc + {term.replace('f', f)})"
-
-    # f_l = (e0/d) * (a - l) with a = d * s0 / e0, so the sums are differences of gamma functions
-    unit = f"({e0} / {d})"
-    top, bottom = f"({s0} / {unit} + 1)", f"({s0} / {unit} - {d} + 1)"
-    (lg_t, dg_t, tg_t), (lg_b, dg_b, tg_b) = _series(top), _series(bottom)
-    smooth = f"{d} > {exact_up_to} AND {bottom} > 30"
-    return (
-        f"CASE WHEN {smooth} THEN {d} * ln({unit}) + {lg_t} - {lg_b} ELSE {exact('ln(f)')} END",
-        f"CASE WHEN {smooth} THEN ({dg_t} - {dg_b}) / {unit} ELSE {exact('1D / f')} END",
-        f"CASE WHEN {smooth} THEN ({tg_b} - {tg_t}) / ({unit} * {unit}) ELSE {exact('1D / (f * f)')} END",
-    )
-
-
 def partial_likelihood(counted: DataFrame, betas: DataFrame, p: int) -> DataFrame:
     """Log likelihood ``ll``, score ``u*`` and information ``i*_*`` per outcome and model at given coefficients.
 
@@ -99,12 +70,15 @@ def partial_likelihood(counted: DataFrame, betas: DataFrame, p: int) -> DataFram
     # at most one row per model and day from here on
     back = "OVER (PARTITION BY outcome, model ORDER BY time DESC ROWS UNBOUNDED PRECEDING)"
     at_risk = daily.selectExpr(
-        "outcome", "model", "d", "dxb", *[f"dx{j}" for j in range(p)], *[f"e{m}" for m in moments],
+        "outcome", "model", "time", "d", "dxb", *[f"dx{j}" for j in range(p)], *[f"e{m}" for m in moments],
         *[f"sum(s{m}) {back} AS s{m}" for m in moments],
     ).where("d > 0")
-    r0, r1, r2 = tie_sums()
-    tied = at_risk.selectExpr("*", f"{r0} AS r0", f"{r1} AS c1", f"{r2} AS c2", *[f"e{j}_ / e0 AS r_{j}" for j in range(p)]).selectExpr(
-        "*", *[f"s{j}_ - r_{j} * s0 AS u_{j}" for j in range(p)])
+    # one row per tied event: the sums over f_l = s0 - l/d * e0 are plain sums for any number of events on a day
+    keys = ["outcome", "model", "time"]
+    kept = [f"first({c}) AS {c}" for c in at_risk.columns if c not in keys]
+    each = at_risk.selectExpr("*", "explode(sequence(0L, cast(d as bigint) - 1)) AS l").selectExpr("*", "s0 - l / d * e0 AS f")
+    tied = each.groupBy(*keys).agg(*map(F.expr, [*kept, "sum(ln(f)) AS r0", "sum(1D / f) AS c1", "sum(1D / (f * f)) AS c2"])).selectExpr(
+        "*", *[f"e{j}_ / e0 AS r_{j}" for j in range(p)]).selectExpr("*", *[f"s{j}_ - r_{j} * s0 AS u_{j}" for j in range(p)])
     out = ["sum(dxb - r0) AS ll", "cast(sum(d) as bigint) AS events"]
     out += [f"sum(dx{j} - d * r_{j} - u_{j} * c1) AS u{j}" for j in range(p)]
     out += [
@@ -122,10 +96,21 @@ def _betas(spark, state: dict[tuple[str, str], np.ndarray], p: int) -> DataFrame
     return spark.createDataFrame(pa.table(columns))
 
 
+def free_terms(info: np.ndarray, tolerance: float = 1e-8) -> np.ndarray:
+    """Which terms carry information of their own: a term that earlier ones explain, or that never varies, is aliased."""
+    left, free = info.astype(float).copy(), np.zeros(len(info), bool)
+    for j in range(len(info)):
+        free[j] = left[j, j] > tolerance * max(info[j, j], 0.0) and info[j, j] > 1e-10
+        if free[j]:
+            left = left - np.outer(left[:, j], left[j]) / left[j, j]
+    return free
+
+
 def fit(counted: DataFrame, p: int, max_steps: int = 20, tolerance: float = 1e-9) -> dict[tuple[str, str], dict]:
     """Newton-Raphson with step halving for every outcome and model at once.
 
-    Coefficients of covariates without information (absent levels) stay at 0 and get no standard error.
+    Coefficients of aliased covariates (absent levels, levels that sum to one) stay at 0 and get no standard error. Each
+    result says whether it ``converged`` and after how many ``steps``.
     """
     spark = counted.sparkSession
     counted = counted.persist()
@@ -134,7 +119,7 @@ def fit(counted: DataFrame, p: int, max_steps: int = 20, tolerance: float = 1e-9
         beta = {k: np.zeros(p) for k in keys}
         best: dict[tuple[str, str], dict] = {}
         open_keys = set(keys)
-        for _ in range(max_steps + 1):
+        for number in range(max_steps + 1):
             trial = {k: beta[k] for k in open_keys}
             for row in partial_likelihood(counted, _betas(spark, trial, p), p).collect():
                 key = (row["outcome"], row["model"])
@@ -144,10 +129,11 @@ def fit(counted: DataFrame, p: int, max_steps: int = 20, tolerance: float = 1e-9
                 if last is not None and row["ll"] < last["ll"] - abs(last["ll"]) * 1e-12:
                     beta[key] = (beta[key] + last["beta"]) / 2
                     continue
-                used = np.diag(info) > 1e-10
+                used = free_terms(info)
+                close = last is not None and abs(row["ll"] - last["ll"]) <= tolerance * (abs(row["ll"]) + tolerance)
                 best[key] = {"beta": beta[key], "ll": row["ll"], "info": info, "used": used, "events": row["events"],
-                             "score": score}
-                if last is not None and abs(1 - last["ll"] / row["ll"]) <= tolerance:
+                             "score": score, "converged": close or not used.any(), "steps": number}
+                if best[key]["converged"]:
                     open_keys.discard(key)
                     continue
                 step = np.zeros(p)
@@ -166,14 +152,18 @@ def fit(counted: DataFrame, p: int, max_steps: int = 20, tolerance: float = 1e-9
 
 
 def tidy(spark, fits: dict[tuple[str, str], dict], terms: Mapping[str, Sequence[str | None]], level: float = 0.95) -> DataFrame:
-    """Hazard ratios with Wald limits; ``terms`` names the coefficients of each model (None leaves one out)."""
+    """Hazard ratios with Wald limits; ``terms`` names the coefficients of each model (None leaves one out).
+
+    Aliased terms have NULL estimates. ``converged`` and ``steps`` belong to the fit.
+    """
     rows = []
     for (outcome, model), result in sorted(fits.items()):
         for j, term in enumerate(terms[model]):
-            if term is not None and result["used"][j]:
-                rows.append((outcome, model, term, *wald(result["beta"][j], result["se"][j], level)))
-    names = ["outcome", "model", "term", "estimate", "conf_low", "conf_high", "p_value"]
-    kinds = [pa.string()] * 3 + [pa.float64()] * 4
+            if term is not None:
+                found = wald(result["beta"][j], result["se"][j], level) if result["used"][j] else (None,) * 4
+                rows.append((outcome, model, term, *found, bool(result["converged"]), int(result["steps"])))
+    names = ["outcome", "model", "term", "estimate", "conf_low", "conf_high", "p_value", "converged", "steps"]
+    kinds = [pa.string()] * 3 + [pa.float64()] * 4 + [pa.bool_(), pa.int32()]
     columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))]
     return spark.createDataFrame(pa.table(columns, names=names))
 

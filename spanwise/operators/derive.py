@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,11 +188,6 @@ def with_priority_group(cohort: DataFrame) -> DataFrame:
     return cohort.withColumn("group", priority_group()).withColumn("follow_up_time", F.col("follow_up_time_vax2") - 14)
 
 
-def first_of_follow_up(*times: Column) -> Column:
-    """Strict row minimum: unknown as soon as one of the times is unknown."""
-    return F.when(reduce(lambda a, b: a & b, [t.isNotNull() for t in times]), F.least(*times))
-
-
 def derived_end_dates(extract: DataFrame, min_count: int = 5) -> DataFrame:
     """Per outcome, the latest date on which more than ``min_count`` people had it."""
     dated = ["covid_positive_test_date", "covid_hospital_admission_date", "death_date"]

@@ -152,15 +152,14 @@ def crosstab_long(
     """Two categories in long form with shares inside ``level2`` and masks from both margins."""
     text1, text2 = (F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in (level1, level2))
     counts = df.groupBy(text1.alias("level1"), text2.alias("level2")).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy(F.lit(1))
 
     def observed(column: str, declared: Sequence[str] | None) -> Column:
-        seen = F.collect_set(column).over(everything)
+        seen = F.collect_set(column)
         return F.array_union(F.array(*[F.lit(x) for x in declared]), seen) if declared else seen
 
-    # aggregated table: at most one row per pair of levels
+    # one row with the levels of both categories, then one row per pair of them
     pairs = (
-        counts.select(observed("level1", levels1).alias("a"), observed("level2", levels2).alias("b")).distinct()
+        counts.agg(observed("level1", levels1).alias("a"), observed("level2", levels2).alias("b"))
         .select(F.explode("a").alias("level1"), "b").select("level1", F.explode("b").alias("level2"))
     )
     full = pairs.join(counts, ["level1", "level2"], "left").fillna(0, subset=["n"])

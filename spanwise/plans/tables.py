@@ -14,7 +14,7 @@ from spanwise.operators.derive import ETHNICITY_LABELS, IMD_LABELS, REGION_LABEL
 from spanwise.operators.disclosure import (
     rebuild_totals, round_counts, suppress_small_percentages, suppress_small_rows,
 )
-from spanwise.operators.poisson import age_adjusted_rate
+from spanwise.operators.poisson import RATE_COLUMNS, age_adjusted_rates
 from spanwise.operators.rates import OUTCOMES, TESTS, crude_rate, finish_measures, measure_cells, measure_totals
 from spanwise.operators.reshape import chain_left_joins, drop_pairs, left_join_on
 
@@ -29,6 +29,8 @@ TABLE_GROUPS = [
     "50-69 (priority groups 5-9)",
     "Others not in the above groups",
 ]
+# The redacted table writes two of these labels in another way.
+REDACTED_GROUPS = {3: "Health / care workers (priority group 1-2)", 4: "70-79 (priority group 3-4)"}
 
 # Variables of the characteristics table in order.
 CATEGORIES = [
@@ -56,7 +58,10 @@ AGE3 = ([16, 30, 40, 50, 60, 70, 80, float("inf")], ["16-29", "30-39", "40-49",
 SINCE = ([0, 28, 56, 84, float("inf")], ["0-4 weeks", "4-8 weeks", "8-12 weeks", "12+ weeks"])
 BETWEEN = ([0, 42, 84, float("inf")], ["6 weeks or less", "6-12 weeks", "12 weeks or more"])
 CKD_LEVELS = ["No CKD", "Stage 3a", "Stage 3b", "Stage 4", "Stage 5"]
+# The label of unknown smoking.
+UNKNOWN_LABELS = {"smoking_status": "N&M"}
 
+# Order of the levels in the table.
 LEVEL_ORDER = [
     *AGE3[1], "Female", "Male", "Not obese", "Obese", "N&M", "S&E", *ETHNICITY_LABELS.values(), *IMD_LABELS.values(),
     *REGION_LABELS.values(), "Normal", "Elevated/high", *CKD_LEVELS, "Previous kidney transplant",
@@ -123,7 +128,8 @@ def priority_groups(grouped: DataFrame, overall_counts_over_three: bool = False)
 
 def priority_groups_redacted(grouped: DataFrame, threshold: int = 8) -> DataFrame:
     table = redact(priority_groups(grouped), threshold, is_total=F.col("group") == 0)
-    return format_table(table, ["group", "label"])
+    label = first_label(*[(F.col("group") == i, text) for i, text in REDACTED_GROUPS.items()], default=F.col("label"))
+    return format_table(table.withColumn("label", label), ["group", "label"])
 
 
 def report_levels(grouped: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def report_levels(grouped: DataFrame) -> DataFrame:
         "time_between_vaccinations": band(c("tbv"), *BETWEEN),
         "bpcat": first_label((c("bpcat") == "Normal", "Normal"), (c("bpcat").isin("Elevated", "High"), "Elevated/high"), default="Unknown"),
     }
-    categories = {v: F.coalesce(levels.get(v, c(v)), F.lit("Unknown")) for v in CATEGORIES}
+    categories = {v: F.coalesce(levels.get(v, c(v)), F.lit(UNKNOWN_LABELS.get(v, "Unknown"))) for v in CATEGORIES}
     return grouped.withColumns(categories | {v: F.when(c(v) == 1, F.lit(v)) for v in CONDITIONS})
 
 
@@ -192,9 +198,8 @@ def adjusted_rates(
     parts = []
     for name, (event, time) in OUTCOMES.items():
         time = critical_care_time if name == "critical_care" else time
-        rates = age_adjusted_rate(grouped, event, time, factor, levels, per)
-        parts.append(rates.select(F.lit(factor).alias("variable"), "level", *[
-            F.round(c, 2).alias(f"{c}_{name}") for c in ("rate_adj", "lower_adj", "upper_adj")]))
+        rates = age_adjusted_rates(grouped, event, time, [factor], levels, per)
+        parts.append(rates.select("variable", "level", *[F.round(c, 2).alias(f"{c}_{name}") for c in RATE_COLUMNS]))
         if time != OUTCOMES[name][1]:
             swapped = crude_rate(grouped, event, time, [factor], per)
             base = base.drop(*[f"{k}_{name}" for k in ("events", "py", "rate", "lower", "upper")]).join(

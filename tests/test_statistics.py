@@ -136,16 +136,38 @@ def test_cox_with_a_level_nobody_has(spark):
     rows = [("none" if a == 0 else "mild", int(b), int(c), int(d)) for a, b, c, d in zip(level, age, time, event)]
     df = spark.createDataFrame(rows, "factor string, age int, t int, e int")
     out = cox.cox_ph(df, [cox.Outcome("o", "e", "t")], "factor", ["none", "mild", "absent"]).collect()
-    assert {r.term for r in out} == {"factormild"}
+    assert all((r.estimate is None) == (r.p_value is None) == (r.term == "factorabsent") and r.converged for r in out)
 
 
-def test_tie_sums_by_series_match_exact_sums(spark):
-    rows = [(5000.0, 1800.0, 900.0), (1e6, 3e4, 25000.0), (1200.0, 1000.0, 800.0)]
-    df = spark.createDataFrame(rows, "s0 double, e0 double, d double")
-    exact = df.selectExpr(*cox.tie_sums(exact_up_to=10**9)).collect()
-    series = df.selectExpr(*cox.tie_sums(exact_up_to=1)).collect()
-    for a, b in zip(exact, series):
-        assert np.allclose(list(a), list(b), rtol=1e-10)
+def test_cox_without_the_base_level(spark):
+    """The indicators sum to one, so the last of them is aliased; the others are relative to it."""
+    level, age, time, event = survival_rows(120)
+    df = spark.createDataFrame([("mild" if a == 0 else "severe", int(b), int(c), int(d)) for a, b, c, d in zip(level, age, time, event)],
+                               "factor string, age int, t int, e int")
+    out = {(r.model, r.term): r for r in cox.cox_ph(df, [cox.Outcome("o", "e", "t")], "factor", ["none", "mild", "severe"]).collect()}
+    other = {r.model: r for r in cox.cox_ph(df, [cox.Outcome("o", "e", "t")], "factor", ["severe", "mild"]).collect()}
+    for model, r in other.items():
+        assert out[model, "factorsevere"].estimate is None
+        assert abs(out[model, "factormild"].estimate - r.estimate) < 1e-6
+
+
+def test_cox_with_a_log_likelihood_of_zero(spark):
+    df = spark.createDataFrame([("none", 50, 1, 0), ("mild", 60, 2, 0), ("mild", 55, 3, 1)], "factor string, age int, t int, e int")
+    out = cox.cox_ph(df, [cox.Outcome("o", "e", "t")], "factor", ["none", "mild"]).collect()
+    assert len(out) == 2 and all(r.estimate is None and r.converged for r in out)
+
+
+def test_cox_says_when_it_has_not_converged(spark):
+    level, age, time, event = survival_rows(120)
+    df = spark.createDataFrame([(int(b), int(c), int(d)) for b, c, d in zip(age, time, event)], "age int, t int, e int")
+    counted = cox.model_cells(cox.outcome_cells(df, [cox.Outcome("o", "e", "t")], ["age"]), [(F.col("age") - 50) / 10], "m")
+    early, done = cox.fit(counted, 1, max_steps=1)["o", "m"], cox.fit(counted, 1)["o", "m"]
+    assert not early["converged"] and done["converged"] and 1 < done["steps"] < 20
+
+
+def test_wald_limits_may_be_infinite():
+    assert wald(0.0, 400.0)[:3] == (1.0, math.exp(-400.0 * 1.959963984540054), math.inf)
+    assert wald(800.0, 1.0)[0] == math.inf
 
 
 def test_wald_reproduces_published_p_value():
@@ -169,14 +191,17 @@ def poisson_irls(x, y, offset):
 def test_age_adjusted_rates_match_direct_fit(spark):
     rng = np.random.default_rng(2)
     rows = [(level, float(age), int(rng.poisson(6 * (1 + i))), int(rng.integers(20000, 60000))) for i, level in enumerate(["none", "mild", "severe"]) for age in range(40, 80, 2)]
-    cells = spark.createDataFrame(rows, "level string, age double, events long, days long")
+    rows = [(*r[:2], 0 if r[0] == "never" else r[2], r[3]) for r in rows + [("never", 50.0, 0, 40000)]]
+    cells = spark.createDataFrame([("v", *r) for r in rows], "variable string, level string, age double, events long, days long")
+    rows = [r for r in rows if r[0] != "never"]
     levels = ["none", "mild", "absent", "severe"]
     out = {r.level: r for r in poisson_rates(cells, levels).collect()}
     x = np.array([[1, r[0] == "mild", r[0] == "severe", r[1]] for r in rows], float)
     beta, se = poisson_irls(x, np.array([r[2] for r in rows], float), np.log([r[3] / 365250 for r in rows]))
     for name, estimate, error in (("none", beta[0], se[0]), ("mild", beta[0] + beta[1], se[1]), ("severe", beta[0] + beta[2], se[2])):
         assert np.allclose([out[name].rate_adj, out[name].lower_adj, out[name].upper_adj], np.exp([estimate, estimate - error, estimate + error]), rtol=1e-5)
-    assert set(out) == {"none", "mild", "severe"}
+    assert set(out) == {"none", "mild", "severe", "never"}  # a level that is not listed stays
+    assert (out["never"].rate_adj, out["never"].lower_adj, out["never"].upper_adj) == (0.0, 0.0, math.inf)
     plain = {r.level: r for r in poisson_rates(cells, levels, with_age=False).collect()}
     for name in ("none", "mild", "severe"):
         own = [r for r in rows if r[0] == name]
