@@ -250,9 +250,11 @@ def _cat_counts(cols, source="cohort"):
     return " UNION ALL ".join(f"SELECT '{c}' AS margin, coalesce({c}, '(missing)') AS lvl, count(*) AS n FROM {source} GROUP BY 2" for c in cols)
 
 
+_BP_LIST = "[" + ", ".join(f"'{x}'" for x in _BP_LEVELS) + "]"
 _CAT = [
-    f"""counted AS (SELECT margin, lvl, CAST(sum(n) AS BIGINT) AS n, CAST(lvl = '(missing)' AS INTEGER) AS ord FROM ({_cat_counts(_CATS)}
-    UNION ALL SELECT 'bpcat', unnest([{", ".join(f"'{x}'" for x in _BP_LEVELS)}]), 0) GROUP BY 1, 2)""", MASK,
+    f"""counted AS (SELECT margin, lvl, CAST(sum(n) AS BIGINT) AS n, CASE WHEN lvl = '(missing)' THEN 1000 WHEN margin <> 'bpcat' THEN 0
+    ELSE coalesce(list_position({_BP_LIST}, lvl), {len(_BP_LEVELS) + 1}) END AS ord FROM ({_cat_counts(_CATS)}
+    UNION ALL SELECT 'bpcat', unnest({_BP_LIST}), 0) GROUP BY 1, 2)""", MASK,
 ]
 CAT_SELECT = """SELECT margin AS "column", lvl AS level, CASE WHEN NOT mask THEN n END AS n,
 CASE WHEN NOT mask THEN round(n / CAST(sum(n) OVER (PARTITION BY margin) AS DOUBLE), 6) END AS pct,
@@ -265,8 +267,8 @@ _TWO_WAY = [
     "p AS (SELECT a.lvl AS l1, b.lvl AS l2 FROM (SELECT DISTINCT coalesce(chronic_kidney_disease, '(missing)') AS lvl FROM cohort) a, (SELECT DISTINCT bpcat AS lvl FROM cohort) b)",
     """c2 AS (SELECT l1, l2, count(patient_id) AS n FROM p LEFT JOIN cohort ON coalesce(chronic_kidney_disease, '(missing)') = l1 AND bpcat = l2 GROUP BY 1, 2)""",
     """w AS (SELECT *, n BETWEEN 1 AND 5 AS low FROM c2)""",
-    """w2 AS (SELECT *, low OR (bool_or(low) OVER a AND coalesce(sum(n) FILTER (low) OVER a, 0) <= 5 AND row_number() OVER (PARTITION BY l1 ORDER BY low, n, l2) = 1)
-    OR (bool_or(low) OVER b AND coalesce(sum(n) FILTER (low) OVER b, 0) <= 5 AND row_number() OVER (PARTITION BY l2 ORDER BY low, n, l1) = 1) AS mask
+    """w2 AS (SELECT *, low OR (bool_or(low) OVER a AND coalesce(sum(n) FILTER (low) OVER a, 0) <= 5 AND row_number() OVER (PARTITION BY l1 ORDER BY low, n, l2 = '(missing)', l2) = 1)
+    OR (bool_or(low) OVER b AND coalesce(sum(n) FILTER (low) OVER b, 0) <= 5 AND row_number() OVER (PARTITION BY l2 ORDER BY low, n, l1 = '(missing)', l1) = 1) AS mask
     FROM w WINDOW a AS (PARTITION BY l1), b AS (PARTITION BY l2))""",
 ]
 TWO_WAY_SELECT = """SELECT l1 AS level1, l2 AS level2, CASE WHEN NOT mask THEN n END AS n,

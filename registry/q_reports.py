@@ -11,7 +11,7 @@ from registry.sql import COHORT, half_even, on_cohort, on_extract, text, to_base
 from spanwise.operators import cox
 from spanwise.operators.poisson import RATE_COLUMNS, age_adjusted_rate, age_adjusted_rates
 from spanwise.operators.rates import OUTCOMES, TESTS
-from spanwise.operators.summaries import properties
+from spanwise.operators.summaries import STEP_NAMES, properties
 from spanwise.operators.survival import cumulative_incidence, kaplan_meier, risk_table
 from spanwise.operators.wald import wald
 from spanwise.plans import curves as cv
@@ -348,9 +348,14 @@ def _properties(st):
 
 
 def _properties_sql() -> str:
-    numbers = [f"SELECT 'number' AS kind, '{c}' AS \"column\", NULL AS level, {numeric_sql(c)}, NULL AS pct, false AS redacted FROM cohort" for c in _NUMERIC]
-    dates = [f"SELECT 'date' AS kind, '{c}' AS \"column\", NULL AS level, {numeric_sql(f'x')}, NULL AS pct, false AS redacted FROM (SELECT {c} - DATE '1970-01-01' AS x FROM cohort)" for c in _DAYS]
-    levels = """SELECT 'category' AS kind, "column", level, n, CAST(NULL AS BIGINT) AS n_nonmiss, pct_nonmiss, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, pct, redacted FROM cats"""
+    places = ["mean", "min", *STEP_NAMES, "max"]
+    none = ", ".join(f"CAST(NULL AS DATE) AS {p}_date" for p in places)
+    as_dates = ", ".join(f"DATE '1970-01-01' + CAST(floor(\"{p}\") AS INTEGER) AS {p}_date" for p in places)
+    blank = " REPLACE (" + ", ".join(f"CAST(NULL AS DOUBLE) AS \"{p}\"" for p in places) + ")"
+    numbers = [f"SELECT 'number' AS kind, '{c}' AS \"column\", NULL AS level, {numeric_sql(c)}, NULL AS pct, false AS redacted, {none} FROM cohort" for c in _NUMERIC]
+    dates = [f"SELECT *{blank}, {as_dates} FROM (SELECT 'date' AS kind, '{c}' AS \"column\", NULL AS level, {numeric_sql('x')}, NULL AS pct, false AS redacted "
+             f"FROM (SELECT {c} - DATE '1970-01-01' AS x FROM cohort))" for c in _DAYS]
+    levels = """SELECT 'category' AS kind, "column", level, n, CAST(NULL AS BIGINT) AS n_nonmiss, pct_nonmiss, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, pct, redacted, """ + none + " FROM cats"
     return " UNION ALL ".join([*numbers, *dates, levels])
 
 

@@ -47,11 +47,14 @@ def checked_count(n: Column) -> Column:
     return F.when(n.isNull() | (n < 0), wrong).otherwise(n)
 
 
-def suppress_two_way(df: DataFrame, n: str, rows: str, columns: str, threshold: int = 5) -> DataFrame:
-    """Mask by the row margin or the column margin."""
+def suppress_two_way(
+    df: DataFrame, n: str, rows: str, columns: str, threshold: int = 5,
+    row_order: Sequence[str | Column] | None = None, column_order: Sequence[str | Column] | None = None,
+) -> DataFrame:
+    """Mask by the row margin or the column margin; the orders say which of equal cells is hidden."""
     count = F.col(n)
-    by_row = suppress_mask(count, [rows], [columns], threshold)
-    by_column = suppress_mask(count, [columns], [rows], threshold)
+    by_row = suppress_mask(count, [rows], column_order or [columns], threshold)
+    by_column = suppress_mask(count, [columns], row_order or [rows], threshold)
     return df.withColumn("redacted", by_row | by_column)
 
 

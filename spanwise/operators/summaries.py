@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from spanwise.operators.disclosure import suppress_mask, suppress_two_way
 from spanwise.operators.quantiles import join_groups, quantiles
 from spanwise.operators.reshape import complete_levels
+from spanwise.functions.logic import label_order
 from spanwise.functions.numbers import round_to_base
 
 MISSING = "(missing)"
@@ -68,9 +69,10 @@ def properties(
     df: DataFrame, threshold: int = 5, id_suffix: str = "_id",
     stage: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
-    """Redacted summary of every column by type: numbers and dates (in days since 1970) by position, text by level.
+    """Redacted summary of every column by type: numbers and dates by position, text by level.
 
-    Values are counted once for all columns; ``stage`` may store these counts, which several steps read.
+    Positions of dates are dates, in the columns ``mean_date`` to ``max_date``; their deviation is in days. Values are
+    counted once for all columns; ``stage`` may store these counts, which several steps read.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if not f.name.endswith(id_suffix)}
     counts = stage(column_counts(df, list(kinds)), "counts")
@@ -79,7 +81,11 @@ def properties(
     number = F.when(F.col("column").isin(*dates), _as_number("date")).otherwise(_as_number("double"))
     numeric = _numeric_summary(
         counts.where(~F.col("column").isin(*text)).withColumn("value", number), ["column"], threshold)
-    kind = F.when(F.col("column").isin(*dates), "date").otherwise("number")
+    is_date = F.col("column").isin(*dates)
+    for c in ["mean", "min", *STEP_NAMES, "max"]:
+        numeric = numeric.withColumn(f"{c}_date", F.when(is_date, F.date_from_unix_date(F.floor(c).cast("int")))).withColumn(
+            c, F.when(~is_date, F.col(c)))
+    kind = F.when(is_date, "date").otherwise("number")
     levels = _level_summary(
         counts.where(F.col("column").isin(*text)).select("column", F.coalesce("text", F.lit(MISSING)).alias("level"), "n"), threshold, 1)
     return numeric.withColumn("kind", kind).unionByName(
@@ -101,13 +107,20 @@ def summary_date(df: DataFrame, columns: Sequence[str], threshold: int = 5) -> D
     })
 
 
-def summary_by_category(df: DataFrame, category: str, number: str, threshold: int = 5) -> DataFrame:
-    """Numeric summary at each level of a category; unknown levels are ``(missing)``."""
+def _declared(column: str | Column, levels: Sequence[str] | None) -> list[Column]:
+    """How ties between levels are ordered: by declared position, then by name; unlisted and missing ones come last."""
+    level = F.col(column) if isinstance(column, str) else column
+    place = [label_order(level, levels).asc_nulls_last()] if levels else []
+    return [(level == MISSING).cast("int"), *place, level]
+
+
+def summary_by_category(df: DataFrame, category: str, number: str, threshold: int = 5, levels: Sequence[str] | None = None) -> DataFrame:
+    """Numeric summary at each level of a category; unknown levels are ``(missing)``. ``levels`` orders ties in masking."""
     cells = df.groupBy(
         F.coalesce(F.col(category).cast("string"), F.lit(MISSING)).alias("level"), F.col(number).cast("double").alias("value")
     ).agg(F.count(F.lit(1)).alias("n"))
     # one vector over all levels: a level may also be hidden to protect a smaller one
-    return _numeric_summary(cells, ["level"], threshold, suppress_mask(F.col("n"), [F.lit(1)], ["level"], threshold))
+    return _numeric_summary(cells, ["level"], threshold, suppress_mask(F.col("n"), [F.lit(1)], _declared("level", levels), threshold))
 
 
 def _shares(n: str, level: str, by: Sequence[str], pct_of: str) -> dict[str, Column]:
@@ -134,14 +147,17 @@ def summary_categorical(
         extra = counts.where((F.col("column") == column) & ~F.col("level").isin(*declared)).drop("column")
         counts = counts.where(F.col("column") != column).unionByName(
             own.unionByName(extra).select(F.lit(column).alias("column"), "level", "n"))
-    return _level_summary(counts, threshold, accuracy)
+    return _level_summary(counts, threshold, accuracy, levels or {})
 
 
-def _level_summary(counts: DataFrame, threshold: int, accuracy: int) -> DataFrame:
+def _level_summary(counts: DataFrame, threshold: int, accuracy: int, levels: Mapping[str, Sequence[str]] = {}) -> DataFrame:  # noqa: B006
+    """Ties for the second hidden cell go to the first declared level of a column, and by name where none are declared."""
     rounded = counts.withColumn("n", round_to_base(F.col("n"), float(accuracy)).cast("bigint"))
-    last = (F.col("level") == MISSING).cast("int")
+    last, place = (F.col("level") == MISSING).cast("int"), F.lit(0)
+    for column, declared in levels.items():
+        place = F.when(F.col("column") == column, F.coalesce(label_order(F.col("level"), declared), F.lit(len(declared) + 1))).otherwise(place)
     full = rounded.withColumns(_shares("n", "level", ["column"], "n")).withColumn(
-        "redacted", suppress_mask(F.col("n"), ["column"], [last, F.col("level")], threshold))
+        "redacted", suppress_mask(F.col("n"), ["column"], [last, place, F.col("level")], threshold))
     return full.select("column", "level", *[F.when(~F.col("redacted"), F.col(c)).alias(c) for c in ("n", "pct", "pct_nonmiss")], "redacted")
 
 
@@ -164,7 +180,8 @@ def crosstab_long(
     )
     full = pairs.join(counts, ["level1", "level2"], "left").fillna(0, subset=["n"])
     full = full.withColumn("raw", F.col("n")).withColumn("n", round_to_base(F.col("n"), float(accuracy)).cast("bigint"))
-    full = suppress_two_way(full.withColumns(_shares("n", "level1", ["level2"], "raw")), "n", "level1", "level2", threshold)
+    full = suppress_two_way(full.withColumns(_shares("n", "level1", ["level2"], "raw")), "n", "level1", "level2", threshold,
+                            _declared("level1", levels1), _declared("level2", levels2))
     out = full.select(
         "level1", "level2", *[F.when(~F.col("redacted"), F.col(c)).alias(c) for c in ("n", "pct", "pct_nonmiss")], "redacted"
     )

@@ -59,3 +59,17 @@ def test_two_way(spark):
     rows = [("a", "x", 3), ("a", "y", 30), ("b", "x", 40), ("b", "y", 50), ("c", "x", 60), ("c", "y", 70)]
     out = {(r.r, r.c): r.redacted for r in dc.suppress_two_way(spark.createDataFrame(rows, "r string, c string, n int"), "n", "r", "c").collect()}
     assert out == {("a", "x"): True, ("a", "y"): True, ("b", "x"): True, ("b", "y"): False, ("c", "x"): False, ("c", "y"): False}
+
+
+def test_ties_for_the_second_cell_follow_the_declared_order(spark):
+    """Normal and Elevated have equal counts: by name Elevated would be hidden, the declared order hides Normal."""
+    from spanwise.operators.summaries import crosstab_long, summary_by_category, summary_categorical
+
+    counts = {"Normal": 7, "Elevated": 7, "High": 3, "Unknown": 90}
+    df = spark.createDataFrame([(level, "x", 1.0) for level, n in counts.items() for _ in range(n)], "bp string, other string, v double")
+    hidden = lambda rows, name: {r[name] for r in rows.collect() if r.redacted}
+    declared = ["Normal", "Elevated", "High", "Unknown"]
+    assert hidden(summary_categorical(df, ["bp"], {"bp": declared}), "level") == {"Normal", "High"}
+    assert hidden(summary_categorical(df, ["bp"]), "level") == {"Elevated", "High"}
+    assert hidden(summary_by_category(df, "bp", "v", levels=declared), "level") == {"Normal", "High"}
+    assert "Normal" in hidden(crosstab_long(df, "bp", "other", levels1=declared), "level1")

@@ -142,3 +142,14 @@ def test_categories(values):
     got = values([(date(2020, 6, 1), date(2003, 1, 1)), (date(2020, 6, 1), date(1950, 1, 1)), (date(2020, 6, 1), None)], "d date, b date",
                  lambda: bmi_lower_bound(F.col("d"), F.col("b")))
     assert got == [date(2019, 1, 1), date(2015, 6, 1), None]
+
+
+def test_date_windows_reach_the_scan(spark, tmp_path, capsys):
+    """Bounds on the record date are plain comparisons in the scan's pushed filters."""
+    from spanwise.operators.features import first_dose
+
+    path = str(tmp_path / "doses")
+    spark.createDataFrame([(1, date(2021, 1, 5))], "patient_id long, event_date date").write.parquet(path)
+    first_dose(spark.read.parquet(path), F.lit("2021-01-01").cast("date"), F.lit("2021-12-31").cast("date")).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(event_date,2021-01-01)" in plan and "LessThanOrEqual(event_date,2021-12-31)" in plan
