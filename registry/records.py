@@ -1,4 +1,7 @@
-"""Study records derived from the star-schema tables. Every row of every table used takes part."""
+"""Study records derived from the star-schema tables.
+
+Whole tables are read; what counts as a record of a kind (an admission is an order of status F, say) is part of the mapping.
+"""
 
 from __future__ import annotations
 

@@ -136,6 +136,7 @@ def segment_matrix(cohort: DataFrame, segments: Mapping[str, Column], subsets: M
 
 def cohort_segments() -> dict[str, Column]:
     """Segments of the old characteristics table."""
+    # Labels and bounds of the segments.
     c = F.col
     weeks = c("follow_up_time_vax2")
     regions = ["London", "East of England", "East Midlands", "North East", "North West", "South East", "South West",

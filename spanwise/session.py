@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it is known to hold at most this many rows.
-BROADCAST_ROW_LIMIT = 200_000
+#: A side is broadcast only when it is known to hold at most this many rows and MB.
+BROADCAST_ROW_LIMIT, BROADCAST_MB_LIMIT = 200_000, 64
 
 
 def local_session(name: str = "spanwise", cpus: int | str = 8, memory: str = "12g") -> SparkSession:
@@ -48,9 +48,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; counting stops at ``limit + 1`` rows."""
-    return df.limit(limit + 1).count() <= limit
+def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, mb: int = BROADCAST_MB_LIMIT) -> bool:
+    """Whether ``df`` has at most ``limit`` rows and ``mb`` MB of text; counting stops at ``limit + 1`` rows."""
+    row = df.limit(limit + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))).alias("size")).first()
+    return row["n"] <= limit and (row["size"] or 0) <= mb << 20
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -64,5 +66,4 @@ def hold_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
 
     Larger tables are returned unchanged, so nothing unbounded reaches the driver.
     """
-    held = df.limit(limit + 1).toArrow()
-    return df.sparkSession.createDataFrame(held) if held.num_rows <= limit else df
+    return df.sparkSession.createDataFrame(df.toArrow()) if is_small(df, limit) else df
