@@ -15,16 +15,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions.dates import within
-from spanwise.functions.logic import label_order
 from spanwise.session import broadcast_if_small, is_small
 
 PERSON = "patient_id"
-#: Most categories a code list may carry for a feature that returns one.
-CATEGORY_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -42,33 +39,29 @@ class Feature:
     upper: Column | None = None
 
 
-def category_labels(codelists: DataFrame, features: Sequence[Feature]) -> list[str]:
-    """Category labels of the lists whose category a feature returns, in sorted order.
+def category_labels(codelists: DataFrame, features: Sequence[Feature]) -> DataFrame | None:
+    """``(category, position)`` of the lists whose category a feature returns, in sorted order.
 
     Records carry the 1-based position instead of the text, which keeps every aggregation buffer a number.
     """
     names = sorted({f.tag for f in features if f.how == "last_category"})
     if not names:
-        return []
+        return None
     listed = codelists.where(F.col("codelist").isin(*names) & F.col("category").isNotNull()).select("category").distinct()
-    labels = [row.category for row in listed.limit(CATEGORY_LIMIT + 1).collect()]
-    if len(labels) > CATEGORY_LIMIT:
-        raise ValueError(f"more than {CATEGORY_LIMIT} categories in {', '.join(names)}")
-    return sorted(labels)
+    return listed.select("category", F.row_number().over(Window.orderBy("category")).alias("position"))
 
 
 def tag_by_codelist(
-    events: DataFrame, codelists: DataFrame, names: Sequence[str], prefix: str = "", labels: Sequence[str] = ()
+    events: DataFrame, codelists: DataFrame, names: Sequence[str], prefix: str = "", labels: DataFrame | None = None
 ) -> DataFrame:
     """Inner join to the named lists on coding system and code.
 
     The tag is the list name behind ``prefix``, which keeps the tags of several record tables apart; ``category`` is the
     position of the list's category in ``labels``.
     """
-    position = label_order(F.col("category"), labels).cast("int") if labels else F.lit(None).cast("int")
-    wanted = codelists.where(F.col("codelist").isin(*names)).select(
-        "system", "code", F.concat(F.lit(prefix), F.col("codelist")).alias("tag"), position.alias("category")
-    )
+    listed = codelists.where(F.col("codelist").isin(*names))
+    listed = listed.withColumn("position", F.lit(None).cast("int")) if labels is None else listed.join(labels, "category", "left")
+    wanted = listed.select("system", "code", F.concat(F.lit(prefix), F.col("codelist")).alias("tag"), F.col("position").alias("category"))
     # one row per list and code, so that a code listed twice does not count a record twice
     once = wanted.groupBy("system", "code", "tag").agg(F.min("category").alias("category"))
     return events.join(F.broadcast(once) if is_small(wanted) else once, ["system", "code"])
@@ -111,7 +104,7 @@ def _bounds(features: Sequence[Feature]) -> dict[int, tuple[str, Column]]:
     return named
 
 
-def _aggregate(f: Feature, bounds: Mapping[int, tuple[str, Column]], labels: Sequence[str]) -> Column:
+def _aggregate(f: Feature, bounds: Mapping[int, tuple[str, Column]]) -> Column:
     tag = f.tag.replace("'", "\\'")
     match = f"tag = '{tag}'"
     if f.lower is not None:
@@ -134,10 +127,20 @@ def _aggregate(f: Feature, bounds: Mapping[int, tuple[str, Column]], labels: Seq
     }
     if f.how not in by_how:
         raise ValueError(f"unknown feature kind {f.how}")
-    out = F.expr(by_how[f.how])
-    if f.how == "last_category":
-        out = F.get(F.array(*[F.lit(label) for label in labels]), out - 1)
-    return out.alias(f.name)
+    return F.expr(by_how[f.how]).alias(f.name)
+
+
+def _with_labels(found: DataFrame, features: Sequence[Feature], labels: DataFrame | None) -> DataFrame:
+    """Category positions replaced by their texts."""
+    named = [f.name for f in features if f.how == "last_category"]
+    if not named or labels is None:
+        return found.withColumns({name: F.lit(None).cast("string") for name in named})
+    small = is_small(labels)
+    for name in named:
+        text = labels.select(F.col("position").alias("_position"), F.col("category").alias("_category"))
+        found = found.join(F.broadcast(text) if small else text, F.col(name) == F.col("_position"), "left").withColumn(
+            name, F.col("_category")).drop("_position", "_category")
+    return found
 
 
 def pool(*days: DataFrame) -> DataFrame:
@@ -145,7 +148,7 @@ def pool(*days: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), days)
 
 
-def found(index: DataFrame, days: DataFrame, features: Sequence[Feature], labels: Sequence[str] = ()) -> DataFrame:
+def found(index: DataFrame, days: DataFrame, features: Sequence[Feature], labels: DataFrame | None = None) -> DataFrame:
     """Features of the people of ``index`` that have at least one folded day.
 
     Window bounds are computed once per person, before the join. All features share one hash aggregation, so the record
@@ -154,7 +157,7 @@ def found(index: DataFrame, days: DataFrame, features: Sequence[Feature], labels
     bounds = _bounds(features)
     slim = index.select(PERSON, *[bound.alias(name) for name, bound in bounds.values()])
     own = days.where(F.col("tag").isin(*sorted({f.tag for f in features})))
-    return slim.join(own, PERSON).groupBy(PERSON).agg(*[_aggregate(f, bounds, labels) for f in features])
+    return _with_labels(slim.join(own, PERSON).groupBy(PERSON).agg(*[_aggregate(f, bounds) for f in features]), features, labels)
 
 
 def with_defaults(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
@@ -163,7 +166,7 @@ def with_defaults(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
     return df.withColumns({f.name: F.coalesce(F.col(f.name), defaults[f.how]) for f in features if f.how in defaults})
 
 
-def resolve(index: DataFrame, days: DataFrame, features: Sequence[Feature], labels: Sequence[str] = ()) -> DataFrame:
+def resolve(index: DataFrame, days: DataFrame, features: Sequence[Feature], labels: DataFrame | None = None) -> DataFrame:
     """Every person of ``index`` with all features."""
     joined = index.select(PERSON).join(found(index, days, features, labels), PERSON, "left")
     return with_defaults(joined, features).select(PERSON, *[f.name for f in features])
