@@ -1,66 +1,55 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Columns of the term matrix are the benchmark's own words, each with its own column, and a fixed number of hashed columns
-for all other words. Over all passages of all documents, Spark sums document frequencies, then the randomised sketch
-``A'AW`` of the TF-IDF matrix A; the sketch's eigenvectors (single-pass Nystroem form of the randomised SVD) give every
-word a latent vector. Overlapping windows of every text are compared with every benchmark item of fitting length by the
-cosine of their latent vectors. Candidates are then checked exactly: weight of shared words, longest common subsequence
-of words, and for a paraphrase also whether the item's answer (its last words) is there in order.
+The columns of the term matrix are the benchmark's words; every text becomes the sequence of its columns once. Over all
+passages of all texts, Spark sums document frequencies, then the randomised sketch ``A'AW`` of the TF-IDF matrix A; the
+sketch's eigenvectors (single-pass Nystroem form of the randomised SVD) give every word a latent vector. Overlapping
+windows of every text are compared with every benchmark item of fitting length by the cosine of their latent vectors.
+Candidates are then checked exactly: weight of shared words, longest common subsequence of words, and for a paraphrase
+also whether the item's answer (its last words) is there in order.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import BLOCK_BYTES
+from spanwise.llm.common import BLOCK_BYTES, stored
 
-#: Columns shared by all words that the benchmark does not have; dimensions of the sketch; words of a block and of a passage.
-HASHED, SKETCH, BLOCK, PASSAGE = 4096, 64, 4, 32
-#: Power of the inverse document frequency in the term weights: rare words lead the latent directions.
-RARITY = 3
+#: Dimensions of the sketch; words of a block and of a passage; blocks by which window lengths differ.
+SKETCH, BLOCK, PASSAGE, GRADES = 64, 8, 32, (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: Power of the inverse document frequency in the term weights: rare words lead the latent directions. Weights below ``FAINT`` are zero.
+RARITY, FAINT = 3, 0.01
 #: Benchmark items that are searched at once; more are searched in turns.
 ITEMS_AT_ONCE = 5000
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words without ASCII punctuation, of a whole text in blocks."""
-    found, start = [], 0
+def text_blocks(text: str):
+    """Lower-cased words without ASCII punctuation, of a whole text, in blocks."""
+    start = 0
     while start < len(text):
         end = start + BLOCK_BYTES
         while end < len(text) and not text[end].isspace():
             end += 1
-        found += text[start:end].lower().encode("utf-8", "replace").translate(_PLAIN).split()
+        yield text[start:end].lower().encode("utf-8", "replace").translate(_PLAIN).split()
         start = end
-    return found
-
-
-class _Columns(dict):
-    """Column of each word: known ones, and hashed ones that are kept while there are not too many."""
 
-    def __init__(self, known: dict[bytes, int]):
-        super().__init__(known)
-        self.known = len(known)
 
-    def __missing__(self, word: bytes) -> int:
-        column = self.known + zlib.crc32(word) % HASHED
-        if len(self) < self.known + 500_000:
-            self[word] = column
-        return column
+def words_of(text: str) -> list[bytes]:
+    return [w for words in text_blocks(text) for w in words]
 
 
 @dataclass
 class Benchmark:
-    """Items by window length; ``vectors``, ``weights`` and ``idf`` are filled by ``fit``."""
+    """Items and their columns; ``fit`` adds document frequencies, latent word vectors and the items by window length."""
 
     ids: list
-    words: list[list[bytes]]
+    items: list[np.ndarray]
     known: dict[bytes, int]
     idf: np.ndarray | None = None
     vectors: np.ndarray | None = None
@@ -68,25 +57,27 @@ class Benchmark:
     latent: dict[int, np.ndarray] = field(default_factory=dict)
 
     @property
-    def width(self) -> int:
-        return len(self.known) + HASHED
+    def kind(self) -> str:
+        return "<i2" if len(self.known) < 32_000 else "<i4"
 
-    def columns(self, words: list[bytes], cache: _Columns | None = None) -> np.ndarray:
-        cache = cache if cache is not None else _Columns(self.known)
-        return np.fromiter(map(cache.__getitem__, words), np.int32, len(words))
+    def columns(self, text: str) -> np.ndarray:
+        """The column of every word of a text; -1 for words that the benchmark does not have."""
+        get = self.known.get
+        parts = [np.fromiter(map(get, words, repeat(-1)), self.kind, len(words)) for words in text_blocks(text)]
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
 
 def read_benchmarks(benchmark: DataFrame, item: str = "item_id", text: str = "text", least: int = 5):
-    """Benchmarks of at most ``ITEMS_AT_ONCE`` items. Items with fewer than ``least`` words (null and empty ones too) show nothing and match nothing."""
+    """Benchmarks of at most about ``ITEMS_AT_ONCE`` items. Items with fewer than ``least`` words (null and empty ones too) show nothing and match nothing."""
     held, n = [], benchmark.count()
-    for part in range(-(-n // ITEMS_AT_ONCE)):
-        rows = benchmark if n <= ITEMS_AT_ONCE else benchmark.where(
-            F.pmod(F.xxhash64(item, text), F.lit(-(-n // ITEMS_AT_ONCE))) == part)
+    turns = -(-n // ITEMS_AT_ONCE)
+    for part in range(turns):
+        rows = benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(turns)) == part)
         items = sorted(((r[0], words_of(r[1] or "")) for r in rows.select(item, text).distinct().collect()), key=str)
         items = [(i, w) for i, w in items if len(w) >= least]
         if items:
             known = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-            held.append(Benchmark([i for i, _ in items], [w for _, w in items], known))
+            held.append(Benchmark([i for i, _ in items], [np.array([known[w] for w in ws]) for _, ws in items], known))
     return held
 
 
@@ -95,81 +86,110 @@ def _texts(batch: pa.RecordBatch, column: int):
         yield value.as_py() or ""
 
 
-def fit(docs: DataFrame, bench: Benchmark, text: str = "text", seed: int = 0) -> Benchmark:
-    """Document frequencies and latent word vectors from every passage of every text."""
-    spark, width, known = docs.sparkSession, bench.width, bench.known
-    docs = docs.select(F.col(text).alias("_text"))
+def encoded(docs: DataFrame, bench: Benchmark, key: str, text: str) -> DataFrame:
+    """``(_key, columns, seen)``, stored: the columns of every row's text; one more row per task with document frequencies."""
+    kind, width = docs.schema[key].dataType.simpleString(), len(bench.known)
 
-    def frequencies(batches):
-        cache, total, n = _Columns(known), np.zeros(width, np.int64), 0
+    def run(batches):
+        total = np.zeros(width + 1, np.int64)
+        for batch in batches:
+            out, some = [], []
+
+            def add():
+                flags = np.zeros((len(some), width + 1), bool)
+                for i, columns in enumerate(some):
+                    flags[i, columns] = True  # the last column is for all other words
+                total[:] += flags.sum(0)
+                total[-1] += len(some) - flags[:, -1].sum()
+                some.clear()
+
+            for text_ in _texts(batch, 1):
+                columns = bench.columns(text_)
+                out.append(columns.tobytes())
+                some.append(columns)
+                if len(some) == 64:
+                    add()
+            add()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["_key", "columns", "seen"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.string()),
+                                          pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["_key", "columns", "seen"])
+
+    if kind not in ("bigint", "string"):
+        raise TypeError(f"{key} must be a long or a text")
+    return stored(docs.select(key, F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, columns binary, seen binary"), "leaks-encoded")
+
+
+def fit(coded: DataFrame, bench: Benchmark, seed: int = 0) -> Benchmark:
+    """Document frequencies and latent word vectors from every passage of every encoded text."""
+    spark, width, kind = coded.sparkSession, len(bench.known), bench.kind
+
+    def add_up(batches):
+        total = np.zeros(width + 1, np.int64)
         for batch in batches:
-            for words in map(words_of, _texts(batch, 0)):
-                total[np.unique(bench.columns(words, cache))] += 1
-                n += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["c", "n"])
-
-    # one row per column of a fixed width
-    counted = docs.mapInArrow(frequencies, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas().set_index("c").n
-    n = int(counted.get(-1, 0))
-    seen = counted.drop(-1, errors="ignore")
-    frequency = np.zeros(width)
-    frequency[seen.index.to_numpy(int)] = seen.to_numpy()
-    bench.idf = np.log((n + 2) / (frequency + 1)).astype(np.float32)
-    weights = bench.idf**RARITY / max(float(bench.idf.max()), 1e-6) ** (RARITY - 1)
+            for value in batch.column(0):
+                total += np.frombuffer(value.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total)], ["c", "n"])
+
+    # one row per word of the benchmark and one for the number of texts
+    sums = coded.where("seen IS NOT NULL").select("seen").mapInArrow(add_up, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(width + 1)
+    frequency[sums["c"].to_numpy(int)] = sums["n"]
+    bench.idf = np.log((frequency[-1] + 2) / (frequency[:-1] + 1)).clip(0).astype(np.float32)
+    weights = (bench.idf / max(float(bench.idf.max()), 1e-6)) ** RARITY
+    weights[weights < FAINT] = 0
     shared = spark.sparkContext.broadcast(weights)
-    draw = np.random.default_rng(seed).normal(0, 1, (width, SKETCH)).astype(np.float32)
 
     def sketch(batches):
         weights = shared.value
         random = np.random.default_rng(seed).normal(0, 1, (width, SKETCH)).astype(np.float32) * weights[:, None]
-        cache, total = _Columns(known), np.zeros((width, SKETCH), np.float32)
+        heavy, total = np.append(weights > 0, False), np.zeros((width, SKETCH), np.float32)
 
-        def add(columns: np.ndarray) -> None:
-            of = np.arange(len(columns)) // PASSAGE
-            starts = np.arange(0, len(columns), PASSAGE)
+        def add(columns: np.ndarray, passage: np.ndarray) -> None:
             weight = weights[columns]
+            starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(columns))))
             sums = np.add.reduceat(random[columns], starts, axis=0)
-            sums /= np.add.reduceat(weight * weight, starts)[:, None] + 1e-6
+            sums /= np.add.reduceat(weight * weight, starts)[:, None]
             order = np.argsort(columns, kind="stable")
             ordered = columns[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             total[ordered[first]] += np.add.reduceat(sums[of[order]] * weight[order][:, None], first, axis=0)
 
-        held, size = [], 0
+        held, number, size, base = [], [], 0, 0
         for batch in batches:
-            for words in map(words_of, _texts(batch, 0)):
-                columns = bench.columns(words, cache)
-                for s in range(0, len(columns), 1 << 16):
-                    part = columns[s:s + (1 << 16)]
-                    held.append(np.concatenate([part, np.full(-len(part) % PASSAGE, width - 1, np.int32)]))
-                    size += len(part)
-                    if size >= 1 << 16:
-                        add(np.concatenate(held))
-                        held, size = [], 0
-        if held:
-            add(np.concatenate(held))
+            for value in batch.column(0):
+                columns = np.frombuffer(value.as_buffer(), kind)
+                at = np.flatnonzero(heavy[columns])
+                held.append(columns[at])
+                number.append(base + at // PASSAGE)
+                base, size = base + len(columns) // PASSAGE + 1, size + len(at)
+                if size >= 1 << 15:
+                    add(np.concatenate(held), np.concatenate(number))
+                    held, number, size = [], [], 0
+        if size:
+            add(np.concatenate(held), np.concatenate(number))
         at = np.flatnonzero(total.any(1))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float32()))], ["c", "v"])
 
-    sums = [F.sum(F.col("v")[i].cast("double")).cast("float").alias(f"s{i}") for i in range(SKETCH)]
-    summed = docs.mapInArrow(sketch, "c long, v array<float>").groupBy("c").agg(*sums).toPandas()
+    sums = [F.sum(F.col("v")[i].cast("double")).alias(f"s{i}") for i in range(SKETCH)]
+    summed = coded.where("columns IS NOT NULL").select("columns").mapInArrow(sketch, "c long, v array<float>").groupBy("c").agg(*sums).toPandas()
     whole = np.zeros((width, SKETCH))
     if len(summed):
         whole[summed["c"].to_numpy(int)] = summed.drop(columns="c").to_numpy(float)
-    shift = 1e-6 * max(float(np.linalg.norm(whole)), 1e-6)
-    whole += shift * draw
-    core = draw.T.astype(float) @ whole
+    draw = np.random.default_rng(seed).normal(0, 1, (width, SKETCH))
+    whole += 1e-6 * max(float(np.linalg.norm(whole)), 1e-6) * draw
+    core = draw.T @ whole
     values, basis = np.linalg.eigh((core + core.T) / 2)
     root = basis / np.sqrt(np.maximum(values, 1e-9 * max(values.max(), 1e-9)))
-    vectors = np.linalg.svd(whole @ root, full_matrices=False)[0]
-    bench.vectors = (vectors * weights[:, None]).astype(np.float32)
-    widths = np.array([-(-(len(w) + BLOCK - 1) // BLOCK) for w in bench.words])
+    bench.vectors = (np.linalg.svd(whole @ root, full_matrices=False)[0] * weights[:, None]).astype(np.float32)
+    need = np.array([-(-(len(w) + BLOCK - 1) // BLOCK) for w in bench.items])  # a window of so many blocks holds the item wherever it starts
+    grades = [g for g in GRADES if g < need.max()] + [int(need.max())]
+    widths = np.array([min(g for g in grades if g >= n) for n in need])
     for blocks in sorted(set(widths.tolist())):
         bench.groups[blocks] = np.flatnonzero(widths == blocks)
-        own = np.stack([bench.vectors[bench.columns(bench.words[i])].sum(0) for i in bench.groups[blocks]])
-        bench.latent[blocks] = own / (np.linalg.norm(own, axis=1, keepdims=True) + 1e-9)
+        own = np.stack([bench.vectors[bench.items[i]].sum(0) for i in bench.groups[blocks]])
+        bench.latent[blocks] = own / (np.linalg.norm(own, axis=1, keepdims=True) + 1e-12)
     return bench
 
 
@@ -196,22 +216,32 @@ def match(item: list, window: list, verbatim: float, paraphrase: float, answer:
 
 
 class Search:
-    """Finds benchmark items in texts; one per task."""
+    """Finds benchmark items in encoded texts; one per task."""
 
     def __init__(self, bench: Benchmark, cosine: float, overlap: float, verbatim: float, paraphrase: float, answer: float):
         self.bench, self.cosine, self.overlap, self.limits = bench, cosine, overlap, (verbatim, paraphrase, answer)
-        self.cache, self.most = _Columns(bench.known), max(bench.groups)
-        self.has = np.zeros((len(bench.words), bench.width + 1), np.float32)
-        self.idf = np.append(bench.idf, 0).astype(np.float32)
-        for i, words in enumerate(bench.words):
-            at = np.unique(bench.columns(words))
-            self.has[i, at] = self.idf[at] / max(float(self.idf[at].sum()), 1e-9)
-        self.vectors = np.concatenate([bench.vectors, np.zeros((1, bench.vectors.shape[1]), np.float32)])
+        self.most, width = max(bench.groups), len(bench.known)
+        self.lists = [i.tolist() for i in bench.items]
+        self.idf = np.append(bench.idf, 0).astype(np.float32)  # column -1 is for all other words
+        self.vectors = bench.vectors
+        self.heavy = np.append(np.abs(bench.vectors).max(1) > 0, False)
+        self.has = np.zeros((len(bench.items), width + 1), np.float32)
+        self.weight = np.zeros(len(bench.items))
+        for i, columns in enumerate(bench.items):
+            at = np.unique(columns)
+            self.weight[i] = max(float(self.idf[at].sum()), 1e-9)
+            self.has[i, at] = self.idf[at] / self.weight[i]
 
     def candidates(self, columns: np.ndarray):
-        """(item, first word, words of the window) of latent neighbours in ``columns``, whose blocks end with empty ones."""
-        step = self.vectors[columns].reshape(-1, BLOCK, self.vectors.shape[1]).sum(1)
+        """(item, first word, words of the window) of latent neighbours in ``columns``, whose texts end with empty blocks."""
         rows = columns.reshape(-1, BLOCK)
+        at = np.flatnonzero(self.heavy[columns])
+        step = np.zeros((len(rows), self.vectors.shape[1]), np.float32)
+        if len(at):
+            block = at // BLOCK
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            step[block[starts]] = np.add.reduceat(self.vectors[columns[at]], starts, axis=0)
+        mass = np.concatenate([[0], np.cumsum(self.idf[columns].reshape(-1, BLOCK).sum(1), dtype=float)])
         power, doubled = step, {1: step}
         while 2 * max(doubled) <= self.most:
             size = max(doubled)
@@ -219,51 +249,49 @@ class Search:
             power[:-size] += doubled[size][size:]
             doubled[2 * size] = power
         for blocks, items in self.bench.groups.items():
+            # a window with too little weight of benchmark words in all cannot pass the check of shared words
+            inside = mass[blocks:] - mass[:-blocks]
+            place = np.flatnonzero(inside >= self.overlap * self.weight[items].min() * (1 - 1e-6))
             total, done = None, 0
             for size in sorted(doubled, reverse=True):
-                if blocks & size:
-                    if total is None:
-                        total = doubled[size].copy()
-                    else:
-                        total[:-done] += doubled[size][done:]
+                while done + size <= blocks:
+                    part = doubled[size][np.minimum(place + done, len(rows) - 1)]
+                    total = part if total is None else total + part
                     done += size
-            length = np.sqrt(np.einsum("ij,ij->i", total, total)) + 1e-9
-            near = total @ self.bench.latent[blocks].T
-            at, which = np.nonzero(near >= self.cosine * length[:, None])
-            for s in range(0, len(at), 50_000):
-                place, item = at[s:s + 50_000], items[which[s:s + 50_000]]
-                keep = (place + blocks <= len(rows))
-                place, item = place[keep], item[keep]
-                inside = np.sort(rows[place[:, None] + np.arange(blocks)].reshape(len(place), -1), 1)
-                new = np.ones(inside.shape, bool)
-                new[:, 1:] = inside[:, 1:] != inside[:, :-1]
-                weight = (self.has[item[:, None], inside] * new).sum(1)
-                for p, i in zip(place[weight >= self.overlap], item[weight >= self.overlap]):
+            length = np.sqrt(np.einsum("ij,ij->i", total, total))
+            near = total @ self.bench.latent[blocks].T >= self.cosine * length[:, None]
+            row, which = np.nonzero(near)
+            for s in range(0, len(row), 50_000):
+                first, item = place[row[s:s + 50_000]], items[which[s:s + 50_000]]
+                some = np.sort(rows[first[:, None] + np.arange(blocks)].reshape(len(first), -1), 1)
+                new = np.ones(some.shape, bool)
+                new[:, 1:] = some[:, 1:] != some[:, :-1]
+                share = (self.has[item[:, None], some] * new).sum(1)
+                for p, i in zip(first[share >= self.overlap], item[share >= self.overlap]):
                     yield int(i), int(p) * BLOCK, blocks * BLOCK
 
     def run(self, texts) -> list[dict]:
-        """For each text of an iterable, the best match of each item: share, answer share, first word of the window."""
-        words, starts, parts, size, out, first = [], [], [], 0, [], 0
+        """For each encoded text of an iterable, the best match of each item: shares and first word of the window."""
+        own, starts, parts, size, out, first = [], [], [], 0, [], 0
 
         def flush():
-            nonlocal words, starts, parts, size, first
+            nonlocal own, starts, parts, size, first
             for item, place, length in self.candidates(np.concatenate(parts)) if parts else ():
                 k = int(np.searchsorted(starts, place, "right")) - 1
                 at = place - starts[k]
-                found = match(self.bench.words[item], words[k][at:at + length], *self.limits)
+                found = match(self.lists[item], own[k][at:at + length].tolist(), *self.limits)
                 if found and found > out[first + k].get(item, ((-1.0, -1.0), 0))[0]:
                     out[first + k][item] = (found, at)
-            first += len(words)
-            words, starts, parts, size = [], [], [], 0
+            first += len(own)
+            own, starts, parts, size = [], [], [], 0
 
-        for text in texts:
-            own = words_of(text)
+        for columns in texts:
             out.append({})
             starts.append(size)
-            words.append(own)
-            empty = -len(own) % BLOCK + self.most * BLOCK
-            parts.append(np.concatenate([self.bench.columns(own, self.cache), np.full(empty, self.bench.width, np.int32)]))
-            size += len(own) + empty
+            own.append(columns)
+            empty = -len(columns) % BLOCK + self.most * BLOCK
+            parts += [columns, np.full(empty, -1, self.bench.kind)]
+            size += len(columns) + empty
             if size >= 1 << 16:
                 flush()
         flush()
@@ -286,12 +314,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     schema = f"{key} {kind}, {item} {item_kind}, share double, answer_share double, first_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for bench in read_benchmarks(benchmark, item):
-        shared = docs.sparkSession.sparkContext.broadcast(fit(docs, bench, text))
+        coded = encoded(docs, bench, key, text)
+        shared = docs.sparkSession.sparkContext.broadcast(fit(coded, bench))
 
         def run(batches, shared=shared):
             search = Search(shared.value, **{**LIMITS, **limits})
             for batch in batches:
-                found = search.run(_texts(batch, 1))
+                found = search.run(np.frombuffer(v.as_buffer(), search.bench.kind) for v in batch.column(1))
                 rows = [(k, i, *best) for k, hits in enumerate(found) for i, best in sorted(hits.items())]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
@@ -299,21 +328,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     pa.array([r[2][0] for r in rows], pa.float64()), pa.array([r[2][1] for r in rows], pa.float64()),
                     pa.array([r[3] for r in rows], pa.int64())], [key, item, "share", "answer_share", "first_word"])
 
-        out = out.unionByName(docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema))
+        out = out.unionByName(coded.where("columns IS NOT NULL").select("_key", "columns").mapInArrow(run, schema))
     return out
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", **limits) -> DataFrame:
+def without_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **limits) -> DataFrame:
     """The rows of ``docs``, all columns, in whose text no benchmark item is found. Null and empty texts stay."""
     at = docs.columns.index(text)
     kept = docs
     for bench in read_benchmarks(benchmark, item):
-        shared = docs.sparkSession.sparkContext.broadcast(fit(docs, bench, text))
+        shared = docs.sparkSession.sparkContext.broadcast(fit(encoded(docs, bench, key, text), bench))
 
         def run(batches, shared=shared):
             search = Search(shared.value, **{**LIMITS, **limits})
             for batch in batches:
-                yield batch.filter(pa.array([not hits for hits in search.run(_texts(batch, at))]))
+                yield batch.filter(pa.array([not hits for hits in search.run(map(search.bench.columns, _texts(batch, at)))]))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept
