@@ -74,58 +74,61 @@ def hilbert_shards(
     docs: DataFrame, shards: int = 40, bits: int = 5, key: str = "doc_id", text: str = "text", lang: str = "lang",
     source: str = "source", carry: bool = False,
 ) -> DataFrame:
-    """``(key, size, text_crc32, hilbert, shard, slot)`` per row; with ``carry`` the columns of ``docs``, then shard and slot.
+    """``(key, size, text_crc32, hilbert, shard, slot)`` per row; with ``carry`` the columns of ``docs``, then shard and slot
+    (in place of columns of these names).
 
     ``size`` is the text's UTF-8 bytes plus 16. Shards are runs of the curve with near equal bytes (a row belongs to the
     shard that holds its middle byte); ``slot`` numbers a shard's rows from 0 without gaps. Copies of a text take the
     place of the smallest language and source among them, and so lie side by side; a cut moves to the end of such a group
     where a shard's bytes hardly change. A null text counts as no bytes; null languages and sources rank last; equal rows
-    get neighbouring slots in any order; an empty table gives an empty result. Helpers live in one struct column.
+    get neighbouring slots in any order; an empty table gives an empty result. Places are computed on a few numbers per
+    row; ``carry`` joins them to the rows once, by key and text, where rows equal in both share out their places.
     """
-    helper = "_shard"
-    while helper in docs.columns:
-        helper += "_"
-    kept = [*docs.columns] if carry else []
-    rows = docs.select(*kept, F.struct(
+    slim = stored(docs.select(
         F.col(key).alias("id"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("crc"), F.xxhash64(text).alias("same"),
-        F.col(lang).alias("lang"), F.col(source).alias("source")).alias(helper))
-    rows = stored(rows, "shard-rows")
-    slim = rows.select(f"{helper}.*")
+        F.col(lang).alias("lang"), F.col(source).alias("source")), "shard-rows")
     levels = {name: _levels(slim, name, bits) for name in ("lang", "source")}
     level = slim.groupBy("same", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
     for name, ranks in levels.items():
         level = level.join(ranks, F.col(name).eqNullSafe(F.col(f"{name}_of")))
     classes = F.least(F.lit((1 << bits) - 1), F.floor(1.5 * F.log2(F.col("size") / 16)).cast("int"))
-    placed = level.select(F.col("same").alias("of"), F.col("size").alias("of_size"), hilbert_index(
-        [F.col("lang_level"), F.col("source_level"), classes], bits).alias("h"))
-    at = lambda name: F.col(f"{helper}.{name}")
-    met = rows.join(placed, (at("same") == F.col("of")) & (at("size") == F.col("of_size")))
-    order = [F.col("h"), at("same"), at("id").asc_nulls_last()]
+    placed = level.select("same", "size", hilbert_index([F.col("lang_level"), F.col("source_level"), classes], bits).alias("h"))
+    met = slim.select("id", "size", "crc", "same").join(placed, ["same", "size"])
+    order = [F.col("h"), F.col("same"), F.col("id").asc_nulls_last()]
     counted = slim.agg(F.count(F.lit(1)), F.sum("size")).first()
     total = counted[1] or 1
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-counted[0] // RANGE_ROWS))
-    ranged = stored(met.drop("of", "of_size").repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "shard-ranged")
-    sums = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(at("size")).alias("bytes"))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-counted[0] // RANGE_ROWS))
+    ranged = stored(met.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "shard-ranged")
+    sums = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = broadcast_checked(stored(sums.select("part", *(
         F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"first_{c}") for c in ("n", "bytes"))), "shard-starts"))
     mine = Window.partitionBy("part").orderBy(*order)
     ranked = stored(ranged.join(starts, "part").select(
-        *kept, helper, "h", (F.col("first_n") + F.row_number().over(mine) - 1).alias("rank"),
-        (F.col("first_bytes") + F.sum(at("size")).over(mine.rowsBetween(Window.unboundedPreceding, 0)) - at("size")).alias("before")),
-        "shard-ranked")
-    cuts = _cuts(ranked.select("h", at("same").alias("same"), "before", at("size").alias("size")), total, shards)
-    middle = F.col("before") + at("size") / 2
+        "id", "size", "crc", "same", "h", (F.col("first_n") + F.row_number().over(mine) - 1).alias("rank"),
+        (F.col("first_bytes") + F.sum("size").over(mine.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before")), "shard-ranked")
+    cuts = _cuts(ranked, total, shards)
+    middle = F.col("before") + F.col("size") / 2
     number = reduce(lambda a, b: a + b, ((middle >= c).cast("int") for c in cuts), F.lit(0))
-    out = ranked.withColumn("n_shard", number)
-    firsts = F.broadcast(out.groupBy("n_shard").agg(F.min("rank").alias("first")))  # one row per shard
-    out = out.join(firsts, "n_shard")
-    slot = (F.col("rank") - F.col("first")).alias("slot")
-    if carry:
-        return out.select(*kept, F.col("n_shard").alias("shard"), slot)
-    return out.select(at("id").alias(key), at("size").alias("size"), at("crc").alias("text_crc32"),
-                      F.col("h").alias("hilbert"), F.col("n_shard").alias("shard"), slot)
+    out = ranked.withColumn("shard", number)
+    firsts = F.broadcast(out.groupBy("shard").agg(F.min("rank").alias("first")))  # one row per shard
+    out = out.join(firsts, "shard").withColumn("slot", F.col("rank") - F.col("first"))
+    if not carry:
+        return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("h").alias("hilbert"), "shard", "slot")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    places = out.groupBy(name(F.col("id")).alias("of"), F.col("same").alias("of_same")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
+    places = places.select(F.struct("of", "of_same", "places").alias("_place"))
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    places = places.withColumnRenamed("_place", place)
+    rows = docs.join(places, (name(docs[key]) == F.col(f"{place}.of")) & (F.xxhash64(docs[text]) == F.col(f"{place}.of_same")))
+    again = Window.partitionBy(f"{place}.of", f"{place}.of_same").orderBy(f"{place}.of")
+    kept = [docs[c] for c in docs.columns]
+    own = F.get(F.col(f"{place}.places"), F.row_number().over(again) - 1)
+    rows = rows.select(*kept, own.alias(place))
+    return rows.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")], F.col(f"{place}.shard").alias("shard"), F.col(f"{place}.slot").alias("slot"))
 
 
 def _cuts(ranked: DataFrame, total: int, shards: int) -> list[float]:
