@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from spanwise.llm.common import stored, word_blocks
 from spanwise.llm.components import components
+from spanwise.llm.near_copies import near_copies
 
 SEED = 42
 #: Block codes: length, number of parity bits, generator polynomial, covering radius. Fixed values of the Golay and Hamming codes.
@@ -244,14 +245,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_exact")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near-duplicates: the one with the smallest ``key``.
 
-    Of repeated rows of one key one stays, too. Rows without a key stay, as they cannot be told from each other.
+    Near-duplicates have a Jaccard similarity of ``least`` or more, see ``near_copies``. Of repeated rows of one key one
+    stays, too. Rows without a key stay, as they cannot be told from each other.
     """
-    groups = stored(near_duplicates(docs, key, text, words, threshold).select(key, "component_id"), "simhash-groups")
+    found = stored(near_copies(docs, key, text, words, least), "copies-found")
+    firsts = stored(found.groupBy("component").agg(F.min(key).alias("component_id")), "copies-firsts")
+    groups = stored(found.join(firsts, "component").select(key, "component_id"), "copies-groups")
     others = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    again = stored(groups.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "simhash-again")
+    again = stored(groups.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "copies-again")
     kept = docs.join(others, key, "left_anti")
     if not again.isEmpty():
         kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))

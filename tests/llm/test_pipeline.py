@@ -68,3 +68,38 @@ def test_odd_rows(spark, sf_dir):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, sf_dir).cache()
         assert docs.where("doc_id IN (1, 2, 4)").count() == 0 and docs.where("text IS NULL").count() == 0
+
+
+def test_near_copies_go(spark):
+    """Against all pairs: the exact Jaccard similarity of the sets of five-word shingles, and the groups that it links."""
+    sets = {}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 1500 OR doc_id IN (7743, 9710)")
+    for r in docs.collect():
+        words = (r.text or "").lower().split()
+        sets[r.doc_id] = {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+    order, root, near = sorted(sets, key=lambda d: len(sets[d])), {d: d for d in sets}, 0
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(order):
+        for b in order[i + 1:]:
+            if len(sets[a]) < 0.8 * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                near += sets[a] != sets[b]
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert near > 5 and top(596) == top(917) and top(7743) == top(9710)
+    assert ids(simhash.keep_one(docs)) == sorted({top(d) for d in sets})
+
+
+def test_large_group_of_near_copies(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:7 + i % 280] + [f"x{i}"] + base[7 + i % 280:]), "en", "a", 1) for i in range(400)]
+    rows += [(1000 + i, " ".join(f"y{i}z{j}" for j in range(40)), "en", "a", 1) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert ids(simhash.keep_one(docs)) == [0, *range(1000, 1050)]
