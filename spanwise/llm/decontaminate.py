@@ -3,7 +3,8 @@
 The columns of the term matrix are the benchmark's words; every text becomes the sequence of its columns once. Over all
 passages of all texts, Spark sums document frequencies, then the randomised sketch ``A'AW`` of the TF-IDF matrix A; the
 sketch's eigenvectors (single-pass Nystroem form of the randomised SVD) give every word a latent vector. Overlapping
-windows of every text are compared with every benchmark item of fitting length by the cosine of their latent vectors.
+windows of every text are compared with every benchmark item of fitting length by the cosine of their latent vectors,
+and by a bound of the weight of words that they share, so that no window with enough shared words is lost.
 Candidates are then checked exactly: weight of shared words, longest common subsequence of words, and for a paraphrase
 also whether the item's answer (its last words) is there in order.
 """
@@ -231,9 +232,25 @@ class Search:
             at = np.unique(columns)
             self.weight[i] = max(float(self.idf[at].sum()), 1e-9)
             self.has[i, at] = self.idf[at] / self.weight[i]
+        self.by_word = np.ascontiguousarray(self.has.T)
+
+    def bounds(self, n: int, block: np.ndarray, words: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Running sums over ``n`` blocks of the weight, as a part of each item's, of a block's distinct words that the item has."""
+        out = np.zeros((n + 1, len(items)), np.float32)
+        if len(block):
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            table = np.ascontiguousarray(self.by_word[:, items])
+            for s in range(0, len(starts), 512):
+                first, last = starts[s], starts[s + 512] if s + 512 < len(starts) else len(block)
+                out[block[starts[s:s + 512]] + 1] = np.add.reduceat(table[words[first:last]], starts[s:s + 512] - first, axis=0)
+        return np.cumsum(out, 0, dtype=float)
 
     def candidates(self, columns: np.ndarray):
-        """(item, first word, words of the window) of latent neighbours in ``columns``, whose texts end with empty blocks."""
+        """(item, first word, words of the window) in ``columns``, whose texts end with empty blocks.
+
+        Candidates are latent neighbours and, as other words of a window can outweigh an item in the latent space, all
+        windows whose blocks hold enough of the item's weight; the exact share of shared words decides about both.
+        """
         rows = columns.reshape(-1, BLOCK)
         at = np.flatnonzero(self.heavy[columns])
         step = np.zeros((len(rows), self.vectors.shape[1]), np.float32)
@@ -248,6 +265,10 @@ class Search:
             power = power.copy()
             power[:-size] += doubled[size][size:]
             doubled[2 * size] = power
+        ordered = np.sort(rows, 1)
+        ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = -1
+        held, at = np.nonzero(ordered >= 0)
+        words = ordered[held, at]
         for blocks, items in self.bench.groups.items():
             # a window with too little weight of benchmark words in all cannot pass the check of shared words
             inside = mass[blocks:] - mass[:-blocks]
@@ -260,6 +281,9 @@ class Search:
                     done += size
             length = np.sqrt(np.einsum("ij,ij->i", total, total))
             near = total @ self.bench.latent[blocks].T >= self.cosine * length[:, None]
+            for s in range(0, len(items), 64):
+                sums = self.bounds(len(rows), held, words, items[s:s + 64])
+                near[:, s:s + 64] |= sums[place + blocks] - sums[place] >= self.overlap - 1e-3
             row, which = np.nonzero(near)
             for s in range(0, len(row), 50_000):
                 first, item = place[row[s:s + 50_000]], items[which[s:s + 50_000]]

@@ -119,3 +119,20 @@ def test_many_items_are_searched_in_turns(world, monkeypatch):
     monkeypatch.setattr(de, "ITEMS_AT_ONCE", 25)
     got = {(r.doc_id, r.item_id) for r in de.matches(docs, bench).collect()}
     assert len(got & truth) >= 0.95 * len(truth) and got <= truth
+
+
+def test_copies_of_common_words_among_rare_ones(spark):
+    """An item that stands in a third of all rows, in other documents among rare words of other items."""
+    rng = random.Random(3)
+    say = lambda kind, n: [f"{kind}{i}" for i in rng.sample(range(400), n)]
+    plain, items = say("c", 24), [say("r", 24) for _ in range(12)]
+    rows = [(d, " ".join(plain), 1, "x") for d in range(400)]
+    rows += [(d, " ".join(say("n", 60)), 1, "x") for d in range(400, 1200)]
+    for d in range(1200, 1230):
+        rare = [w for i in rng.sample(items, 8) for w in i[:2]]
+        rows.append((d, " ".join(say("n", 16) + rare[:8] + plain + rare[8:] + say("n", 16)), 1, "x"))
+    docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([plain, *items])], BENCH)
+    truth = plain_matches([(r[0], r[1]) for r in rows if r[0] % 40 == 0 or r[0] >= 1200], [(i, [x.encode() for x in w]) for i, w in enumerate([plain, *items])])
+    got = {(r.doc_id, r.item_id) for r in de.matches(docs, bench).collect()}
+    assert {(d, 0) for d in range(1200, 1230)} <= truth <= got and got == {(d, 0) for d in [*range(400), *range(1200, 1230)]}
+    assert {r.doc_id for r in de.without_matches(docs, bench).collect()} == set(range(400, 1200))
