@@ -40,6 +40,9 @@ ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu nav "
     "navbar navigation newsletter notice pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe widget".split())
 
+#: Elements that no name excludes.
+FRAMES = frozenset("html body main article".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _DIGITS, _WORD, _SENTENCE = re.compile(r"\d+"), re.compile(r"[a-z]+"), re.compile(r"(?<=[.!?])\s+")
@@ -49,31 +52,43 @@ def blocks_of(page: str):
     """Text blocks in page order as ``(path, text, excluded)``, and the arrangement of children of every block element.
 
     Unclosed elements end as HTML ends them; inline elements join their text to the block around them; a line break is a
-    space. ``excluded`` is set inside elements whose name, class, id or role marks them as no part of an article.
+    space. ``excluded`` is set inside elements whose name, class, id or role marks them as no part of an article. A class,
+    id or role does not mark a frame of the page, nor, where that would leave no text of a main or article element, an
+    element around more than half of the text.
     """
-    blocks, children, stack, held = [], [], [("", False, [])], []
+    blocks, children, stack, held, marked = [], [], [("", False, [], ())], [], 0
 
     def flush():
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                blocks.append((stack[-1][0], text, stack[-1][1]))
+                blocks.append((stack[-1][0], text, stack[-1][1], stack[-1][3], "main" in names or "article" in names))
 
     def pop(to: int):
         while len(stack) > to:
-            path, _, inside = stack.pop()
+            path, _, inside, _ = stack.pop()
             children.append((path, inside))
             names.pop()
 
+    def say(text: str):
+        if text.strip():
+            leave_head()
+        held.append(text)
+
+    def leave_head():
+        if "head" in names:
+            held.clear()
+            pop(names.index("head"))
+
     names, at, end = [""], 0, len(page)
     while at < end:
         found = _TAG.search(page, at)
         if found is None:
-            held.append(html.unescape(page[at:]))
+            say(html.unescape(page[at:]))
             break
         if found.start() > at:
-            held.append(html.unescape(page[at:found.start()]))
+            say(html.unescape(page[at:found.start()]))
         at = found.end()
         name = (found.group(2) or "").lower()
         if not name:
@@ -92,6 +107,8 @@ def blocks_of(page: str):
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
+        if name not in VOID or name in ("hr", "img"):
+            leave_head()
         if name in INLINE or name in VOID:
             if name == "hr":
                 flush()
@@ -108,15 +125,22 @@ def blocks_of(page: str):
                     break
         given = [a or b or c for _, a, b, c in _NAMES.findall(found.group(3))] if found.group(3) else []
         style = _DIGITS.sub("0", f"{name}.{'.'.join(given)}".lower()) if given else name
-        parent, out, inside = stack[-1]
+        parent, out, inside, marks = stack[-1]
         inside.append(style)
-        out = out or name in ROLE_TAGS or name in NO_TEXT or (name == "header" and "article" not in names) or any(
-            w in ROLE_WORDS for g in given for w in _WORD.findall(g.lower()))
+        out = out or name in ROLE_TAGS or name in NO_TEXT or (name == "header" and "article" not in names)
+        if name not in FRAMES and any(w in ROLE_WORDS for g in given for w in _WORD.findall(g.lower())):
+            marked += 1
+            marks = (*marks, marked)
         names.append(name)
-        stack.append((f"{parent}/{style}", out, []))
+        stack.append((f"{parent}/{style}", out, [], marks))
     flush()
     pop(1)
-    return blocks, children
+    sizes = Counter()
+    framed = any(inside and not out and not marks for _, _, out, marks, inside in blocks)
+    for _, text, out, marks, _ in blocks:
+        if not out:
+            sizes.update(dict.fromkeys((0, *marks), len(text)))
+    return [(path, text, out or any(framed or 2 * sizes[m] <= sizes[0] for m in marks)) for path, text, out, marks, _ in blocks], children
 
 
 def _number(text: str) -> int:

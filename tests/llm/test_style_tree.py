@@ -64,3 +64,12 @@ def test_odd_rows(spark):
     assert len(found) == 6 and by[1].text == by[2].text == by[4].text == "" and by[1].n_chars == 0
     assert by[None].n_chars == len("long words " * 50_000) - 1 and by[3].url == "http://a.example/x"
     assert st.main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_names_of_frames_and_an_open_head():
+    text = "The story of the page is told here at length."
+    for page in (f"<body class='right-sidebar'><p>{text}</body>", f"<main class=no-sidebar><p>{text}</main>", f"<article class='post comment-enabled'>{text}</article>",
+                 f"<div class='with-sidebar'><p>{text}</p></div><p class=sidebar>x</p>", f"<html><head><title>t</title><meta name=a><body><p>{text}</body></html>",
+                 f"<head><title>t</title><p>{text}", f"<head><link rel=a><b>The</b>{text[3:]}"):
+        assert text_of(page).removesuffix(" x") == text
+    assert text_of(f"<body class=has-banner><p>{text}</p><div class=banner>no</div></body>") == text
