@@ -148,7 +148,7 @@ def _number(text: str) -> int:
 
 
 def style_trees(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """``(host, node, importance)`` of every style node, by its hashed path, of every host."""
+    """``(host, node, importance)`` of every style node, by its hashed path, of every host. Copies of a page count once."""
 
     def count(batches):
         seen = Counter()
@@ -175,7 +175,8 @@ def style_trees(pages: DataFrame, host: str, page: str) -> DataFrame:
                     yield from give()
         yield from give()
 
-    counted = stored(pages.select(host, page).mapInArrow(count, "host string, node long, kind int, feature long, size int, n long").groupBy(
+    single = pages.select(host, page, F.xxhash64(page).alias("_same")).dropDuplicates([host, "_same"])
+    counted = stored(single.select(host, page).mapInArrow(count, "host string, node long, kind int, feature long, size int, n long").groupBy(
         "host", "node", "kind", "feature", "size").agg(F.sum("n").alias("n")), "style-counts")
 
     def measures(rows: DataFrame, *by: str) -> DataFrame:

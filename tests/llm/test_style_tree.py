@@ -73,3 +73,14 @@ def test_names_of_frames_and_an_open_head():
                  f"<head><title>t</title><p>{text}", f"<head><link rel=a><b>The</b>{text[3:]}"):
         assert text_of(page).removesuffix(" x") == text
     assert text_of(f"<body class=has-banner><p>{text}</p><div class=banner>no</div></body>") == text
+
+
+def test_copied_pages_count_once(spark):
+    rng = random.Random(1)
+    say = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12)) + "."
+    texts = [say() for _ in range(150)]
+    texts += [texts[0]] * 150
+    rows = [(i, f"https://one.example/{i}", f"<body><div>Always here.</div><section><p>{t}</section></body>", 1, "x", 1, 1) for i, t in enumerate(texts)]
+    rows += [(1000 + i, f"https://same.example/{i}", f"<section><p>{texts[1]}</section>", 1, "x", 1, 1) for i in range(200)]
+    found = {r.page_id: r.text for r in st.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {**dict(enumerate(texts)), **{1000 + i: texts[1] for i in range(200)}}
