@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spanwise.llm.common import stored, word_blocks
 from spanwise.llm.components import components
-from spanwise.llm.near_copies import near_copies
+from spanwise.llm.near_copies import near_copies, text_number
 
 SEED = 42
 #: Block codes: length, number of parity bits, generator polynomial, covering radius. Fixed values of the Golay and Hamming codes.
@@ -248,15 +248,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near-duplicates: the one with the smallest ``key``.
 
-    Near-duplicates have a Jaccard similarity of ``least`` or more, see ``near_copies``. Of repeated rows of one key one
-    stays, too. Rows without a key stay, as they cannot be told from each other.
+    Near-duplicates have a Jaccard similarity of ``least`` or more, see ``near_copies``. Of repeated rows of one key
+    and text one stays, too. Rows without a key stay, as they cannot be told from each other.
     """
     found = stored(near_copies(docs, key, text, words, least), "copies-found")
-    firsts = stored(found.groupBy("component").agg(F.min(key).alias("component_id")), "copies-firsts")
-    groups = stored(found.join(firsts, "component").select(key, "component_id"), "copies-groups")
-    others = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    again = stored(groups.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "copies-again")
-    kept = docs.join(others, key, "left_anti")
+    firsts = found.groupBy("component").agg(F.min(key).alias("first"))
+    heads = stored(found.join(firsts, "component").where(F.col(key) == F.col("first")).groupBy("component", "first").agg(F.min("node").alias("head")), "copies-heads")
+    groups = stored(found.join(heads, "component").where(F.col(key).isNotNull()).select(
+        key, F.col("node").alias("_node"), ((F.col(key) == F.col("first")) & (F.col("node") == F.col("head"))).alias("stays")), "copies-groups")
+    by = [key, "_node"]  # one key may stand on different texts
+    others = groups.where("NOT stays").select(*by).distinct()
+    again = stored(groups.where("stays").groupBy(*by).count().where("count > 1").select(*by), "copies-again")
+    kept = docs.withColumn("_node", text_number(text)).join(others, by, "left_anti")
     if not again.isEmpty():
-        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+        kept = kept.join(again, by, "left_anti").unionByName(kept.join(again, by, "left_semi").dropDuplicates(by))
     return kept.select(*docs.columns)

@@ -103,3 +103,10 @@ def test_large_group_of_near_copies(spark):
     rows += [(1000 + i, " ".join(f"y{i}z{j}" for j in range(40)), "en", "a", 1) for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
     assert ids(simhash.keep_one(docs)) == [0, *range(1000, 1050)]
+
+
+def test_a_key_on_different_texts(spark):
+    one, two, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "abc")
+    rows = [(t[0], t[1], "en", "a", 1) for t in ((2, one), (5, one), (5, two), (5, two), (7, two), (2, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(2, one), (2, other), (5, two)]
