@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import decontaminate, hmm, language, mixing, mtree, quality, sharding, simhash, style_tree, url_lists
+from spanwise.llm import (
+    decontaminate, fill_middle, hmm, language, mixing, mtree, quality, radix, sharding, simhash, style_tree, url_lists, zone_maps,
+)
 from spanwise.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -155,3 +157,73 @@ best AS (
     row_number() OVER (PARTITION BY page_id ORDER BY rank, length(name) DESC, name, list) AS place FROM met)
 SELECT p.page_id, p.url, p.fetched, b.page_id IS NULL AS allowed, coalesce(b.hits, 0) AS hits, b.list, b.kind, b.name
 FROM parsed p LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (page_id)"""
+
+
+@query
+def op11_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 16 clusters after three rounds, with the cost of each cluster."""
+    placed, centroids = zone_maps.cluster(table(spark, sf_dir, "embeddings"))
+    digests = spark.createDataFrame(
+        [(i, zone_maps.centroid_digest(c)) for i, c in enumerate(centroids)], "cluster int, centroid_sha256 string")
+    return placed.join(F.broadcast(digests), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+_ASSIGN = """near{n} AS MATERIALIZED (
+  SELECT vec_id, v, c, d FROM (
+    SELECT k.vec_id, k.v, a.c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - a.mid[i]) * (k.v[i] - a.mid[i])))::BIGINT AS d,
+      row_number() OVER (PARTITION BY k.row ORDER BY d, a.c) AS place FROM kept k, mids{n} a) WHERE place = 1)"""
+_MOVE = """mids{n} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.mid, o.mid) AS mid FROM mids{p} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS mid FROM (
+      SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM near{p}, range(1, 65) AS r(i) GROUP BY c, i) GROUP BY c) m USING (c))"""
+ORACLES["op11_zone_maps"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+mids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS mid FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{", ".join(_ASSIGN.format(n=n) + ", " + _MOVE.format(n=n + 1, p=n) for n in range(3))}, {_ASSIGN.format(n=3)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(mid, ',')) AS centroid_sha256 FROM near3 JOIN mids3 USING (c)"""
+
+
+@query
+def op12_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents; the largest doc_id stays."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256")
+    return radix.exact_copies(table(spark, sf_dir, "documents"), own=[digest])
+
+
+ORACLES["op12_radix"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut for fill-in-the-middle, with digests of the result and of the text rebuilt from it."""
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+ORACLES["op13_fill_middle"] = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+numbered AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS one,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS two,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM hashed),
+cut AS (
+  SELECT *, array_to_string(units[1:least(one, two)], '') AS prefix, array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+    array_to_string(units[greatest(one, two) + 1:], '') AS suffix FROM numbered)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM cut"""
