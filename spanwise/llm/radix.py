@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import stored
+from spanwise.llm.common import broadcast_checked, stored
 from spanwise.session import scratch_path
 
 #: Bytes of the first digit, how much longer each next one is, and the longest.
 FIRST, TIMES, WIDEST = 64, 8, 1 << 20
+#: Numbers of rows to read on that are broadcast at most; beyond, every text moves once, to meet the rows that are read on.
+ROWS = 1_000_000
 
 
 def digits(longest: int) -> list[tuple[int, int]]:
@@ -30,14 +32,14 @@ def digits(longest: int) -> list[tuple[int, int]]:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """The groups of two rows or more that a digit makes, with their size, first row and the row that stays."""
+    """The groups of two rows or more that a digit makes, with their size, first row and largest key."""
     found = rows.groupBy("group", "digit", "ended").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row").alias("into"), F.max(F.struct("id", "row")).alias("last"))
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("into"), F.max("id").alias("last"))
     return stored(found.where("n > 1"), "radix-groups")
 
 
-def _split(docs: DataFrame, key: str, text: str, own: list[Column]) -> tuple[DataFrame, DataFrame | None]:
-    """All rows, numbered and stored, and ``(row, group_size, last)`` of those that have copies (None if there are none)."""
+def _split(docs: DataFrame, key: str, text: str, own: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """All rows, numbered and stored, and ``(row, group_size, last, stays)`` of those that have copies."""
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = stored(docs.select(
@@ -46,14 +48,13 @@ def _split(docs: DataFrame, key: str, text: str, own: list[Column]) -> tuple[Dat
     longest = base.agg(F.max("size")).first()[0] or 0
     places = digits(longest)
     now = base.select("row", "id", "digit", F.lit(0).cast("long").alias("group"), (F.col("size") <= FIRST).alias("ended"))
-    settled = None
+    settled = base.select("row", "id", F.lit(None).cast("long").alias("group_size"), F.col("id").alias("last"), F.col("row").alias("into")).limit(0)
     for level in range(len(places)):
         groups = _groups(now)
         if groups.isEmpty():
             break
         met = stored(now.join(groups, ["group", "digit", "ended"]).select("row", "id", "ended", "n", "into", "last"), "radix-met")
-        copies = met.where("ended").select("row", F.col("n").alias("group_size"), "last")
-        settled = copies if settled is None else settled.unionByName(copies)
+        settled = settled.unionByName(met.where("ended").select("row", "id", F.col("n").alias("group_size"), "last", "into"))
         going = met.where("NOT ended").select("row", "id", F.col("into").alias("group"))
         if level + 1 == len(places) or going.isEmpty():
             break
@@ -62,12 +63,13 @@ def _split(docs: DataFrame, key: str, text: str, own: list[Column]) -> tuple[Dat
             cut = F.explode(F.filter(F.array(*(
                 F.struct(F.lit(i).alias("level"), F.lit(s).alias("start"), F.lit(w).alias("width"))
                 for i, (s, w) in enumerate(places) if i)), lambda p: p["start"] < F.col("size")))
-            base.join(going.select("row"), "row", "left_semi").select("row", "whole", "size", cut.alias("p")).select(
+            base.join(broadcast_checked(going.select("row"), ROWS), "row", "left_semi").select("row", "whole", "size", cut.alias("p")).select(
                 "row", "p.level", F.expr("substring(whole, p.start + 1, p.width)").alias("digit"),
                 F.expr("size <= p.start + p.width").alias("ended")).write.partitionBy("level").parquet(pieces)
         piece = spark.read.schema("row long, digit binary, ended boolean").parquet(f"{pieces}/level={level + 1}")
         now = stored(going.join(piece, "row"), "radix-now")
-    return base, settled
+    stay = settled.where(F.col("id").eqNullSafe(F.col("last"))).groupBy("into").agg(F.min("row").alias("row"))
+    return base, settled.drop("id", "into").join(stay.select("row", F.lit(True).alias("stays")), "row", "left")
 
 
 def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", own: list[Column] | None = None) -> DataFrame:
@@ -79,21 +81,15 @@ def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", own:
     """
     own = own or []
     base, copies = _split(docs, key, text, own)
-    rows = base.select("row", "id", *(["own"] if own else []))
-    if copies is None:
-        rows = rows.withColumns({"group_size": F.lit(None).cast("long"), "last": F.lit(None).cast(f"struct<id:{docs.schema[key].dataType.simpleString()},row:long>")})
-    else:
-        rows = rows.join(copies, "row", "left")
-    single = F.col("last").isNull()
+    rows = base.select("row", "id", *(["own"] if own else [])).join(copies, "row", "left")
+    single = F.col("group_size").isNull()
     return rows.select(
-        F.col("id").alias(key), F.when(single, F.col("id")).otherwise(F.col("last.id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (single | (F.col("last.row") == F.col("row"))).alias("kept"),
+        F.col("id").alias(key), F.when(single, F.col("id")).otherwise(F.col("last")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (single | F.col("stays").isNotNull()).alias("kept"),
         *(["own.*"] if own else []))
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     base, copies = _split(docs, key, text, [F.col(c) for c in docs.columns])
-    if copies is not None:
-        base = base.join(copies.where("last.row <> row").select("row"), "row", "left_anti")
-    return base.select("own.*")
+    return base.join(copies.where("stays IS NULL").select("row"), "row", "left_anti").select("own.*")
