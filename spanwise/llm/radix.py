@@ -17,7 +17,7 @@ from spanwise.llm.common import broadcast_checked, stored
 from spanwise.session import scratch_path
 
 #: Bytes of the first digit, how much longer each next one is, and the longest.
-FIRST, TIMES, WIDEST = 64, 8, 1 << 20
+FIRST, TIMES, WIDEST = 64, 64, 1 << 20
 #: Numbers of rows to read on that are broadcast at most; beyond, every text moves once, to meet the rows that are read on.
 ROWS = 1_000_000
 
@@ -58,16 +58,18 @@ def _split(docs: DataFrame, key: str, text: str, own: list[Column]) -> tuple[Dat
         going = met.where("NOT ended").select("row", "id", F.col("into").alias("group"))
         if level + 1 == len(places) or going.isEmpty():
             break
-        if not level:
+        if not level:  # the texts that are read on, cut into digits once; the first of them know their group already
             pieces = scratch_path(spark, "radix-pieces")
             cut = F.explode(F.filter(F.array(*(
                 F.struct(F.lit(i).alias("level"), F.lit(s).alias("start"), F.lit(w).alias("width"))
                 for i, (s, w) in enumerate(places) if i)), lambda p: p["start"] < F.col("size")))
-            base.join(broadcast_checked(going.select("row"), ROWS), "row", "left_semi").select("row", "whole", "size", cut.alias("p")).select(
-                "row", "p.level", F.expr("substring(whole, p.start + 1, p.width)").alias("digit"),
+            base.select("row", "whole", "size").join(broadcast_checked(going, ROWS), "row").select("*", cut.alias("p")).select(
+                "row", "id", "group", "p.level", F.expr("substring(whole, p.start + 1, p.width)").alias("digit"),
                 F.expr("size <= p.start + p.width").alias("ended")).write.partitionBy("level").parquet(pieces)
-        piece = spark.read.schema("row long, digit binary, ended boolean").parquet(f"{pieces}/level={level + 1}")
-        now = stored(going.join(piece, "row"), "radix-now")
+        now = spark.read.schema(going.select("row", "id", "group", F.lit(b"").alias("digit"), F.lit(True).alias("ended")).schema).parquet(
+            f"{pieces}/level={level + 1}")
+        if level:
+            now = stored(now.drop("id", "group").join(going, "row"), "radix-now")
     stay = settled.where(F.col("id").eqNullSafe(F.col("last"))).groupBy("into").agg(F.min("row").alias("row"))
     return base, settled.drop("id", "into").join(stay.select("row", F.lit(True).alias("stays")), "row", "left")
 
