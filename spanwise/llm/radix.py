@@ -69,7 +69,7 @@ def _split(docs: DataFrame, key: str, text: str, own: list[Column]) -> tuple[Dat
         now = spark.read.schema(going.select("row", "id", "group", F.lit(b"").alias("digit"), F.lit(True).alias("ended")).schema).parquet(
             f"{pieces}/level={level + 1}")
         if level:
-            now = stored(now.drop("id", "group").join(going, "row"), "radix-now")
+            now = stored(now.drop("id", "group").join(broadcast_checked(going, ROWS), "row"), "radix-now")
     stay = settled.where(F.col("id").eqNullSafe(F.col("last"))).groupBy("into").agg(F.min("row").alias("row"))
     return base, settled.drop("id", "into").join(stay.select("row", F.lit(True).alias("stays")), "row", "left")
 
