@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from registry import records as rec
 from registry.base import add, rounded
+from registry.cox_sql import newton_steps, tidy_steps
 from registry.q_counts import ALL_VARIABLES, BOTH, HIDDEN_SQL, _TESTS_SQL, cont, long_sql, numeric_sql, rate_select
 from registry.q_derive import C
 from registry.q_sources import km_steps
@@ -123,7 +124,6 @@ def _cox(st):
     return cox.cox_ph(st.cohort, _COX, "chronic_kidney_disease", _LEVELS)
 
 
-add("cox_ph", lambda st: rounded(_cox(st), "estimate", "conf_low", "conf_high", "p_value"))
 
 
 def _wald(st):
@@ -137,6 +137,11 @@ def _wald(st):
 # twice the normal tail, by Simpson's rule from 0 to |z|
 _P = """greatest(0.0, 1.0 - 2.0 * list_sum([(CASE WHEN k IN (0, 400) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * exp(-pow(k * z / 400.0, 2) / 2.0)
     FOR k IN range(0, 401)]) * z / 1200.0 / sqrt(2.0 * pi()))"""
+_HAZARDS = [COHORT, *newton_steps(
+    f"SELECT * FROM ({_ROWS}) WHERE age IS NOT NULL AND ckd IN ({', '.join(repr(level) for level in _LEVELS)})",
+    _XS, {"unadjusted": [0, 1, 2, 3], "age adjusted": [0, 1, 2, 3, 4]}),
+    tidy_steps({j: f"chronic_kidney_disease{level}" for j, level in enumerate(_LEVELS[1:])}, _P)]
+add("cox_ph", lambda st: rounded(_cox(st), "estimate", "conf_low", "conf_high", "p_value"), with_steps(*_HAZARDS, query="SELECT * FROM tidy"))
 add("wald_tidy", lambda st: rounded(_wald(st), "estimate", "se", "low_90", "high_90", "p_value", digits=5), with_steps(
     COHORT, _newton_sql(_NEWTON), f"wf AS (SELECT outcome, b, 1.0 / sqrt(v) AS se, least(abs(b * sqrt(v)), 12.0) AS z FROM n{_NEWTON - 1})",
     query=f"""SELECT outcome, round(b, 5) AS estimate, round(se, 5) AS se, round(b - 1.6448536269514722 * se, 5) AS low_90,
@@ -247,7 +252,12 @@ add("report_characteristics_raw", lambda st: tb.characteristics(st.grouped), wit
 _T3 = [long_sql(["chronic_kidney_disease"]), measures("long", ["variable", "level"], -1)]
 add("report_ckd_rates", lambda st: tb.characteristics_redacted(st.grouped, **tb.CKD_OPTIONS),
     with_steps(COHORT, *_T3, redact_sql(_T2_KEYS), query=f"{format_sql(_T2_KEYS)} WHERE level <> 'Unknown'"))
-add("report_ckd_hazards", lambda st: rounded(tb.ckd_hazards(st.cohort), "estimate", "conf_low", "conf_high", "p_value"))
+_EVENTS = "events AS (" + " UNION ALL ".join(
+    f"SELECT '{e}' AS outcome, 'chronic_kidney_disease' || chronic_kidney_disease AS term, CAST(sum({e}) AS BIGINT) AS events FROM cohort GROUP BY 2"
+    for e, _ in OUTCOMES.values()) + ")"
+_SHOWN = ", ".join(f"CASE WHEN events >= 8 THEN {c} END AS {c}" for c in ("estimate", "conf_low", "conf_high", "p_value"))
+add("report_ckd_hazards", lambda st: rounded(tb.ckd_hazards(st.cohort), "estimate", "conf_low", "conf_high", "p_value"), with_steps(
+    *_HAZARDS, _EVENTS, query=f"SELECT outcome, model, term, {to_base('events', '5.0')} AS events, {_SHOWN} FROM tidy LEFT JOIN events USING (outcome, term)"))
 _T4_OUTCOMES = OUTCOMES | {"critical_care": (OUTCOMES["critical_care"][0], "time_to_hospitalisation")}
 _T4_ADJUSTED = [step for o, (e, t) in _T4_OUTCOMES.items() for step in age_rate_steps(e, t, _STAGE, 10000, f"a_{o}")]
 _T4_JOINED = "adjusted AS (SELECT fin.*, " + ", ".join(f"round(a_{o}.{c}, 2) AS {c}_{o}" for o in OUTCOMES for c in RATE_COLUMNS) + " FROM fin " + " ".join(

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from spanwise.operators.wald import wald
 
+#: Tied events of a day that one row of a block stands for.
+TIED = 1 << 16
+
 
 @dataclass(frozen=True)
 class Outcome:
@@ -73,17 +76,20 @@ def partial_likelihood(counted: DataFrame, betas: DataFrame, p: int) -> DataFram
         "outcome", "model", "time", "d", "dxb", *[f"dx{j}" for j in range(p)], *[f"e{m}" for m in moments],
         *[f"sum(s{m}) {back} AS s{m}" for m in moments],
     ).where("d > 0")
-    # one row per tied event: the sums over f_l = s0 - l/d * e0 are plain sums for any number of events on a day
-    keys = ["outcome", "model", "time"]
-    kept = [f"first({c}) AS {c}" for c in at_risk.columns if c not in keys]
-    each = at_risk.selectExpr("*", "explode(sequence(0L, cast(d as bigint) - 1)) AS l").selectExpr("*", "s0 - l / d * e0 AS f")
+    # a day's tied events l = 0 .. d-1 are cut into blocks, which are dealt out; the sums over f_l = s0 - l/d * e0 are
+    # plain sums for any number of events on a day, and what belongs to the day as a whole counts in its first block
+    keys = ["outcome", "model", "time", "block"]
+    blocks = at_risk.selectExpr("*", f"explode(sequence(0L, cast(ceil(d / {TIED}) as bigint) - 1)) AS block").repartition(*keys)
+    kept = [f"first({c}) AS {c}" for c in blocks.columns if c not in keys]
+    each = blocks.selectExpr(
+        "*", f"explode(sequence(block * {TIED}, least(cast(d as bigint), (block + 1) * {TIED}) - 1)) AS l").selectExpr("*", "s0 - l / d * e0 AS f")
     tied = each.groupBy(*keys).agg(*map(F.expr, [*kept, "sum(ln(f)) AS r0", "sum(1D / f) AS c1", "sum(1D / (f * f)) AS c2"])).selectExpr(
-        "*", *[f"e{j}_ / e0 AS r_{j}" for j in range(p)]).selectExpr("*", *[f"s{j}_ - r_{j} * s0 AS u_{j}" for j in range(p)])
-    out = ["sum(dxb - r0) AS ll", "cast(sum(d) as bigint) AS events"]
-    out += [f"sum(dx{j} - d * r_{j} - u_{j} * c1) AS u{j}" for j in range(p)]
+        "*", "if(block = 0, 1D, 0D) AS own", *[f"e{j}_ / e0 AS r_{j}" for j in range(p)]).selectExpr("*", *[f"s{j}_ - r_{j} * s0 AS u_{j}" for j in range(p)])
+    out = ["sum(own * dxb - r0) AS ll", "cast(sum(own * d) as bigint) AS events"]
+    out += [f"sum(own * (dx{j} - d * r_{j}) - u_{j} * c1) AS u{j}" for j in range(p)]
     out += [
-        f"sum(d * e{j}_{k} / e0 + (s{j}_{k} - e{j}_{k} / e0 * s0) * c1"
-        f" - d * r_{j} * r_{k} - (r_{j} * u_{k} + u_{j} * r_{k}) * c1 - u_{j} * u_{k} * c2) AS i{j}_{k}"
+        f"sum(own * d * e{j}_{k} / e0 + (s{j}_{k} - e{j}_{k} / e0 * s0) * c1"
+        f" - own * d * r_{j} * r_{k} - (r_{j} * u_{k} + u_{j} * r_{k}) * c1 - u_{j} * u_{k} * c2) AS i{j}_{k}"
         for j, k in pairs
     ]
     return tied.groupBy("outcome", "model").agg(*[F.expr(e) for e in out])

@@ -50,8 +50,14 @@ def test_satisfying_counts_unknown_as_false(values):
 def test_window_bounds_are_inclusive_and_unknown_bounds_match_nothing(values):
     d = lambda n: date(2021, 1, n)
     rows = [(d(1), d(1), d(3)), (d(3), d(1), d(3)), (d(4), d(1), d(3)), (d(2), None, d(3)), (None, d(1), d(3))]
-    got = values(rows, "e date, lo date, hi date", lambda: dates.within(C("e"), C("lo"), C("hi")))
-    assert got == [True, True, False, False, False]
+    schema, inside = "e date, lo date, hi date", lambda: dates.within(C("e"), C("lo"), C("hi"))
+    assert values(rows, schema, inside) == [True, True, False, None, False]
+    assert values(rows, schema, lambda: F.when(inside(), 1).otherwise(0)) == [1, 1, 0, 0, 0]
+
+
+def test_an_unknown_window_bound_passes_no_filter(spark):
+    df = spark.createDataFrame([(date(2021, 1, 2), None), (date(2021, 1, 2), date(2021, 1, 1))], "e date, lo date")
+    assert df.where(dates.within(C("e"), C("lo"))).count() == 1
 
 
 def test_time_to_event_skips_unknown(values):

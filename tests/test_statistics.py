@@ -131,6 +131,25 @@ def test_cox_likelihood_and_fit_match_brute_force(spark):
     assert set(m for m, _ in table) == {"unadjusted", "age adjusted"} and len(table) == 4
 
 
+def test_cox_sums_tied_events_in_blocks_dealt_over_tasks(spark, monkeypatch):
+    """Days with 1 to 400 events, cut into blocks of seven, give the sums of the whole day."""
+    rng = np.random.default_rng(5)
+    time = np.repeat([1, 2, 3, 4], [400, 7, 1, 60])
+    x, event = rng.normal(size=(len(time), 2)).round(1), (rng.random(len(time)) < 0.9).astype(int)
+    df = spark.createDataFrame([(*map(float, a), int(t), int(e)) for a, t, e in zip(x, time, event)], "a double, b double, t int, e int")
+    counted = cox.model_cells(cox.outcome_cells(df, [cox.Outcome("o", "e", "t")], ["a", "b"]), [F.col("a"), F.col("b")], "m")
+    ll, u, info = efron(np.array([0.3, -0.2]), x, time, event)
+    for block in (7, 1 << 16):
+        monkeypatch.setattr(cox, "TIED", block)
+        step = cox.partial_likelihood(counted, cox._betas(spark, {("o", "m"): np.array([0.3, -0.2])}, 2), 2)
+        row = step.first()
+        assert row.events == event.sum() and abs(row.ll - ll) < 1e-8 and np.allclose([row.u0, row.u1], u, atol=1e-8)
+        assert np.allclose([[row.i0_0, row.i0_1], [row.i0_1, row.i1_1]], info, atol=1e-8)
+    plan = step._jdf.queryExecution().sparkPlan().toString().splitlines()
+    window, events = (next(i for i, line in enumerate(plan) if what in line) for what in ("Window", "Generate explode(sequence((block"))
+    assert any("Exchange" in line or "Repartition" in line for line in plan[events:window])
+
+
 def test_cox_with_a_level_nobody_has(spark):
     level, age, time, event = survival_rows(120)
     rows = [("none" if a == 0 else "mild", int(b), int(c), int(d)) for a, b, c, d in zip(level, age, time, event)]
