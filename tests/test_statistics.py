@@ -24,8 +24,10 @@ def test_rate_without_events_or_time(spark):
     assert tuple(none)[1:] == (0.0, 0.0, None) and tuple(timeless)[1:] == (None, None, None)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_quantiles_match_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, target", [(False, quantiles.TARGET), (True, quantiles.TARGET), (False, 2), (True, 2), (False, 1), (True, 8)])
+def test_quantiles_match_brute_force(spark, monkeypatch, hot, target):
+    """Small targets: the first slice of a group exceeds them, and is cut again."""
+    monkeypatch.setattr(quantiles, "SLICES", 256 if target > 8 else 4)
     rng = random.Random(3)
     rows = []
     for _ in range(5000):
@@ -35,7 +37,7 @@ def test_quantiles_match_brute_force(spark, hot):
     cells = quantiles.value_counts(spark.createDataFrame(rows, "g string, v double"), ["g"], "v")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     for kind in ("linear", "step"):
-        out = {r.g: list(r)[1:] for r in quantiles.quantiles(cells, ["g"], probs, kind).collect()}
+        out = {r.g: list(r)[1:] for r in quantiles.quantiles(cells, ["g"], probs, kind, target).collect()}
         for g in ("a", "b", "single"):
             own = np.sort([v for k, v in rows if k == g])
             if kind == "linear":
@@ -45,6 +47,27 @@ def test_quantiles_match_brute_force(spark, hot):
             assert np.allclose(out[g], wanted, rtol=1e-12), (kind, g)
 
 
+def test_no_task_sorts_more_values_than_the_target(spark, monkeypatch):
+    """A group whose first slice holds far more distinct values than the target."""
+    monkeypatch.setattr(quantiles, "SLICES", 4)
+    cells = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 20_000).cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
+    cuts = []
+    cut_points = quantiles.cut_points
+    monkeypatch.setattr(quantiles, "cut_points", lambda cells, keys: cuts.append(cells) or cut_points(cells, keys))
+    out = quantiles.quantiles(cells, ["g"], [0.25, 0.5], "step", target=50).first()
+    assert (out.q0, out.q1) == (4999.0, 9999.0)
+    sizes = [max(r["count"] for r in c.groupBy("g", "part").count().collect()) for c in cuts]
+    assert sizes[0] == 20_000 and sizes[-1] <= 100 and sizes == sorted(sizes, reverse=True)
+
+
+def test_quantiles_of_more_groups_than_are_held_and_of_none(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "HELD", 3)
+    cells = quantiles.value_counts(spark.createDataFrame([(i % 9 or None, float(i)) for i in range(900)], "g int, v double"), ["g"], "v")
+    out = {r.g: r.q0 for r in quantiles.quantiles(cells, ["g"], [0.5], "step").collect()}
+    assert out == {g or None: sorted(float(i) for i in range(900) if i % 9 == g)[49] for g in range(9)}
+    assert quantiles.quantiles(cells.where("g > 99"), ["g"], [0.5]).count() == 0
+
+
 def km_brute(times, events):
     out, s, v, n = {}, 1.0, 0.0, len(times)
     for t in sorted(set(times)):
