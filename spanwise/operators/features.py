@@ -13,15 +13,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from spanwise.functions.dates import within
-from spanwise.session import broadcast_if_small, is_small
+from spanwise.session import BROADCAST_ROW_LIMIT, broadcast_if_small, is_small
+from spanwise.sources.snapshots import snapshot
 
 PERSON = "patient_id"
+#: Distinct values of a text column that are numbered as a local table at most.
+SHORT_LIST = 10_000
 
 
 @dataclass(frozen=True)
@@ -160,6 +165,45 @@ def found(index: DataFrame, days: DataFrame, features: Sequence[Feature], labels
     return _with_labels(slim.join(own, PERSON).groupBy(PERSON).agg(*[_aggregate(f, bounds) for f in features]), features, labels)
 
 
+@dataclass(frozen=True)
+class Reach:
+    """What the windows of an index frame can reach: days as constants, and the people if they are few."""
+
+    days: list[tuple[date | None, date | None]]
+    people: DataFrame | None
+
+    def cut(self, events: DataFrame, group: int = 0) -> DataFrame:
+        """The records that some window of the features of ``group`` may hold.
+
+        The days are plain comparisons with constants, which the scan applies; a semi join leaves out other people's
+        records before anything is folded.
+        """
+        lower, upper = self.days[group]
+        if lower is not None:
+            events = events.where(F.col("event_date") >= F.lit(lower))
+        if upper is not None:
+            events = events.where(F.col("event_date") <= F.lit(upper))
+        return events if self.people is None else events.join(F.broadcast(self.people), PERSON, "left_semi")
+
+
+def reach(index: DataFrame, *groups: Sequence[Feature]) -> Reach:
+    """One short job over the index: the number of people and the widest window of each group of features.
+
+    A feature without a bound leaves its side open; nobody with a known bound leaves no day to read. People are handed
+    on only when they are counted as few, and their keys are numbers.
+    """
+    sides = [(side, [getattr(f, side) for f in features]) for features in groups for side in ("lower", "upper")]
+    known = [(side, bounds) if bounds and all(b is not None for b in bounds) else None for side, bounds in sides]
+    widest = {"lower": lambda b: F.min(b), "upper": lambda b: F.max(b)}
+    one = {"lower": F.least, "upper": F.greatest}
+    aggs = [widest[k[0]](k[1][0] if len(k[1]) == 1 else one[k[0]](*k[1])) if k else F.lit(None) for k in known]
+    row = index.agg(F.count(F.lit(1)).alias("people"), *[a.alias(f"b{i}") for i, a in enumerate(aggs)]).first()
+    none = {"lower": date(9999, 12, 31), "upper": date(1000, 1, 1)}  # before and after all records
+    found = [None if k is None else row[f"b{i}"] or none[k[0]] for i, k in enumerate(known)]
+    few = row["people"] <= BROADCAST_ROW_LIMIT and isinstance(index.schema[PERSON].dataType, NumericType)
+    return Reach(list(zip(found[::2], found[1::2])), index.select(PERSON) if few else None)
+
+
 def with_defaults(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
     """Flags of people without records are false, counts 0."""
     defaults = {"flag": F.lit(False), "count": F.lit(0).cast("bigint")}
@@ -175,6 +219,7 @@ def resolve(index: DataFrame, days: DataFrame, features: Sequence[Feature], labe
 def coded_features(index: DataFrame, events: DataFrame, codelists: DataFrame, features: Sequence[Feature]) -> DataFrame:
     """Features of coded records: ``tag`` names the code list."""
     labels = category_labels(codelists, features)
+    events = reach(index, features).cut(events)
     tagged = tag_by_codelist(events, codelists, sorted({f.tag for f in features}), labels=labels)
     return resolve(index, fold_days(tagged, features), features, labels)
 
@@ -184,6 +229,7 @@ def rule_features(
 ) -> DataFrame:
     """Features of records picked by predicates: ``tag`` names the rule."""
     used = {f.tag for f in features}
+    events = reach(index, features).cut(events)
     return resolve(index, fold_rules(events, {name: rule for name, rule in rules.items() if name in used}), features)
 
 
@@ -221,15 +267,67 @@ def next_dose(vaccinations: DataFrame, previous: DataFrame, gap_days: int, end:
     return previous.join(later, PERSON, "left")
 
 
+def dose_answers(
+    vaccinations: DataFrame, codelists: DataFrame, name: str, start: Column, end: Column, gap_days: int, flag: str
+) -> DataFrame:
+    """``first_dose``, ``next_dose`` and whether any record carries ``flag``, from one pass over the records.
+
+    Doses are records on the list ``name``; the flag counts on every record. People without a first dose are left out.
+    """
+    codes = codelists.where(F.col("codelist") == name).select("system", "code").distinct().withColumn("given", F.lit(True))
+    marked = vaccinations.join(broadcast_if_small(codes), ["system", "code"], "left")
+    days = marked.groupBy(PERSON, "event_date").agg(F.bool_or("given").alias("given"), F.bool_or(flag).alias(flag))
+    on = F.col("event_date")
+    first = F.min(F.when(F.col("given") & within(on, start, end), on)).over(Window.partitionBy(PERSON))  # at most one row per day
+    later = F.when(F.col("given") & within(on, F.date_add("dose_1", gap_days), end), on)
+    return days.withColumn("dose_1", first).where(F.col("dose_1").isNotNull()).groupBy(PERSON).agg(
+        F.min("dose_1").alias("dose_1"), F.min(later).alias("dose_2"), F.coalesce(F.bool_or(flag), F.lit(False)).alias(flag))
+
+
 def record_flag(records: DataFrame, flag: Column, name: str) -> DataFrame:
     """People with at least one record that carries the flag."""
     return records.groupBy(PERSON).agg(F.coalesce(F.bool_or(flag), F.lit(False)).alias(name))
 
 
+def positions(records: DataFrame, column: str) -> DataFrame | None:
+    """``(value, position)`` of the distinct values of a text column, numbered in their order; None for a column of numbers.
+
+    Aggregations over positions keep numbers in their buffers and run as hash aggregates. A short list becomes a local
+    table; a longer one is sorted by ranges and stored, so that its numbers stay the same.
+    """
+    if not isinstance(records.schema[column].dataType, StringType):
+        return None
+    values = records.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    head = values.limit(SHORT_LIST + 1).toArrow().column("value").to_pylist()
+    if len(head) > SHORT_LIST:
+        return snapshot(values.orderBy("value").withColumn("position", F.monotonically_increasing_id()), "positions")
+    rows = [(value, i) for i, value in enumerate(sorted(head, key=str.encode))]  # as Spark orders text
+    return F.broadcast(records.sparkSession.createDataFrame(rows, "value string, position long"))
+
+
+def to_positions(df: DataFrame, column: str, listed: DataFrame | None) -> DataFrame:
+    """``column`` replaced by its position; unknown stays unknown."""
+    if listed is None:
+        return df
+    numbered = listed.select(F.col("value").alias("_value"), F.col("position").alias("_position"))
+    return df.join(numbered, F.col(column) == F.col("_value"), "left").withColumn(column, F.col("_position")).drop("_value", "_position")
+
+
+def from_positions(df: DataFrame, column: str, listed: DataFrame | None) -> DataFrame:
+    """The text for each position in ``column``."""
+    if listed is None:
+        return df
+    named = listed.select(F.col("value").alias("_value"), F.col("position").alias("_position"))
+    return df.join(named, F.col(column) == F.col("_position"), "left").withColumn(column, F.col("_value")).drop("_value", "_position")
+
+
 def most_frequent_code(records: DataFrame, code: str, name: str) -> DataFrame:
     """Most frequent code of each person; the larger code wins a tie."""
+    listed = positions(records, code)
     counts = records.where(F.col(code).isNotNull()).groupBy(PERSON, code).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(PERSON).agg(F.max_by(code, F.struct("n", code)).alias(name))
+    # one exchange by person serves both: the largest code of each count, then the code of the largest count
+    largest = to_positions(counts, code, listed).repartition(PERSON).groupBy(PERSON, "n").agg(F.max(code).alias(code))
+    return from_positions(largest.groupBy(PERSON).agg(F.max_by(code, "n").alias(name)), name, listed)
 
 
 def join_all(base: DataFrame, *parts: DataFrame) -> DataFrame:

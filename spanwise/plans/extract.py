@@ -227,11 +227,12 @@ def record_features(index: DataFrame, records: Records, codelists: DataFrame, da
     test_rules = {"test_any": F.lit(True), "test_positive": F.col("positive")}
     labels = ft.category_labels(codelists, clinical)
     clinical_lists = sorted({f.tag for f in clinical})
+    near = ft.reach(index, clinical, tests, admissions, medications)
     days = ft.pool(
-        ft.fold_days(ft.tag_by_codelist(records.clinical, codelists, clinical_lists, labels=labels), clinical),
-        ft.fold_rules(records.tests, test_rules),
-        ft.fold_days(ft.tag_by_codelist(records.admissions, codelists, ["covid_identification"], "admission_"), admissions),
-        ft.fold_days(ft.tag_by_codelist(records.medications, codelists, ["immunosuppression_medication"]), medications),
+        ft.fold_days(ft.tag_by_codelist(near.cut(records.clinical, 0), codelists, clinical_lists, labels=labels), clinical),
+        ft.fold_rules(near.cut(records.tests, 1), test_rules),
+        ft.fold_days(ft.tag_by_codelist(near.cut(records.admissions, 2), codelists, ["covid_identification"], "admission_"), admissions),
+        ft.fold_days(ft.tag_by_codelist(near.cut(records.medications, 3), codelists, ["immunosuppression_medication"]), medications),
     )
     return ft.found(index, days, [*tests, *admissions, *clinical, *medications], labels)
 
@@ -242,21 +243,23 @@ def cohort_extract(
     dates: StudyDates,
     stage: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
-    """The wide extract. ``stage`` may store the index frames that several joins start from."""
-    doses = dose_index(records, codelists, dates).where(F.col("dose_2").isNotNull())
+    """The wide extract. ``stage`` may store the index frames that several joins start from, best in buckets of the person.
+
+    Doses and registrations are read once, each for several answers. What depends on the doses alone comes with the
+    index; what needs the death dates follows in the last stage.
+    """
+    doses = ft.dose_answers(records.vaccinations, codelists, "covid_vaccine", as_date(dates.campaign_start), as_date(dates.end),
+                            dates.dose_gap_days, "health_worker").where(F.col("dose_2").isNotNull()).withColumnRenamed("health_worker", "hscworker")
     d2, immune, end = F.col("dose_2"), days_after(F.col("dose_2"), dates.immune_days), as_date(dates.end)
-    eligible = spells.registered_as_of(doses, records.registrations, immune)
+    eligible = spells.registration_answers(doses, records.registrations, immune, d2, "region", d2, end, "dereg_date")
     index = stage(eligible.join(records.people, PERSON, "left"), "index")
-    deaths = stage(death_features(index, records.deaths, codelists, dates), "deaths")
+    known = stage(ft.join_all(
+        index, death_features(index, records.deaths, codelists, dates),
+        spells.attribute_as_of(index, records.addresses, d2, "deprivation_rank", "deprivation_rank")), "known")
 
     wide = ft.join_all(
-        index,
-        deaths,
-        record_features(ft.join_all(index, deaths), records, codelists, dates),
-        spells.deregistration_date(index, records.registrations, d2, end, "dereg_date"),
-        spells.attribute_as_of(index, records.registrations, d2, "region", "region"),
-        spells.attribute_as_of(index, records.addresses, d2, "deprivation_rank", "deprivation_rank"),
-        ft.record_flag(records.vaccinations, F.col("health_worker"), "hscworker"),
+        known,
+        record_features(known, records, codelists, dates),
         ft.most_frequent_code(records.hospital_ethnicity, "ethnic_group", "ethnicity_6_sus"),
     )
     wide = ft.with_defaults(

@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.operators.derive import PRIORITY_GROUPS, with_priority_group
+from spanwise.operators.features import PERSON
 from spanwise.operators.summaries import dataset_profile, properties
 from spanwise.plans import curves as cv
 from spanwise.plans import tables as tb
 from spanwise.plans.extract import Records, StudyDates, cohort_extract
 from spanwise.plans.process import derive_cohort, exclude
 from spanwise.sources.extract import read_typed_csv
-from spanwise.sources.snapshots import read_snapshot, snapshot, write_csv, write_snapshot
+from spanwise.sources.snapshots import read_snapshot, snapshot, snapshot_by, write_csv, write_snapshot
 
 FULL, FINAL = "data/data_all", "data/data_processed"
 
 
 def extract(records: Records, codelists: DataFrame, dates: StudyDates, out: str) -> str:
     """Full extraction from record tables to the wide CSV that ``process`` reads."""
-    return write_csv(cohort_extract(records, codelists, dates, stage=snapshot), f"{out}/input")
+    return write_csv(cohort_extract(records, codelists, dates, stage=lambda df, label: snapshot_by(df, label, PERSON)), f"{out}/input")
 
 
 def process(spark: SparkSession, extract_csv: str, out: str, study_end: str, **options) -> None:

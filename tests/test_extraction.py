@@ -105,6 +105,70 @@ def test_doses_chain(spark):
     assert out == {1: (day(0), day(15)), 2: (day(3), None), 3: (day(1), None)}
 
 
+def test_dose_answers_equal_the_single_operators(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(30), day(rng.randrange(-20, 90)), i, "s", rng.choice(["A.", "b", "c"]), rng.random() < 0.1) for i in range(400)]
+    records = spark.createDataFrame(rows, "patient_id long, event_date date, event_id long, system string, code string, worker boolean")
+    codes = cl.inline(spark, {"v": ("s", ["A.", "b"])})
+    start, end = F.lit(day(0)), F.lit(day(70))
+    given = ft.matching(records, codes, "v")
+    first = ft.next_dose(given, ft.first_dose(given, start, end), 15, end).join(ft.record_flag(records, F.col("worker"), "worker"), "patient_id")
+    found = ft.dose_answers(records, codes, "v", start, end, 15, "worker")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, first.collect()))
+
+
+def test_registration_answers_equal_the_single_operators(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        start = rng.randrange(0, 60)
+        rows.append((rng.randrange(40), i, day(start), day(start + rng.randrange(1, 30)) if rng.random() < 0.8 else None, rng.choice(["x", "y", None])))
+    spell = spark.createDataFrame(rows, "patient_id long, spell_id long, start_date date, end_date date, region string")
+    index = spark.createDataFrame([(p, day(rng.randrange(5, 80))) for p in range(45)], "patient_id long, d date")
+    later, end = days_after(F.col("d"), 3), F.lit(day(200))
+    single = ft.join_all(
+        spells.registered_as_of(index, spell, later), spells.attribute_as_of(index, spell, F.col("d"), "region", "region"),
+        spells.deregistration_date(index, spell, F.col("d"), end, "left"))
+    found = spells.registration_answers(index, spell, later, F.col("d"), "region", F.col("d"), end, "left")
+    assert sorted(map(str, found.select(single.columns).collect())) == sorted(map(str, single.collect())) and found.count() > 10
+
+
+def test_reach_cuts_records_without_changing_features(spark, tmp_path, capsys):
+    """The widest window becomes constants in the scan, a semi join stands before the fold; unknown bounds reach nothing."""
+    path = str(tmp_path / "events")
+    rows = [(p, day(n), 100 * p + n, "gp", "A.", float(n)) for p in range(6) for n in range(0, 90, 7)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(path)
+    index = spark.createDataFrame([(1, day(30)), (2, day(50)), (3, None)], "patient_id long, d date")
+    wanted = [Feature("n", "a", "count", lower=days_after(F.col("d"), -20), upper=F.col("d")), Feature("last", "a", "last_date", days_after(F.col("d"), -9), F.col("d"))]
+    codes = cl.inline(spark, {"a": ("gp", ["A."])})
+    out = ft.coded_features(index, spark.read.parquet(path), codes, wanted)
+    assert {r.patient_id: (r.n, r["last"]) for r in out.collect()} == {1: (3, day(28)), 2: (3, day(49)), 3: (0, None)}
+    capsys.readouterr()
+    ft.coded_features(index, spark.read.parquet(path), codes, wanted).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(event_date,2021-01-11)" in plan and "LessThanOrEqual(event_date,2021-02-20)" in plan and "LeftSemi" in plan
+    assert ft.reach(index, wanted, [Feature("x", "a", "flag", upper=F.col("d"))], [Feature("y", "a", "flag")]).days == [
+        (day(10), day(50)), (None, day(50)), (None, None)]
+    assert ft.coded_features(index.where("d is null"), spark.read.parquet(path), codes, wanted).first().n == 0
+
+
+def test_long_lists_of_texts_are_numbered_by_a_stored_sort(spark, monkeypatch):
+    monkeypatch.setattr(ft, "SHORT_LIST", 2)
+    rows = [(1, c) for c in "aabbc"] + [(2, None), (2, "é"), (2, "z"), (3, None)]
+    df = spark.createDataFrame(rows, "patient_id long, code string")
+    assert {r.patient_id: r["mode"] for r in ft.most_frequent_code(df, "code", "mode").collect()} == {1: "b", 2: "é"}
+    plan = ft.most_frequent_code(df, "code", "mode")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_tables_in_buckets_of_the_person_join_without_an_exchange(spark):
+    from spanwise.sources.snapshots import snapshot_by
+
+    one, two = (snapshot_by(spark.range(200).withColumnRenamed("id", "patient_id").withColumn(c, F.lit(1)), c, "patient_id") for c in "ab")
+    joined = one.hint("merge").join(two, "patient_id")
+    assert joined.count() == 200 and "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_most_frequent_code_breaks_ties_by_larger_code(spark):
     rows = [(1, "2"), (1, "2"), (1, "3"), (1, "3"), (1, "1"), (2, None), (2, "1")]
     out = ft.most_frequent_code(spark.createDataFrame(rows, "patient_id long, code string"), "code", "mode").collect()
