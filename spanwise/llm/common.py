@@ -25,6 +25,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores behind it as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def word_blocks(data: bytes, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """Words (maximal runs of other than ASCII white space) of ``data`` in order, a block of about ``size`` bytes at a time."""
     start = 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import broadcast_checked, stored
+from spanwise.llm.common import broadcast_checked, fresh, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Marks that rarely stand in running text; their share lowers a document's quality weight.
@@ -71,9 +71,8 @@ def mix(
     interchangeable. An empty table gives an empty result. ``carry`` needs no column named like a helper: helpers are kept
     in one struct column with a name that ``docs`` does not have. Reruns agree, as keys are hashes of ``seed`` and ``key``.
     """
-    helper = "_mix"
-    while helper in docs.columns:
-        helper += "_"
+    helper, plans, place, extra = fresh(docs, "_mix", "_plan", "_bucket", "_extra")
+    of = lambda name: F.col(f"{plans}.{name}")
     own = F.struct(
         F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         (quality if quality is not None else quality_weight(F.col(text))).alias("weight"),
@@ -98,21 +97,22 @@ def mix(
     summed = summed.withColumn("before", F.sum("words").over(running) - F.col("words")).withColumnRenamed("source", "of")
     edges = aimed.join(summed, F.col("source").eqNullSafe(F.col("of")) & (F.col("before") < F.col("rest"))
                        & (F.col("rest") <= F.col("before") + F.col("words")), "left")
-    plan = broadcast_checked(stored(edges.select(
+    plan = broadcast_checked(stored(edges.select(F.struct(
         F.col("source").alias("of"), "source_size", "target", "epochs", (F.col("rest") - F.col("before")).alias("room"),
-        "edge"), "mix-plan"))
-    met = rows.join(plan, at("source").eqNullSafe(F.col("of"))).withColumn("bucket", bucket(at("key")))
-    mine = Window.partitionBy("of").orderBy(at("key"), at("id").asc_nulls_last(), at("size"))
+        "edge").alias(plans)), "mix-plan"))
+    met = rows.join(plan, at("source").eqNullSafe(of("of"))).withColumn(place, bucket(at("key")))
+    mine = Window.partitionBy(of("of")).orderBy(at("key"), at("id").asc_nulls_last(), at("size"))
     prefix = F.sum(at("size")).over(mine.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - at("size")
-    last = met.where(F.col("bucket") == F.col("edge")).withColumn(
-        "extra", F.greatest(F.lit(0).cast("long"), F.least(at("size"), F.col("room") - prefix)))
-    rest = met.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn(
-        "extra", F.when(F.col("bucket") < F.col("edge"), at("size")).otherwise(0).cast("long"))
-    taken = (F.col("epochs") * at("size") + F.col("extra")).alias("taken")
+    last = met.where(F.col(place) == of("edge")).withColumn(
+        extra, F.greatest(F.lit(0).cast("long"), F.least(at("size"), of("room") - prefix)))
+    rest = met.where(of("edge").isNull() | (F.col(place) != of("edge"))).withColumn(
+        extra, F.when(F.col(place) < of("edge"), at("size")).otherwise(0).cast("long"))
+    taken = (of("epochs") * at("size") + F.col(extra)).alias("taken")
     out = last.unionByName(rest)
     if carry:
         return out.select(*kept, F.struct(at("size").alias("size"), taken).alias(helper))
-    return out.select(at("id").alias(key), at("source").alias("source"), at("size").alias("size"), "source_size", "target", taken)
+    return out.select(at("id").alias(key), at("source").alias("source"), at("size").alias("size"),
+                      of("source_size").alias("source_size"), of("target").alias("target"), taken)
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import stored, word_blocks
+from spanwise.llm.common import fresh, stored, word_blocks
 from spanwise.llm.components import components
 from spanwise.llm.near_copies import near_copies, text_number
 
@@ -251,15 +251,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     Near-duplicates have a Jaccard similarity of ``least`` or more, see ``near_copies``. Of repeated rows of one key
     and text one stays, too. Rows without a key stay, as they cannot be told from each other.
     """
-    found = stored(near_copies(docs, key, text, words, least), "copies-found")
-    firsts = found.groupBy("component").agg(F.min(key).alias("first"))
-    heads = stored(found.join(firsts, "component").where(F.col(key) == F.col("first")).groupBy("component", "first").agg(F.min("node").alias("head")), "copies-heads")
-    groups = stored(found.join(heads, "component").where(F.col(key).isNotNull()).select(
-        key, F.col("node").alias("_node"), ((F.col(key) == F.col("first")) & (F.col("node") == F.col("head"))).alias("stays")), "copies-groups")
-    by = [key, "_node"]  # one key may stand on different texts
+    node, id_ = fresh(docs, "_node", "_id")
+    slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    found = stored(near_copies(slim, "id", "text", words, least), "copies-found")
+    firsts = found.groupBy("component").agg(F.min("id").alias("first"))
+    heads = stored(found.join(firsts, "component").where(F.col("id") == F.col("first")).groupBy("component", "first").agg(F.min("node").alias("head")), "copies-heads")
+    groups = stored(found.join(heads, "component").where(F.col("id").isNotNull()).select(
+        F.col("id").alias(id_), F.col("node").alias(node), ((F.col("id") == F.col("first")) & (F.col("node") == F.col("head"))).alias("stays")), "copies-groups")
+    by = [id_, node]  # one key may stand on different texts
     others = groups.where("NOT stays").select(*by).distinct()
     again = stored(groups.where("stays").groupBy(*by).count().where("count > 1").select(*by), "copies-again")
-    kept = docs.withColumn("_node", text_number(text)).join(others, by, "left_anti")
+    kept = docs.withColumns({id_: F.col(key), node: text_number(text)}).join(others, by, "left_anti")
     if not again.isEmpty():
         kept = kept.join(again, by, "left_anti").unionByName(kept.join(again, by, "left_semi").dropDuplicates(by))
     return kept.select(*docs.columns)

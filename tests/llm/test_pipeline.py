@@ -2,8 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from spanwise.llm import decontaminate, language, mixing, simhash
+from spanwise.llm import decontaminate, language, mixing, near_copies, simhash
 
 
 @pytest.fixture(scope="module")
@@ -31,12 +33,35 @@ def test_language_stage(steps):
     assert after.count() > 0.98 * before.count()
 
 
+def jaccard_groups(docs):
+    """Each document's smallest fellow, by brute force over the sets of five-word shingles, and the linked pairs of different sets."""
+    sets = {}
+    for r in docs.collect():
+        words = (r.text or "").lower().split()
+        sets[r.doc_id] = {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+    order, root, near = sorted(sets, key=lambda d: len(sets[d])), {d: d for d in sets}, []
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(order):
+        for b in order[i + 1:]:
+            if len(sets[a]) < 0.8 * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                if sets[a] != sets[b]:
+                    near.append((a, b))
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {d: top(d) for d in sets}, near
+
+
 def test_near_duplicate_stage(steps):
     before, after = steps[1]
-    groups = {}
-    for r in simhash.near_duplicates(before, words=5).collect():
-        groups.setdefault(r.component_id, []).append(r.doc_id)
-    assert ids(after) == sorted(map(min, groups.values())) and after.count() < before.count()
+    assert ids(after) == sorted(set(jaccard_groups(before)[0].values())) and after.count() < before.count()
 
 
 def test_decontamination_stage(spark, sf_dir, steps):
@@ -71,30 +96,56 @@ def test_odd_rows(spark, sf_dir):
 
 
 def test_near_copies_go(spark):
-    """Against all pairs: the exact Jaccard similarity of the sets of five-word shingles, and the groups that it links."""
-    sets = {}
+    """Against all pairs: every link at 0.8 or more is found (recall 1), and the groups are those that the links make."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 1500 OR doc_id IN (7743, 9710)")
-    for r in docs.collect():
-        words = (r.text or "").lower().split()
-        sets[r.doc_id] = {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
-    order, root, near = sorted(sets, key=lambda d: len(sets[d])), {d: d for d in sets}, 0
-
-    def top(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for i, a in enumerate(order):
-        for b in order[i + 1:]:
-            if len(sets[a]) < 0.8 * len(sets[b]):
-                break
-            both = len(sets[a] & sets[b])
-            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                near += sets[a] != sets[b]
-                x, y = sorted((top(a), top(b)))
-                root[y] = x
-    assert near > 5 and top(596) == top(917) and top(7743) == top(9710)
-    assert ids(simhash.keep_one(docs)) == sorted({top(d) for d in sets})
+    groups, near = jaccard_groups(docs)
+    assert len(near) > 5 and groups[596] == groups[917] and groups[7743] == groups[9710]
+    found = {r.doc_id: r.component for r in near_copies.near_copies(docs).collect()}
+    assert all(found[a] == found[b] for a, b in near)
+    assert ids(simhash.keep_one(docs)) == sorted(set(groups.values()))
+
+
+def crowd(spark, shared, n=150):
+    """Texts that have the same passage of ``shared`` words and 60 of their own, and copies of some with one word changed."""
+    rows = []
+    for i in range(n):
+        words = [f"s{j}" for j in range(shared)] + [f"o{i}x{j}" for j in range(60)]
+        rows.append((i, " ".join(words), "en", "a", 1))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*words[:-1], "changed"]), "en", "a", 1))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+
+
+def test_crowded_buckets_make_few_pairs(spark, monkeypatch):
+    """Texts that share a long passage meet in many buckets; hardly more pairs leave the tasks than there are copies."""
+    pairs, across = [], near_copies._across
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    monkeypatch.setattr(near_copies, "_across", lambda now, small: pairs.append((now.count(), across(now, small))) or pairs[-1][1])
+    docs = crowd(spark, 70)
+    assert ids(simhash.keep_one(docs)) == list(range(150))
+    (rows, out), = pairs
+    assert rows > 200 and out.count() <= 30
+
+
+@pytest.mark.parametrize("stars", [0, 2])
+def test_chunks_lose_no_link(spark, monkeypatch, stars):
+    monkeypatch.setattr(near_copies, "STARS", stars)
+    monkeypatch.setattr(near_copies, "CHUNK", 4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(crowd(spark, 20, 30).withColumn("doc_id", F.col("doc_id") + 100_000))
+    groups, near = jaccard_groups(docs)
+    assert near and ids(simhash.keep_one(docs)) == sorted(set(groups.values()))
+
+
+HELPERS = ["_mix", "_plan", "_bucket", "_extra", "target", "edge", "of", "epochs", "bucket", "extra", "taken", "size", "room", "key", "_node", "_id",
+           "node", "component", "place", "root", "_place", "same", "shard", "slot"]
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    rows = [(i, f"word{i % 7} " * (3 + i % 5), "en", "ab"[i % 2], 5, *range(i, i + len(HELPERS))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{h}` int" for h in HELPERS))
+    given = {tuple(r) for r in docs.collect()}
+    for out in (mixing.repeated(docs), simhash.keep_one(docs)):
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= given and out.count()
 
 
 def test_large_group_of_near_copies(spark):
