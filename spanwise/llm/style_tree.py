@@ -25,6 +25,8 @@ from spanwise.llm.common import broadcast_checked, stored
 KEEP, PRESENTATION, PRIOR, TRUSTED = 0.7, 0.1, 50, 200
 #: Features that a task counts before it passes them on.
 COUNTED = 300_000
+#: Hashes of repeated pages that are broadcast at most; beyond, pages are shuffled once to meet them.
+REPEATED = 500_000
 
 # Fixed values of HTML: elements inside a line, elements whose content is no text, and elements without an end.
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -148,7 +150,7 @@ def _number(text: str) -> int:
 
 
 def style_trees(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """``(host, node, importance)`` of every style node, by its hashed path, of every host. Copies of a page count once."""
+    """``(host, node, importance)`` of every style node, by its hashed path, of every host. Copies of a page count as one page."""
 
     def count(batches):
         seen = Counter()
@@ -158,30 +160,38 @@ def style_trees(pages: DataFrame, host: str, page: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32()),
                 pa.array([k[3] for k in keys], pa.int64()), pa.array([k[4] for k in keys], pa.int32()),
-                pa.array(list(seen.values()), pa.int64())], ["host", "node", "kind", "feature", "size", "n"])
+                pa.array(list(seen.values()), pa.float64())], ["host", "node", "kind", "feature", "size", "n"])
             seen.clear()
 
         for batch in batches:
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for own, text, share in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 blocks, children = blocks_of(text.as_py() or "")
                 paths = {p for p, _, _ in blocks}
                 number = {p: _number(p) for p in paths}
-                seen.update((own, number[p], 0, 0, 1) for p in paths)  # pages that have the node
-                seen.update((own, number[p], 1, _number(s), len(s)) for p, t, _ in blocks for s in _SENTENCE.split(t))
+                for p in paths:  # pages that have the node
+                    seen[own, number[p], 0, 0, 1] += share
+                for p, t, _ in blocks:
+                    for sentence in _SENTENCE.split(t):
+                        seen[own, number[p], 1, _number(sentence), len(sentence)] += share
                 above = {p: p.rpartition("/")[0] for p in paths}
                 inside = {p: " ".join(c) for p, c in children}
-                seen.update((own, number[p], 2, _number(inside.get(above[p], "")), 1) for p in paths)  # the parent's children
+                for p in paths:  # the parent's children
+                    seen[own, number[p], 2, _number(inside.get(above[p], "")), 1] += share
                 if len(seen) > COUNTED:
                     yield from give()
         yield from give()
 
-    single = pages.select(host, page, F.xxhash64(page).alias("_same")).dropDuplicates([host, "_same"])
-    counted = stored(single.select(host, page).mapInArrow(count, "host string, node long, kind int, feature long, size int, n long").groupBy(
+    # copies of a page are found on hashes alone and share one page's weight; only the hashes of repeated pages are joined back
+    hashed = pages.select(F.col(host).alias("host"), F.xxhash64(page).alias("same"), F.col(page).alias("page"))
+    again = stored(hashed.groupBy("host", "same").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumnRenamed("host", "at"), "style-copies")
+    shared = hashed.join(broadcast_checked(again, REPEATED), (F.col("host") == F.col("at")) & (hashed.same == again.same), "left")
+    counted = stored(shared.select("host", "page", (1.0 / F.coalesce("copies", F.lit(1))).alias("share")).mapInArrow(
+        count, "host string, node long, kind int, feature long, size int, n double").groupBy(
         "host", "node", "kind", "feature", "size").agg(F.sum("n").alias("n")), "style-counts")
 
     def measures(rows: DataFrame, *by: str) -> DataFrame:
         """Pages of a node and the entropies of its sentences (each over pages) and of its parent's children."""
-        n = F.col("n").cast("double")
+        n = F.greatest(F.col("n"), F.lit(1.0))  # shares of one page may sum to a little less
         part = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
         sums = rows.groupBy(*by).agg(part(0, n).alias("m"), part(1, n * F.col("size")).alias("t"), part(1, n * F.col("size") * F.ln(n)).alias("s"),
                                      part(2, n).alias("u"), part(2, n * F.ln(n)).alias("w"))
@@ -210,14 +220,14 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: s
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(page).alias("_page"), name.alias("_host"))
     trees = style_trees(rows, "_host", "_page").groupBy("host").agg(  # the style nodes of one site
         F.collect_list("node").alias("nodes"), F.collect_list("importance").alias("importance"))
-    met = rows.join(broadcast_checked(stored(trees, "style-trees")), F.col("_host") == F.col("host"))
+    met = rows.join(broadcast_checked(stored(trees, "style-trees")), F.col("_host") == F.col("host"), "left")  # a host may have no text at all
 
     def run(batches):
         for batch in batches:
             texts, last, tree = [], None, {}
             for own, nodes, values, value in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), batch.column(2)):
                 if own != last:
-                    tree, last = dict(zip(nodes.as_py(), values.as_py())), own
+                    tree, last = dict(zip(nodes.as_py() or (), values.as_py() or ())), own
                 blocks, _ = blocks_of(value.as_py() or "")
                 texts.append(" ".join(t for p, t, out in blocks if not out and tree[_number(p)] >= keep))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),

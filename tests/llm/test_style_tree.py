@@ -84,3 +84,14 @@ def test_copied_pages_count_once(spark):
     rows += [(1000 + i, f"https://same.example/{i}", f"<section><p>{texts[1]}</section>", 1, "x", 1, 1) for i in range(200)]
     found = {r.page_id: r.text for r in st.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {**dict(enumerate(texts)), **{1000 + i: texts[1] for i in range(200)}}
+
+
+def test_every_page_has_a_row_and_copies_count_as_one(spark):
+    """Pages of hosts without any text, null pages and urls; a host with half of its pages copied keeps its articles."""
+    rows = [(1, "http://none.example/a", "<html><body><img src='x'></body></html>"), (2, "http://none.example/b", ""), (3, None, None)]
+    rows += [(10 + i, "http://half.example/p", "<body><nav>Home About News</nav><article><p>%s</p></article></body>" % (
+        "The one article that half of the pages show, word for word." if i % 2 else f"Page {i} tells of number {'abcdefghij'[i % 10] * (2 + i)} alone. And more of {i}.")) for i in range(60)]
+    found = st.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r.page_id: r.text for r in found}
+    assert len(found) == 63 and texts[1] == texts[2] == texts[3] == ""
+    assert all(texts[10 + i].startswith("The one article" if i % 2 else f"Page {i} tells") and "Home" not in texts[10 + i] for i in range(60))
