@@ -3,10 +3,11 @@
 The columns of the term matrix are the benchmark's words; every text becomes the sequence of its columns once. Over all
 passages of all texts, Spark sums document frequencies, then the randomised sketch ``A'AW`` of the TF-IDF matrix A; the
 sketch's eigenvectors (single-pass Nystroem form of the randomised SVD) give every word a latent vector. Overlapping
-windows of every text are compared with every benchmark item of fitting length by the cosine of their latent vectors,
-and by a bound of the weight of words that they share, so that no window with enough shared words is lost.
-Candidates are then checked exactly: weight of shared words, longest common subsequence of words, and for a paraphrase
-also whether the item's answer (its last words) is there in order.
+windows of every text are compared with every benchmark item of fitting length by the cosine of their latent vectors;
+latent neighbours are the candidates for paraphrases. Copies are also found by rare-word seeds: a copy misses so few of an
+item's words that a window with it holds a known number of the item's rarer half, whatever the latent space makes of it.
+Candidates are then checked exactly: longest common subsequence of words, and for a paraphrase also whether the item's
+answer (its last words) is there in order. Items too short for that are found where they stand word for word.
 """
 
 from __future__ import annotations
@@ -18,15 +19,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanwise.llm.common import BLOCK_BYTES, stored
 
 #: Dimensions of the sketch; words of a block and of a passage; blocks by which window lengths differ.
 SKETCH, BLOCK, PASSAGE, GRADES = 64, 8, 32, (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
-#: Power of the inverse document frequency in the term weights: rare words lead the latent directions. Weights below ``FAINT`` are zero.
-RARITY, FAINT = 3, 0.01
+#: Power of the inverse document frequency in the term weights: rare words lead the latent directions.
+RARITY = 3
 #: Benchmark items that are searched at once; more are searched in turns.
-ITEMS_AT_ONCE = 5000
+ITEMS_AT_ONCE = 20_000
+#: Items with fewer words are found only word for word.
+SHORT = 5
+#: Bytes of the table that marks the words of some windows at a time.
+MARKS = 1 << 21
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -49,7 +55,7 @@ def words_of(text: str) -> list[bytes]:
 class Benchmark:
     """Items and their columns; ``fit`` adds document frequencies, latent word vectors and the items by window length."""
 
-    ids: list
+    ids: pa.Array
     items: list[np.ndarray]
     known: dict[bytes, int]
     idf: np.ndarray | None = None
@@ -68,17 +74,18 @@ class Benchmark:
         return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
 
-def read_benchmarks(benchmark: DataFrame, item: str = "item_id", text: str = "text", least: int = 5):
-    """Benchmarks of at most about ``ITEMS_AT_ONCE`` items. Items with fewer than ``least`` words (null and empty ones too) show nothing and match nothing."""
+def read_benchmarks(benchmark: DataFrame, item: str = "item_id", text: str = "text"):
+    """Benchmarks of at most about ``ITEMS_AT_ONCE`` items. Items without words (null and empty ones too) match nothing."""
     held, n = [], benchmark.count()
     turns = -(-n // ITEMS_AT_ONCE)
     for part in range(turns):
         rows = benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(turns)) == part)
-        items = sorted(((r[0], words_of(r[1] or "")) for r in rows.select(item, text).distinct().collect()), key=str)
-        items = [(i, w) for i, w in items if len(w) >= least]
-        if items:
-            known = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-            held.append(Benchmark([i for i, _ in items], [np.array([known[w] for w in ws]) for _, ws in items], known))
+        read = rows.select(F.col(item).alias("item"), F.col(text).alias("text")).distinct().toArrow().combine_chunks()
+        words = [words_of(t.as_py() or "") for t in read["text"]]
+        order = sorted((k for k, ws in enumerate(words) if ws), key=lambda k: (str(read["item"][k].as_py()), words[k]))
+        if order:
+            known = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+            held.append(Benchmark(read["item"].combine_chunks().take(pa.array(order)), [np.array([known[w] for w in words[k]]) for k in order], known))
     return held
 
 
@@ -89,12 +96,12 @@ def _texts(batch: pa.RecordBatch, column: int):
 
 def encoded(docs: DataFrame, bench: Benchmark, key: str, text: str) -> DataFrame:
     """``(_key, columns, seen)``, stored: the columns of every row's text; one more row per task with document frequencies."""
-    kind, width = docs.schema[key].dataType.simpleString(), len(bench.known)
+    width = len(bench.known)
 
     def run(batches):
-        total = np.zeros(width + 1, np.int64)
+        total, kind = np.zeros(width + 1, np.int64), None
         for batch in batches:
-            out, some = [], []
+            out, some, kind = [], [], batch.column(0).type
 
             def add():
                 flags = np.zeros((len(some), width + 1), bool)
@@ -112,12 +119,11 @@ def encoded(docs: DataFrame, bench: Benchmark, key: str, text: str) -> DataFrame
                     add()
             add()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], ["_key", "columns", "seen"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.string()),
-                                          pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["_key", "columns", "seen"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["_key", "columns", "seen"])
 
-    if kind not in ("bigint", "string"):
-        raise TypeError(f"{key} must be a long or a text")
-    return stored(docs.select(key, F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, columns binary, seen binary"), "leaks-encoded")
+    schema = T.StructType([T.StructField("_key", docs.schema[key].dataType), T.StructField("columns", T.BinaryType()), T.StructField("seen", T.BinaryType())])
+    return stored(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema), "leaks-encoded")
 
 
 def fit(coded: DataFrame, bench: Benchmark, seed: int = 0) -> Benchmark:
@@ -137,7 +143,6 @@ def fit(coded: DataFrame, bench: Benchmark, seed: int = 0) -> Benchmark:
     frequency[sums["c"].to_numpy(int)] = sums["n"]
     bench.idf = np.log((frequency[-1] + 2) / (frequency[:-1] + 1)).clip(0).astype(np.float32)
     weights = (bench.idf / max(float(bench.idf.max()), 1e-6)) ** RARITY
-    weights[weights < FAINT] = 0
     shared = spark.sparkContext.broadcast(weights)
 
     def sketch(batches):
@@ -187,8 +192,9 @@ def fit(coded: DataFrame, bench: Benchmark, seed: int = 0) -> Benchmark:
     need = np.array([-(-(len(w) + BLOCK - 1) // BLOCK) for w in bench.items])  # a window of so many blocks holds the item wherever it starts
     grades = [g for g in GRADES if g < need.max()] + [int(need.max())]
     widths = np.array([min(g for g in grades if g >= n) for n in need])
-    for blocks in sorted(set(widths.tolist())):
-        bench.groups[blocks] = np.flatnonzero(widths == blocks)
+    long = np.array([len(w) >= SHORT for w in bench.items])
+    for blocks in sorted(set(widths[long].tolist())):
+        bench.groups[blocks] = np.flatnonzero((widths == blocks) & long)
         own = np.stack([bench.vectors[bench.items[i]].sum(0) for i in bench.groups[blocks]])
         bench.latent[blocks] = own / (np.linalg.norm(own, axis=1, keepdims=True) + 1e-12)
     return bench
@@ -219,80 +225,125 @@ def match(item: list, window: list, verbatim: float, paraphrase: float, answer:
 class Search:
     """Finds benchmark items in encoded texts; one per task."""
 
-    def __init__(self, bench: Benchmark, cosine: float, overlap: float, verbatim: float, paraphrase: float, answer: float):
-        self.bench, self.cosine, self.overlap, self.limits = bench, cosine, overlap, (verbatim, paraphrase, answer)
-        self.most, width = max(bench.groups), len(bench.known)
+    def __init__(self, bench: Benchmark, cosine: float, verbatim: float, paraphrase: float, answer: float):
+        self.bench, self.cosine, self.limits = bench, cosine, (verbatim, paraphrase, answer)
+        self.most, self.width = max(bench.groups, default=1), len(bench.known)
         self.lists = [i.tolist() for i in bench.items]
-        self.idf = np.append(bench.idf, 0).astype(np.float32)  # column -1 is for all other words
-        self.vectors = bench.vectors
-        self.heavy = np.append(np.abs(bench.vectors).max(1) > 0, False)
-        self.has = np.zeros((len(bench.items), width + 1), np.float32)
-        self.weight = np.zeros(len(bench.items))
-        for i, columns in enumerate(bench.items):
-            at = np.unique(columns)
-            self.weight[i] = max(float(self.idf[at].sum()), 1e-9)
-            self.has[i, at] = self.idf[at] / self.weight[i]
-        self.by_word = np.ascontiguousarray(self.has.T)
-
-    def bounds(self, n: int, block: np.ndarray, words: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Running sums over ``n`` blocks of the weight, as a part of each item's, of a block's distinct words that the item has."""
-        out = np.zeros((n + 1, len(items)), np.float32)
-        if len(block):
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            table = np.ascontiguousarray(self.by_word[:, items])
-            for s in range(0, len(starts), 512):
-                first, last = starts[s], starts[s + 512] if s + 512 < len(starts) else len(block)
-                out[block[starts[s:s + 512]] + 1] = np.add.reduceat(table[words[first:last]], starts[s:s + 512] - first, axis=0)
-        return np.cumsum(out, 0, dtype=float)
+        self.vectors = np.append(bench.vectors, np.zeros((1, bench.vectors.shape[1]), np.float32), 0)  # column -1 is for all other words
+        size = np.array([len(i) for i in bench.items])
+        # words of an item that a paraphrase and a copy hold at least
+        self.some, self.most_words = (np.ceil(size * share - 1e-9).astype(int) for share in (paraphrase, verbatim))
+        self.blocks, self.padded, self.row = np.zeros(len(size), int), {}, np.zeros(len(size), int)
+        seeds = []
+        self.hits = np.zeros(len(size), int)
+        for blocks, items in bench.groups.items():
+            self.blocks[items], self.row[items] = blocks, np.arange(len(items))
+            self.padded[blocks] = np.full((len(items), size[items].max()), self.width)
+            for row, i in enumerate(items):
+                words = bench.items[i]
+                self.padded[blocks][row, :len(words)] = words
+                missed = len(words) - self.most_words[i]
+                rare = words[np.argsort(-bench.idf[words], kind="stable")][:max(missed + 1, (len(words) + 1) // 2)]
+                self.hits[i] = len(rare) - missed
+                seeds += [(int(w), int(i)) for w in set(rare.tolist())]
+        seeds = np.array(sorted(seeds), int).reshape(-1, 2)
+        self.seed_items = seeds[:, 1]
+        self.seeds = np.append(np.bincount(seeds[:, 0], minlength=self.width), 0)
+        self.first_seed = np.cumsum(self.seeds) - self.seeds
+        self.short: dict[int, dict[tuple, list[int]]] = {}
+        for i, words in enumerate(self.lists):
+            if len(words) < SHORT:
+                self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(i)
+        self.codes = {n: np.unique([int(self.code(np.array(w), n)[0]) for w in items]) for n, items in self.short.items()}
+
+    def code(self, columns: np.ndarray, size: int) -> np.ndarray:
+        """One number for each run of ``size`` words; equal for equal runs."""
+        runs, out = len(columns) - size + 1, np.zeros(1, np.int64)
+        for k in range(size):
+            out = out * (self.width + 1) + columns[k:k + runs].astype(np.int64) + 1
+        return out
+
+    def neighbours(self, held: np.ndarray, blocks: int, doubled: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(first block, item) of the windows of ``blocks`` blocks that are close to an item in the latent space."""
+        items = self.bench.groups[blocks]
+        place = np.flatnonzero(held[blocks:] - held[:-blocks] >= self.some[items].min())  # others hold too few words of any item
+        total, done = None, 0
+        for size in sorted(doubled, reverse=True):
+            while done + size <= blocks:
+                part = doubled[size][place + done]
+                total = part if total is None else total + part
+                done += size
+        length = np.sqrt(np.einsum("ij,ij->i", total, total)) + 1e-12
+        at, which = np.nonzero(total @ self.bench.latent[blocks].T >= self.cosine * length[:, None])
+        place, item = place[at], items[which]
+        enough = held[place + blocks] - held[place] >= self.some[item]
+        return place[enough], item[enough]
+
+    def seeded(self, columns: np.ndarray, blocks_in_all: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first block, item) of all windows that hold as many of an item's seeds as a copy must."""
+        at = np.flatnonzero(self.seeds[columns])
+        many = self.seeds[columns[at]]
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        item = self.seed_items[np.repeat(self.first_seed[columns[at]], many) + nth]
+        cell, count = np.unique(item * blocks_in_all + np.repeat(at // BLOCK, many), return_counts=True)
+        total, item = np.concatenate([[0], np.cumsum(count)]), cell // blocks_in_all
+        end = np.searchsorted(cell, cell + self.blocks[item])
+        hit = np.flatnonzero(total[end] - total[:-1] >= self.hits[item])
+        if not len(hit):
+            return hit, hit
+        # the item may start before its first seed
+        cell, back = cell[hit], self.blocks[item[hit]]
+        before = np.arange(back.sum()) - np.repeat(np.cumsum(back) - back, back)
+        place, item = np.repeat(cell % blocks_in_all, back) - before, np.repeat(item[hit], back)
+        return place[place >= 0], item[place >= 0]
+
+    def holding(self, rows: np.ndarray, place: np.ndarray, item: np.ndarray, blocks: int, least: np.ndarray) -> np.ndarray:
+        """Which windows hold at least ``least`` of their item's words, in any order."""
+        step = max(1, MARKS // (self.width + 1))
+        marks, out = np.zeros((step, self.width + 1), bool), np.zeros(len(place), bool)
+        for s in range(0, len(place), step):
+            some = rows[place[s:s + step, None] + np.arange(blocks)].reshape(len(place[s:s + step]), -1)
+            line = np.arange(len(some))[:, None]
+            marks[line, some] = True
+            marks[:, -1] = False
+            out[s:s + step] = marks[line, self.padded[blocks][self.row[item[s:s + step]]]].sum(1) >= least[item[s:s + step]]
+            marks[line, some] = False
+        return out
 
     def candidates(self, columns: np.ndarray):
         """(item, first word, words of the window) in ``columns``, whose texts end with empty blocks.
 
-        Candidates are latent neighbours and, as other words of a window can outweigh an item in the latent space, all
-        windows whose blocks hold enough of the item's weight; the exact share of shared words decides about both.
+        Latent neighbours that hold enough words for a paraphrase, and windows with enough seeds and words for a copy.
         """
         rows = columns.reshape(-1, BLOCK)
-        at = np.flatnonzero(self.heavy[columns])
-        step = np.zeros((len(rows), self.vectors.shape[1]), np.float32)
-        if len(at):
-            block = at // BLOCK
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            step[block[starts]] = np.add.reduceat(self.vectors[columns[at]], starts, axis=0)
-        mass = np.concatenate([[0], np.cumsum(self.idf[columns].reshape(-1, BLOCK).sum(1), dtype=float)])
+        step = self.vectors[rows[:, 0]]
+        for k in range(1, BLOCK):
+            step += self.vectors[rows[:, k]]
         power, doubled = step, {1: step}
         while 2 * max(doubled) <= self.most:
             size = max(doubled)
             power = power.copy()
             power[:-size] += doubled[size][size:]
             doubled[2 * size] = power
-        ordered = np.sort(rows, 1)
-        ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = -1
-        held, at = np.nonzero(ordered >= 0)
-        words = ordered[held, at]
-        for blocks, items in self.bench.groups.items():
-            # a window with too little weight of benchmark words in all cannot pass the check of shared words
-            inside = mass[blocks:] - mass[:-blocks]
-            place = np.flatnonzero(inside >= self.overlap * self.weight[items].min() * (1 - 1e-6))
-            total, done = None, 0
-            for size in sorted(doubled, reverse=True):
-                while done + size <= blocks:
-                    part = doubled[size][np.minimum(place + done, len(rows) - 1)]
-                    total = part if total is None else total + part
-                    done += size
-            length = np.sqrt(np.einsum("ij,ij->i", total, total))
-            near = total @ self.bench.latent[blocks].T >= self.cosine * length[:, None]
-            for s in range(0, len(items), 64):
-                sums = self.bounds(len(rows), held, words, items[s:s + 64])
-                near[:, s:s + 64] |= sums[place + blocks] - sums[place] >= self.overlap - 1e-3
-            row, which = np.nonzero(near)
-            for s in range(0, len(row), 50_000):
-                first, item = place[row[s:s + 50_000]], items[which[s:s + 50_000]]
-                some = np.sort(rows[first[:, None] + np.arange(blocks)].reshape(len(first), -1), 1)
-                new = np.ones(some.shape, bool)
-                new[:, 1:] = some[:, 1:] != some[:, :-1]
-                share = (self.has[item[:, None], some] * new).sum(1)
-                for p, i in zip(first[share >= self.overlap], item[share >= self.overlap]):
-                    yield int(i), int(p) * BLOCK, blocks * BLOCK
+        held = np.concatenate([[0], np.cumsum((rows >= 0).sum(1))])
+        near, copied = self.seeded(columns, len(rows))
+        for blocks in self.bench.groups:
+            place, item = self.neighbours(held, blocks, doubled)
+            enough = self.holding(rows, place, item, blocks, self.some)
+            mine = self.blocks[copied] == blocks
+            place_, item_ = near[mine], copied[mine]
+            copy = self.holding(rows, place_, item_, blocks, self.most_words)
+            for cell in np.unique(np.concatenate([item[enough] * len(rows) + place[enough], item_[copy] * len(rows) + place_[copy]])).tolist():
+                yield cell // len(rows), cell % len(rows) * BLOCK, blocks * BLOCK
+
+    def word_for_word(self, columns: np.ndarray):
+        """(item, first word) of the first place of each short item in the columns of one text."""
+        for size, items in self.short.items():
+            if len(columns) >= size:
+                runs = self.code(columns, size)
+                at = np.flatnonzero(np.isin(runs, self.codes[size]))
+                for place in at[np.unique(runs[at], return_index=True)[1]].tolist():
+                    yield from ((i, place) for i in items.get(tuple(columns[place:place + size].tolist()), ()))
 
     def run(self, texts) -> list[dict]:
         """For each encoded text of an iterable, the best match of each item: shares and first word of the window."""
@@ -300,7 +351,7 @@ class Search:
 
         def flush():
             nonlocal own, starts, parts, size, first
-            for item, place, length in self.candidates(np.concatenate(parts)) if parts else ():
+            for item, place, length in self.candidates(np.concatenate(parts)) if parts and self.bench.groups else ():
                 k = int(np.searchsorted(starts, place, "right")) - 1
                 at = place - starts[k]
                 found = match(self.lists[item], own[k][at:at + length].tolist(), *self.limits)
@@ -310,7 +361,7 @@ class Search:
             own, starts, parts, size = [], [], [], 0
 
         for columns in texts:
-            out.append({})
+            out.append({i: ((1.0, 1.0), at) for i, at in self.word_for_word(columns)})
             starts.append(size)
             own.append(columns)
             empty = -len(columns) % BLOCK + self.most * BLOCK
@@ -322,8 +373,8 @@ class Search:
         return out
 
 
-#: Limits of a match: cosine of the latent vectors, weight of shared words, common subsequence of a copy and of a paraphrase, answer.
-LIMITS = {"cosine": 0.6, "overlap": 0.5, "verbatim": 0.8, "paraphrase": 0.6, "answer": 0.75}
+#: Limits of a match: cosine of the latent vectors, common subsequence of a copy and of a paraphrase, answer.
+LIMITS = {"cosine": 0.5, "verbatim": 0.8, "paraphrase": 0.6, "answer": 0.75}
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **limits) -> DataFrame:
@@ -331,11 +382,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
     ``share`` is the part of the item's words that stands in the best window in order, ``answer_share`` that of its last
     quarter. Null texts are empty and match nothing; repeated rows are reported repeatedly; rows with a null key are
-    reported with a null; items with equal texts are all reported; an empty table on either side gives no rows. Only
-    ``key`` and ``text`` are read.
+    reported with a null; items with equal texts are all reported; items of fewer than ``SHORT`` words count where they
+    stand word for word; an empty table on either side gives no rows. Only ``key`` and ``text`` are read; of two result
+    columns of one name the later one gets underscores behind it.
     """
-    kind, item_kind = (f.dataType.simpleString() for f in (docs.schema[key], benchmark.schema[item]))
-    schema = f"{key} {kind}, {item} {item_kind}, share double, answer_share double, first_word long"
+    names = [key]
+    for name in (item, "share", "answer_share", "first_word"):
+        while name in names:
+            name += "_"
+        names.append(name)
+    kinds = [docs.schema[key].dataType, benchmark.schema[item].dataType, T.DoubleType(), T.DoubleType(), T.LongType()]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
     out = docs.sparkSession.createDataFrame([], schema)
     for bench in read_benchmarks(benchmark, item):
         coded = encoded(docs, bench, key, text)
@@ -348,9 +405,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                 rows = [(k, i, *best) for k, hits in enumerate(found) for i, best in sorted(hits.items())]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
-                    pa.array([search.bench.ids[r[1]] for r in rows], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None),
+                    search.bench.ids.take(pa.array([r[1] for r in rows], pa.int64())),
                     pa.array([r[2][0] for r in rows], pa.float64()), pa.array([r[2][1] for r in rows], pa.float64()),
-                    pa.array([r[3] for r in rows], pa.int64())], [key, item, "share", "answer_share", "first_word"])
+                    pa.array([r[3] for r in rows], pa.int64())], names)
 
         out = out.unionByName(coded.where("columns IS NOT NULL").select("_key", "columns").mapInArrow(run, schema))
     return out
