@@ -1,5 +1,6 @@
 """The pipeline: each stage against what its operator promises, on the smallest tables and on odd rows."""
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -116,12 +117,14 @@ def crowd(spark, shared, n=150):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
 
 
-def test_crowded_buckets_make_few_pairs(spark, monkeypatch):
-    """Texts that share a long passage meet in many buckets; hardly more pairs leave the tasks than there are copies."""
+@pytest.mark.parametrize("shared", [70, 280])
+def test_crowded_buckets_make_few_pairs(spark, monkeypatch, shared):
+    """Texts that share a long passage meet in many buckets, at 280 words with a similarity of 0.7; only links leave the tasks."""
     pairs, across = [], near_copies._across
     monkeypatch.setattr(near_copies, "CHUNK", 8)
-    monkeypatch.setattr(near_copies, "_across", lambda now, small: pairs.append((now.count(), across(now, small))) or pairs[-1][1])
-    docs = crowd(spark, 70)
+    monkeypatch.setattr(near_copies, "_across", lambda now, *rest: pairs.append((now.count(), across(now, *rest))) or pairs[-1][1])
+    monkeypatch.setattr(near_copies, "CHUNK_BYTES", 1 << 14)
+    docs = crowd(spark, shared)
     assert ids(simhash.keep_one(docs)) == list(range(150))
     (rows, out), = pairs
     assert rows > 200 and out.count() <= 30
@@ -131,11 +134,20 @@ def test_crowded_buckets_make_few_pairs(spark, monkeypatch):
 def test_chunks_lose_no_link(spark, monkeypatch, stars):
     monkeypatch.setattr(near_copies, "STARS", stars)
     monkeypatch.setattr(near_copies, "CHUNK", 4)
+    monkeypatch.setattr(near_copies, "CHUNK_BYTES", 1 << 12)
+    monkeypatch.setattr(near_copies, "CELLS", 1 << 10)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(crowd(spark, 20, 30).withColumn("doc_id", F.col("doc_id") + 100_000))
     groups, near = jaccard_groups(docs)
     assert near and ids(simhash.keep_one(docs)) == sorted(set(groups.values()))
 
 
+def test_similarities_of_chunks():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(0, 40)).astype(np.uint64)) for _ in range(40)]
+    got = near_copies._similar(sets[:15], sets[15:], 0.5)
+    assert got.tolist() == [[near_copies.jaccard(a, b) >= 0.5 for b in sets[15:]] for a in sets[:15]]
+
+
 HELPERS = ["_mix", "_plan", "_bucket", "_extra", "target", "edge", "of", "epochs", "bucket", "extra", "taken", "size", "room", "key", "_node", "_id",
            "node", "component", "place", "root", "_place", "same", "shard", "slot"]
 
