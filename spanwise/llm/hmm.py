@@ -2,8 +2,8 @@
 
 A word's class is a hash of its last letters, so classes need no table. Latent states emit classes, and within a class words
 follow their counts in all training texts: P(text) = P(class sequence) * product of P(word | class). States are trained by
-Baum-Welch: every partition runs scaled forward and backward recursions over runs of its tokens, Spark sums the expected
-counts, the driver re-estimates. A text's class likelihood is the exact scaled forward recursion over all its tokens.
+Baum-Welch: every partition runs scaled forward and backward recursions over its whole texts, Spark sums the expected
+counts, the driver re-estimates, until the likelihood settles. A text's class likelihood is the exact scaled forward recursion over all its tokens.
 
 Word counts are joined without a table that every task would have to hold: texts fall into hashed blocks of bounded size,
 each block's distinct words are joined with the counted words, and come back to the block with their counts.
@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import stored, word_blocks
+from spanwise.llm.common import broadcast_checked, stored, word_blocks
 
 CLASSES, STATES, ENDING = 4096, 8, 4  # the hash of an ending gives 12 bits
-#: Bytes of text in a block, tokens of a training run, words that a task counts before it passes them on.
-BLOCK_TEXT, RUN, COUNTED = 32 << 20, 64, 500_000
-#: Texts on which the driver finds starting values, and rounds there and over all texts.
-START_TEXTS, START_ROUNDS, ROUNDS = 1500, 12, 2
+#: Bytes of text in a block, tokens whose forward values are held at a time, words that a task counts before it passes them on.
+BLOCK_TEXT, HELD, COUNTED = 32 << 20, 125_000, 500_000
+#: Bytes of class numbers that are trained on side by side; most tasks that score; rows of one key and text that are scored once.
+TOGETHER, TASKS, OFTEN = 16 << 20, 4000, 64
+#: Texts and rounds that give starting values; gain a token (natural log) of a round over all texts that ends the training.
+START_TEXTS, START_ROUNDS, SETTLED = 1500, 8, 0.01
 END = b""  # no word is empty, so the end of a text can be counted among the words
 
 
@@ -112,55 +114,62 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, runs: np.ndarray, real: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Expected counts over runs (T, B) of classes; ``real`` marks places with a token, ``first`` runs that open a text."""
-        (steps, n), ones = runs.shape, np.ones(STATES)
-        emit = self.emit[runs]
-        emit[~real] = 1.0
-        forward, scale = np.empty((steps, n, STATES)), np.empty((steps, n))
-        state = np.where(first[:, None], self.start, np.full(STATES, 1 / STATES))
-        for t in range(steps):
-            state = (state if t == 0 else state @ self.move) * emit[t]
-            scale[t] = state @ ones
-            state = state / scale[t][:, None]
-            forward[t] = state
-        counts = np.zeros((1 + STATES + CLASSES + 1, STATES))
-        back = np.ones((n, STATES))
-        for t in range(steps - 1, -1, -1):
-            share = forward[t] * back
-            share /= (share @ ones)[:, None]
-            share *= real[t][:, None]
-            forward[t] = share  # the place of the forward values, which are used up
-            if t:
-                ahead = emit[t] * back / scale[t][:, None]
-                counts[1:1 + STATES] += self.move * (forward[t - 1].T @ (ahead * real[t][:, None]))
-                back = ahead @ self.move.T
-        counts[0] = forward[0][first].sum(0)
-        for k in range(STATES):
-            counts[1 + STATES:, k] = np.bincount(runs.ravel(), forward[:, :, k].ravel(), CLASSES + 1)
-        return counts
-
-
-def _runs(sequences: list[np.ndarray]):
-    """All tokens of the sequences in runs of ``RUN``, some thousand at a time."""
-    rows, first, held = [], [], 0
-    for s in sequences:
-        for i in range(0, len(s), RUN):
-            rows.append(s[i:i + RUN])
-            first.append(i == 0)
-            if len(rows) == 2048:
-                yield _padded(rows, first)
-                rows, first = [], []
-    if rows:
-        yield _padded(rows, first)
-
-
-def _padded(rows: list[np.ndarray], first: list[bool]):
-    size = np.array([len(r) for r in rows])
-    real = np.arange(RUN) < size[:, None]
-    runs = np.zeros(real.shape, np.int32)
-    runs[real] = np.concatenate(rows)
-    return np.ascontiguousarray(runs.T), np.ascontiguousarray(real.T), np.array(first)
+    def _forward(self, ids: np.ndarray, at: np.ndarray, state: np.ndarray | None):
+        """Emissions, scaled forward values and scales of the steps that start ``at``; ``state`` are those one step before."""
+        emit, ones = self.emit[ids], np.ones(STATES)
+        forward, scale = np.empty_like(emit), np.empty(len(ids))
+        for a, b in zip(at[:-1], at[1:]):
+            state = emit[a:b] * (self.start if state is None else state[:b - a] @ self.move)
+            scale[a:b] = state @ ones
+            state = np.divide(state, scale[a:b, None], out=forward[a:b])
+        return emit, forward, scale
+
+    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, float]:
+        """Expected counts over whole sequences, all of them step by step side by side, and their total log likelihood.
+
+        Forward values are held for windows of about ``HELD`` tokens; between them only the states at the edges are kept.
+        """
+        counts, total, ones = np.zeros((1 + STATES + CLASSES + 1, STATES)), 0.0, np.ones(STATES)
+        ids, at = _side_by_side(sequences)
+        cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], HELD)), len(at) - 1))
+        edges = [None]
+        for s, e in zip(cuts[:-2], cuts[1:-1]):
+            edges.append(self._forward(ids[at[s]:at[e]], at[s:e + 1] - at[s], edges[-1])[1][at[e - 1] - at[s]:].copy())
+        back = np.ones((0, STATES))
+        for s, e, edge in reversed(list(zip(cuts[:-1], cuts[1:], edges))):
+            here, part = at[s:e + 1] - at[s], ids[at[s]:at[e]]
+            emit, forward, scale = self._forward(part, here, edge)
+            total += float(np.log(scale).sum())
+            for t in range(e - s - 1, -1, -1):
+                a, b = here[t], here[t + 1]
+                after, back = back, np.ones((b - a, STATES))
+                back[:len(after)] = after  # sequences that end here have ones
+                before = forward[here[t - 1]:here[t - 1] + b - a] if t else None if edge is None else edge[:b - a]
+                share = forward[a:b] * back
+                if before is not None:
+                    back *= emit[a:b]
+                    back /= scale[a:b, None]
+                    counts[1:1 + STATES] += self.move * (before.T @ back)
+                    back = back @ self.move.T
+                forward[a:b] = share / (share @ ones)[:, None]  # the place of the forward values, which are used up
+            if edge is None:
+                counts[0] = forward[:here[1]].sum(0)
+            for k in range(STATES):
+                counts[1 + STATES:, k] += np.bincount(part, forward[:, k], CLASSES + 1)
+        return counts, total
+
+
+def _side_by_side(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all sequences, longest first, ordered by their place in the sequence, and where each place starts."""
+    size = np.array([len(s) for s in sequences])
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    live = np.cumsum(np.bincount(size)[::-1])[::-1][1:]
+    at = np.concatenate([[0], np.cumsum(live)])
+    place = np.arange(at[-1]) - np.repeat(np.cumsum(size) - size, size)
+    ids = np.empty(at[-1], np.int32)
+    ids[at[place] + np.repeat(np.arange(len(size)), size)] = np.concatenate([sequences[i] for i in order])
+    return ids, at
 
 
 def _bytes(batch, column: int):
@@ -173,28 +182,58 @@ def in_training(key: str = "doc_id", parts: int = 7, held: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts != held
 
 
-def fit(training: DataFrame, text: str = "text", rounds: int = ROUNDS, seed: int = 0) -> Model:
-    """Starting values from a bounded sample of ``START_TEXTS`` texts, then ``rounds`` of Baum-Welch over all texts."""
-    data = training.select(F.encode(F.col(text), "UTF-8").alias("_text"))
-    sample = data.where(F.col("_text").isNotNull()).orderBy(F.xxhash64(F.lit("start"), "_text")).limit(START_TEXTS).toArrow()
-    model = Model.random(seed)
-    begin = [x[:1024] for part in _parts(sample.column(0).to_pylist()) for x in sequences_of(part)]
-    for _ in range(START_ROUNDS if begin else 0):
-        model = Model.estimated(sum(model.expected(*r) for r in _runs(begin)))
-    for _ in range(rounds):
-        def count(batches, now=model):
-            total = np.zeros((1 + STATES + CLASSES + 1, STATES))
-            for batch in batches:
-                for part in _parts(_bytes(batch, 0)):
-                    for runs in _runs(sequences_of(part)):
-                        total += now.expected(*runs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], ["row", "n"])
-
-        sums = [F.sum(F.col("n")[k]).alias(f"s{k}") for k in range(STATES)]
-        whole = data.mapInArrow(count, "row long, n array<double>").groupBy("row").agg(*sums).toPandas()  # a row per class, state and start
-        if len(whole):
-            model = Model.estimated(whole.sort_values("row").drop(columns="row").to_numpy(float))
-    return model
+def classes(training: DataFrame, text: str = "text") -> DataFrame:
+    """``(ids)`` of every text: the classes of all its tokens, two bytes each."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(_bytes(batch, 0)):
+                yield pa.RecordBatch.from_arrays([pa.array([s.astype("<i2").tobytes() for s in sequences_of(part)], pa.binary())], ["ids"])
+
+    return training.select(F.encode(F.col(text), "UTF-8").alias("_text")).mapInArrow(run, "ids binary")
+
+
+def _counted(data: DataFrame, model: Model, label: str) -> tuple[np.ndarray, float]:
+    """Expected counts and log likelihood over all texts of ``data(ids)``, summed by Spark and stored."""
+
+    def count(batches):
+        total, likelihood = np.zeros((1 + STATES + CLASSES + 1, STATES)), 0.0
+        for part in _parts((x for batch in batches for x in _bytes(batch, 0)), TOGETHER):
+            found, logs = model.expected([np.frombuffer(x, "<i2") for x in part])
+            total += found
+            likelihood += logs
+        rows = [*total, np.full(STATES, likelihood)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows, pa.list_(pa.float64()))], ["row", "n"])
+
+    sums = [F.sum(F.col("n")[k]).alias(f"s{k}") for k in range(STATES)]
+    whole = stored(data.mapInArrow(count, "row long, n array<double>").groupBy("row").agg(*sums), label).toPandas()  # a row per class, state and start
+    if whole.empty:
+        return np.zeros((1 + STATES + CLASSES + 1, STATES)), 0.0
+    rows = whole.sort_values("row").drop(columns="row").to_numpy(float)
+    return rows[:-1], float(rows[-1, 0])
+
+
+def fit(training: DataFrame, text: str = "text", settled: float = SETTLED, seed: int = 0) -> Model:
+    """Baum-Welch over all whole texts until a round gains less than ``settled`` (natural log) a token.
+
+    Starting values come from ``START_ROUNDS`` rounds over ``START_TEXTS`` whole texts, which are the first by hash; every
+    round over all texts is stored. Without texts the model is the random one.
+    """
+    data = stored(classes(training, text), "hmm-classes")
+    some = stored(data.orderBy(F.xxhash64("ids"), "ids").limit(START_TEXTS), "hmm-start")
+    model, before = Model.random(seed), -np.inf
+    for turn in range(START_ROUNDS):
+        model = Model.estimated(_counted(some, model, f"hmm-start-{turn}")[0])
+    turn = 0
+    while True:
+        counts, likelihood = _counted(data, model, f"hmm-round-{turn}")
+        tokens = counts[1 + STATES:].sum()
+        if not tokens:
+            return Model.random(seed)
+        model = Model.estimated(counts)
+        if likelihood / tokens - before < settled:
+            return model
+        before, turn = likelihood / tokens, turn + 1
 
 
 def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
@@ -227,8 +266,9 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     """``(key, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``, from a model of ``training``.
 
     ``base_score`` is the add-one unigram score, ``score`` the log10 probability by the hidden Markov model. A null or empty
-    text is its end alone. Repeated rows are scored repeatedly; a null key is kept; without training texts all words are
-    unknown. Only ``key`` and ``text`` are read.
+    text is its end alone. Repeated rows are returned repeatedly, rows of one key and text that stand more than ``OFTEN``
+    times are scored once; a null key is kept; without training texts all words are unknown. Only ``key`` and ``text`` are
+    read. Texts fall into blocks of about ``BLOCK_TEXT`` bytes by hash; a task takes one, beyond ``TASKS`` blocks a few.
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     model = fit(training, text)
@@ -239,9 +279,22 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     n, v = int(totals["n"].sum()), int(totals["v"].sum())
     shared = spark.sparkContext.broadcast((model, np.log10(inside + 1)))
     if blocks is None:
-        blocks = max(24, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BLOCK_TEXT))
-    rows = docs.select(key, F.encode(F.col(text), "UTF-8").alias("_text"),
-                       F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("block"))
+        blocks = max(1, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BLOCK_TEXT))
+    tasks = min(blocks, max(TASKS, -(-blocks // 16)))
+    same = [F.xxhash64(key, text).alias("_same"), F.hash(text, key).alias("_also")]
+    rows = docs.select(F.col(key).alias("_key"), F.encode(F.col(text), "UTF-8").alias("_text"), *same)
+    names = ["_same", "_also"]
+    often = stored(rows.groupBy(*names).count().where(F.col("count") > OFTEN).select(*names), "hmm-often")
+    repeated = not often.isEmpty()
+    if repeated:  # their texts are scored once and their rows stay where they are
+        often = broadcast_checked(often)
+        held = rows.join(often, names, "left_semi").select("_key", *names)
+        once = rows.join(often, names, "left_semi").groupBy(*names).agg(F.first("_key").alias("_key"), F.first("_text").alias("_text"))
+        rows = rows.join(often, names, "left_anti").withColumn("_one", F.lit(False)).unionByName(once.withColumn("_one", F.lit(True)))
+    else:
+        rows = rows.withColumn("_one", F.lit(False))
+    rows = rows.select(*names, "_one", "_key", "_text", F.pmod("_same", F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.repartitionById(tasks, F.pmod("block", F.lit(tasks)))
 
     def distinct(batches):
         """Words of each block, which one task reads; a word is given again only where a block has very many of them."""
@@ -254,7 +307,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
             seen.clear()
 
         for batch in batches:
-            for block, data in zip(batch.column(1).to_pylist(), _bytes(batch, 0)):
+            for block, data in zip(batch.column(5).to_pylist(), _bytes(batch, 4)):
                 own = seen.setdefault(block, set())
                 own.add(END)
                 for words in word_blocks(data.lower()):
@@ -263,8 +316,8 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
                     yield from give()
         yield from give()
 
-    words = rows.select("_text", "block").repartition(blocks, "block").mapInArrow(distinct, "block int, word string")
-    found = words.join(known.select("word", "c"), "word")
+    words = rows.mapInArrow(distinct, "block int, word string")  # of all columns, so that one shuffle of the texts serves twice
+    found = words.join(known.select("word", "c"), "word").repartitionById(tasks, F.pmod("block", F.lit(tasks)))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         hmm, inside = shared.value
@@ -284,9 +337,16 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
                 sequences.append(ids)
         likelihood = hmm.log_likelihoods(sequences) / np.log(10)
         return pa.table({
-            key: left.column(key), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known_n, pa.int64()),
+            **{c: left.column(c) for c in (*names, "_one", "_key")}, "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known_n, pa.int64()),
             "train_tokens": pa.array([n] * len(sizes), pa.int64()), "base_score": pa.array(base, pa.float64()),
             "score": pa.array(likelihood + np.array(within), pa.float64())})
 
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        scored, f"{key} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    whole = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        scored, f"_same long, _also int, _one boolean, _key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if not repeated:
+        return whole.select(F.col("_key").alias(key), *out)
+    whole = stored(whole, "hmm-scored")
+    ones = broadcast_checked(stored(whole.where("_one").select(*names, *out), "hmm-ones"))
+    return whole.where("NOT _one").select(F.col("_key").alias(key), *out).unionByName(
+        held.join(ones, names).select(F.col("_key").alias(key), *out))

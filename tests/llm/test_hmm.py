@@ -18,7 +18,6 @@ SCHEMA = "doc_id long, text string, score string, block int, n_tokens int"
 def tiny(monkeypatch):
     monkeypatch.setattr(hmm, "STATES", 2)
     monkeypatch.setattr(hmm, "CLASSES", 3)
-    monkeypatch.setattr(hmm, "RUN", 4)
     return hmm.Model.random(3)
 
 
@@ -37,10 +36,13 @@ def test_likelihood_sums_over_all_paths(tiny):
         assert math.isclose(f, math.log(sum(joint(tiny, p, s) for p in itertools.product(range(2), repeat=len(s)))), rel_tol=1e-9)
 
 
-def test_expected_counts_average_over_all_paths(tiny):
-    seqs = [np.array([0, 2, 1, 3]), np.array([1, 3])]
-    (run,) = hmm._runs(seqs)
-    found, want = tiny.expected(*run), np.zeros((1 + 2 + 4, 2))
+@pytest.mark.parametrize("held", [1, 3, 100])
+def test_expected_counts_average_over_all_paths(tiny, monkeypatch, held):
+    """Whole sequences, whatever number of tokens is held at a time."""
+    monkeypatch.setattr(hmm, "HELD", held)
+    seqs = [np.array([0, 2, 1, 3]), np.array([1, 3]), np.array([2, 2, 0, 1, 1, 0, 3]), np.array([3]), np.array([0, 3])]
+    (found, logs), want = tiny.expected(seqs), np.zeros((1 + 2 + 4, 2))
+    assert math.isclose(logs, tiny.log_likelihoods(seqs).sum(), rel_tol=1e-9)
     for s in seqs:
         paths = list(itertools.product(range(2), repeat=len(s)))
         weight = np.array([joint(tiny, p, s) for p in paths])
@@ -53,6 +55,27 @@ def test_expected_counts_average_over_all_paths(tiny):
     assert np.allclose(found, want)
 
 
+def test_training_sees_the_ends_of_long_texts_and_settles(spark, monkeypatch):
+    """A word class that stands only at the end of long texts is learnt; more rounds would gain less than the limit a token."""
+    texts = [f"{'aa bb ' * 700}{'zz ' * 200}" for _ in range(6)]
+    docs = spark.createDataFrame([(i, t, "", 1, 1) for i, t in enumerate(texts)], SCHEMA)
+    model, seqs = hmm.fit(docs), hmm.sequences_of([t.encode() for t in texts])
+    assert model.emit[hmm.class_of(b"zz")].max() > 0.5
+    counts, logs = model.expected(seqs)
+    more = hmm.Model.estimated(counts).log_likelihoods(seqs).sum()
+    assert (more - logs) / sum(map(len, seqs)) < hmm.SETTLED
+
+
+def test_rows_that_stand_often_are_scored_once(spark):
+    rows = [(7, "a b a", "", 1, 1)] * 200 + [(None, "c", "", 1, 1)] * 100 + [(7, "a b", "", 1, 1), (8, "a b a", "", 1, 1)] + [(9, None, "", 1, 1)] * 70
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = hmm.score(docs, docs, blocks=5)
+    plain = Counter((r.doc_id, r.n_tokens) for r in found.collect())
+    assert plain == {(7, 4): 200, (None, 2): 100, (7, 3): 1, (8, 4): 1, (9, 1): 70}
+    score = {r.doc_id: r.score for r in found.where("n_tokens = 4").collect()}
+    assert math.isclose(score[7], score[8], rel_tol=1e-12)
+
+
 def test_query_against_plain_counts(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     tokens = lambda t: [*"".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split(), None]
