@@ -16,7 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.llm.common import broadcast_checked, stored, word_blocks
@@ -24,6 +24,8 @@ from spanwise.llm.common import broadcast_checked, stored, word_blocks
 CLASSES, STATES, ENDING = 4096, 8, 4  # the hash of an ending gives 12 bits
 #: Bytes of text in a block, tokens whose forward values are held at a time, words that a task counts before it passes them on.
 BLOCK_TEXT, HELD, COUNTED = 32 << 20, 125_000, 500_000
+#: Tokens of a sequence that is trained on in runs, and of a run.
+LONG, RUN = 1 << 14, 1 << 10
 #: Bytes of class numbers that are trained on side by side; most tasks that score; rows of one key and text that are scored once.
 TOGETHER, TASKS, OFTEN = 16 << 20, 4000, 64
 #: Texts and rounds that give starting values; gain a token (natural log) of a round over all texts that ends the training.
@@ -114,12 +116,12 @@ class Model:
         out[order] = total
         return out
 
-    def _forward(self, ids: np.ndarray, at: np.ndarray, state: np.ndarray | None):
+    def _forward(self, ids: np.ndarray, at: np.ndarray, state: np.ndarray | None, start: np.ndarray):
         """Emissions, scaled forward values and scales of the steps that start ``at``; ``state`` are those one step before."""
         emit, ones = self.emit[ids], np.ones(STATES)
         forward, scale = np.empty_like(emit), np.empty(len(ids))
         for a, b in zip(at[:-1], at[1:]):
-            state = emit[a:b] * (self.start if state is None else state[:b - a] @ self.move)
+            state = emit[a:b] * (start if state is None else state[:b - a] @ self.move)
             scale[a:b] = state @ ones
             state = np.divide(state, scale[a:b, None], out=forward[a:b])
         return emit, forward, scale
@@ -127,25 +129,65 @@ class Model:
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, float]:
         """Expected counts over whole sequences, all of them step by step side by side, and their total log likelihood.
 
+        A sequence of more than ``LONG`` tokens is cut into runs of ``RUN``; what the rest of the sequence says at their
+        edges comes from the products of the runs' transfer matrices, so the counts are those of the whole sequence.
+        """
+        counts, total = self._expected([s for s in sequences if len(s) <= LONG])
+        for s in sequences:
+            if len(s) > LONG:
+                runs = [s[i:i + RUN] for i in range(0, len(s), RUN)]
+                found, logs = self._expected(runs, *self._edges(runs))
+                counts += found
+                total += logs
+        return counts, total
+
+    def _transfer(self, runs: np.ndarray) -> np.ndarray:
+        """For each row of equally long runs the matrix from its first state to its last, up to a factor."""
+        state = np.tile(np.eye(STATES), (len(runs), 1, 1))
+        for t in range(runs.shape[1]):
+            state = (state if t == 0 else state @ self.move) * self.emit[runs[:, t], None, :]
+            state /= state.max((1, 2), keepdims=True)
+        return state
+
+    def _edges(self, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Forward values before each run (zero before the first), and backward values at each run's end."""
+        through = np.concatenate([self._transfer(np.stack(runs[:-1])), self._transfer(runs[-1][None])])
+        before, leave = np.zeros((len(runs) + 1, STATES)), np.ones((len(runs), STATES))
+        for k in range(len(runs)):
+            after = (self.start if k == 0 else before[k] @ self.move) @ through[k]
+            before[k + 1] = after / after.sum()
+        for k in range(len(runs) - 2, -1, -1):
+            ahead = self.move @ (through[k + 1] @ leave[k + 1])
+            leave[k] = ahead / (before[k + 1] @ ahead)
+        return before[:-1], leave
+
+    def _expected(self, sequences: list[np.ndarray], entry: np.ndarray | None = None, leave: np.ndarray | None = None):
+        """``expected`` of sequences, or of the runs of one with the values at their edges.
+
         Forward values are held for windows of about ``HELD`` tokens; between them only the states at the edges are kept.
         """
         counts, total, ones = np.zeros((1 + STATES + CLASSES + 1, STATES)), 0.0, np.ones(STATES)
-        ids, at = _side_by_side(sequences)
+        if not sequences:
+            return counts, total
+        start = self.start if entry is None else np.vstack([self.start, entry[1:] @ self.move])
+        ids, at = _side_by_side(sequences)  # runs of one sequence keep their order
         cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], HELD)), len(at) - 1))
         edges = [None]
         for s, e in zip(cuts[:-2], cuts[1:-1]):
-            edges.append(self._forward(ids[at[s]:at[e]], at[s:e + 1] - at[s], edges[-1])[1][at[e - 1] - at[s]:].copy())
+            edges.append(self._forward(ids[at[s]:at[e]], at[s:e + 1] - at[s], edges[-1], start)[1][at[e - 1] - at[s]:].copy())
         back = np.ones((0, STATES))
         for s, e, edge in reversed(list(zip(cuts[:-1], cuts[1:], edges))):
             here, part = at[s:e + 1] - at[s], ids[at[s]:at[e]]
-            emit, forward, scale = self._forward(part, here, edge)
+            emit, forward, scale = self._forward(part, here, edge, start)
             total += float(np.log(scale).sum())
             for t in range(e - s - 1, -1, -1):
                 a, b = here[t], here[t + 1]
-                after, back = back, np.ones((b - a, STATES))
-                back[:len(after)] = after  # sequences that end here have ones
+                after, back = back, np.ones((b - a, STATES)) if leave is None else leave[:b - a].copy()
+                back[:len(after)] = after  # the others end here
                 before = forward[here[t - 1]:here[t - 1] + b - a] if t else None if edge is None else edge[:b - a]
                 share = forward[a:b] * back
+                if before is None and entry is not None:
+                    before = entry  # its row 0 is zero, as nothing stands before the first run
                 if before is not None:
                     back *= emit[a:b]
                     back /= scale[a:b, None]
@@ -153,7 +195,7 @@ class Model:
                     back = back @ self.move.T
                 forward[a:b] = share / (share @ ones)[:, None]  # the place of the forward values, which are used up
             if edge is None:
-                counts[0] = forward[:here[1]].sum(0)
+                counts[0] = forward[:here[1]].sum(0) if entry is None else forward[0]
             for k in range(STATES):
                 counts[1 + STATES:, k] += np.bincount(part, forward[:, k], CLASSES + 1)
         return counts, total
@@ -213,6 +255,20 @@ def _counted(data: DataFrame, model: Model, label: str) -> tuple[np.ndarray, flo
     return rows[:-1], float(rows[-1, 0])
 
 
+def _started(some: DataFrame, seed: int) -> Model:
+    """A model after ``START_ROUNDS`` rounds over the bounded table ``some(ids)``, all in one task."""
+
+    def run(batches):
+        model, own = Model.random(seed), [np.frombuffer(x, "<i2") for batch in batches for x in _bytes(batch, 0)]
+        for _ in range(START_ROUNDS if own else 0):
+            model = Model.estimated(model.expected(own)[0])
+        rows = [model.start, *model.move, *model.emit]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows, pa.list_(pa.float64()))], ["row", "n"])
+
+    rows = some.repartition(1).mapInArrow(run, "row long, n array<double>").toPandas().sort_values("row")["n"].tolist()
+    return Model(rows[0], np.array(rows[1:1 + STATES]), np.array(rows[1 + STATES:])) if rows else Model.random(seed)
+
+
 def fit(training: DataFrame, text: str = "text", settled: float = SETTLED, seed: int = 0) -> Model:
     """Baum-Welch over all whole texts until a round gains less than ``settled`` (natural log) a token.
 
@@ -221,10 +277,7 @@ def fit(training: DataFrame, text: str = "text", settled: float = SETTLED, seed:
     """
     data = stored(classes(training, text), "hmm-classes")
     some = stored(data.orderBy(F.xxhash64("ids"), "ids").limit(START_TEXTS), "hmm-start")
-    model, before = Model.random(seed), -np.inf
-    for turn in range(START_ROUNDS):
-        model = Model.estimated(_counted(some, model, f"hmm-start-{turn}")[0])
-    turn = 0
+    model, before, turn = _started(some, seed), -np.inf, 0
     while True:
         counts, likelihood = _counted(data, model, f"hmm-round-{turn}")
         tokens = counts[1 + STATES:].sum()
@@ -262,6 +315,13 @@ def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
     return data.mapInArrow(count, "word string, class int, c long").groupBy("word", "class").agg(F.sum("c").alias("c"))
 
 
+def _apart(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers of which a repartitioning into ``n`` parts puts one into each."""
+    number = F.col("id").cast("int")
+    dealt = spark.range(64 * n).groupBy(F.pmod(F.hash(number), F.lit(n))).agg(F.min(number).alias("least"))  # n rows
+    return [r.least for r in dealt.collect()]
+
+
 def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
     """``(key, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``, from a model of ``training``.
 
@@ -293,8 +353,10 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
         rows = rows.join(often, names, "left_anti").withColumn("_one", F.lit(False)).unionByName(once.withColumn("_one", F.lit(True)))
     else:
         rows = rows.withColumn("_one", F.lit(False))
-    rows = rows.select(*names, "_one", "_key", "_text", F.pmod("_same", F.lit(blocks)).cast("int").alias("block"))
-    rows = rows.repartitionById(tasks, F.pmod("block", F.lit(tasks)))
+    block = F.pmod("_same", F.lit(blocks)).cast("int")
+    if blocks == tasks:
+        block = F.element_at(F.lit(_apart(spark, blocks)), block + 1)
+    rows = rows.select(*names, "_one", "_key", "_text", block.alias("block")).repartition(tasks, "block")
 
     def distinct(batches):
         """Words of each block, which one task reads; a word is given again only where a block has very many of them."""
@@ -317,7 +379,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
         yield from give()
 
     words = rows.mapInArrow(distinct, "block int, word string")  # of all columns, so that one shuffle of the texts serves twice
-    found = words.join(known.select("word", "c"), "word").repartitionById(tasks, F.pmod("block", F.lit(tasks)))
+    found = words.join(known.select("word", "c"), "word").repartition(tasks, "block")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         hmm, inside = shared.value

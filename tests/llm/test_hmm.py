@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanwise.llm import hmm
 from spanwise.llm.queries import QUERIES
@@ -36,10 +37,11 @@ def test_likelihood_sums_over_all_paths(tiny):
         assert math.isclose(f, math.log(sum(joint(tiny, p, s) for p in itertools.product(range(2), repeat=len(s)))), rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("held", [1, 3, 100])
-def test_expected_counts_average_over_all_paths(tiny, monkeypatch, held):
-    """Whole sequences, whatever number of tokens is held at a time."""
-    monkeypatch.setattr(hmm, "HELD", held)
+@pytest.mark.parametrize("held, long, run", [(1, 100, 100), (3, 100, 100), (100, 100, 100), (100, 2, 2), (2, 3, 2), (100, 2, 1), (3, 4, 3)])
+def test_expected_counts_average_over_all_paths(tiny, monkeypatch, held, long, run):
+    """Whole sequences, whatever number of tokens is held at a time and whether long ones are cut into runs."""
+    for name, value in (("HELD", held), ("LONG", long), ("RUN", run)):
+        monkeypatch.setattr(hmm, name, value)
     seqs = [np.array([0, 2, 1, 3]), np.array([1, 3]), np.array([2, 2, 0, 1, 1, 0, 3]), np.array([3]), np.array([0, 3])]
     (found, logs), want = tiny.expected(seqs), np.zeros((1 + 2 + 4, 2))
     assert math.isclose(logs, tiny.log_likelihoods(seqs).sum(), rel_tol=1e-9)
@@ -129,3 +131,11 @@ def test_words_of_a_class_share_its_probability(spark):
         assert math.isclose(s + 1 / (inside[k] + size[k] + 1), 1)
     model = hmm.fit(docs)
     assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1) and math.isclose(model.start.sum(), 1)
+
+
+def test_blocks_get_a_task_each(spark):
+    for n in (1, 2, 7, 60):
+        numbers = hmm._apart(spark, n)
+        assert len(set(numbers)) == n
+        parts = spark.createDataFrame([(i,) for i in numbers], "block int").repartition(n, "block").select(F.spark_partition_id().alias("p"))
+        assert sorted(r.p for r in parts.collect()) == list(range(n))
