@@ -3,13 +3,16 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from registry import records as rec
+from spanwise import session
 from spanwise.functions.dates import days_after
 from spanwise.operators import features as ft
 from spanwise.operators import spells
 from spanwise.operators.features import Feature
-from spanwise.plans.extract import bmi_lower_bound, deprivation_fifth, smoking_class
+from spanwise.plans.extract import bmi_lower_bound, cohort_extract, deprivation_fifth, record_tasks, smoking_class
 from spanwise.session import broadcast_if_small
 from spanwise.sources import codelists as cl
+from spanwise.sources.snapshots import snapshot_by
 
 EVENTS = "patient_id long, event_date date, event_id long, system string, code string, value double"
 D0 = date(2021, 1, 1)
@@ -217,3 +220,25 @@ def test_date_windows_reach_the_scan(spark, tmp_path, capsys):
     first_dose(spark.read.parquet(path), F.lit("2021-01-01").cast("date"), F.lit("2021-12-31").cast("date")).explain("formatted")
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(event_date,2021-01-01)" in plan and "LessThanOrEqual(event_date,2021-12-31)" in plan
+
+
+def test_many_records_get_more_tasks(spark, sf_dir, monkeypatch):
+    """The records of a task are bounded, whatever the session's number of shuffle partitions; the rows are the same."""
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    records, lists = rec.records(spark, sf_dir), rec.codelists(spark)
+    tasks = record_tasks(records)
+    assert tasks >= 4 * records.clinical.count() / 500 and tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = cohort_extract(records, lists, rec.DATES, lambda df, label: snapshot_by(df, label, "patient_id", tasks), tasks)
+    plan = many._jdf.queryExecution().toString()
+    assert f", {tasks})" in plan and "SelectedBucketsCount: " in plan
+
+    def rows(df):
+        return [[round(v, 6) if isinstance(v, float) else v for v in r] for r in df.orderBy("patient_id").collect()]
+
+    assert rows(many) == rows(cohort_extract(records, lists, rec.DATES))
+
+
+def test_listed_codes_go_below_joins(spark, sf_dir):
+    """Only the parts with a listed code are joined to the order lines."""
+    tagged = ft.tag_by_codelist(rec.medications(spark, sf_dir), rec.codelists(spark), ["immunosuppression_medication"])
+    assert "In(p_brand" in tagged._jdf.queryExecution().toString() and tagged.count() > 0
