@@ -233,11 +233,14 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+def near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, first: DataFrame | None = None
+) -> DataFrame:
     """``(key, node, component)`` for every row of ``docs``: numbers for its text and for the group of texts that it belongs to.
 
     Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``least`` or more are linked; a group holds
-    all that links reach. Texts without words are alike.
+    all that links reach. Texts without words are alike. Pairs ``first(a, b)`` of texts' numbers are checked before those
+    that bands bring together, whether they share a band or not.
     """
     own = stored(sketches(docs, key, text, words), "copies-sketches")
     bands = [f"b{i}" for i in range(BANDS)]
@@ -246,10 +249,15 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     shared = places.groupBy("place").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("place")
     met = stored(places.join(shared, "place"), "copies-met")
     small = stored(own.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "copies-small")
-    wanted = broadcast_checked(stored(met.select("node").distinct(), "copies-wanted"))
+    nodes = met.select("node") if first is None else met.select("node").union(first.select("a")).union(first.select("b"))
+    wanted = broadcast_checked(stored(nodes.distinct(), "copies-wanted"))
     texts = stored(docs.select(text_number(text).alias("node"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
                    .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "copies-texts")
     links = tested = roots = None
+    if first is not None and not first.isEmpty():
+        tested, found = first, stored(_alike(first, texts, words, least), "copies-links")
+        if not found.isEmpty():
+            links, roots = found, components(found, "copies")
 
     def placed() -> DataFrame:
         """The rows of ``met`` with the group found so far, in buckets that hold more than one."""

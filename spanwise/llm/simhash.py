@@ -245,15 +245,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_exact")
 
 
+def text_links(docs: DataFrame, text: str = "text", words: int = 5, threshold: int = 4) -> DataFrame:
+    """``(a, b)``: links between the numbers of different texts, as few as join what steps of ``threshold`` bits join."""
+    own = stored(fingerprints(docs.select(text_number(text).alias("node"), F.col(text).alias("text")), "node", "text", words), "simhash-prints")
+    distinct = stored(own.groupBy("fp").agg(F.min("node").alias("first")), "simhash-distinct")
+    one, two = (distinct.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}")) for c in "ab")
+    across = links(distinct, threshold).join(one, "a").join(two, "b").select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    same = own.join(distinct, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return across.unionByName(same).distinct()
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near-duplicates: the one with the smallest ``key``.
 
-    Near-duplicates have a Jaccard similarity of ``least`` or more, see ``near_copies``. Of repeated rows of one key
-    and text one stays, too. Rows without a key stay, as they cannot be told from each other.
+    Texts whose SimHash fingerprints meet at an anchor and differ in at most four bits are looked at first, then those that
+    ``near_copies`` brings together, which are less alike; in both cases a Jaccard similarity of ``least`` or more makes
+    near-duplicates. Of repeated rows of one key and text one stays, too. Rows without a key stay, as they cannot be told from each other.
     """
     node, id_ = fresh(docs, "_node", "_id")
     slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    found = stored(near_copies(slim, "id", "text", words, least), "copies-found")
+    linked = stored(text_links(slim, "text", words), "simhash-links")
+    found = stored(near_copies(slim, "id", "text", words, least, linked), "copies-found")
     firsts = found.groupBy("component").agg(F.min("id").alias("first"))
     heads = stored(found.join(firsts, "component").where(F.col("id") == F.col("first")).groupBy("component", "first").agg(F.min("node").alias("head")), "copies-heads")
     groups = stored(found.join(heads, "component").where(F.col("id").isNotNull()).select(

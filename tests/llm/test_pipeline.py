@@ -173,3 +173,44 @@ def test_a_key_on_different_texts(spark):
     rows = [(t[0], t[1], "en", "a", 1) for t in ((2, one), (5, one), (5, two), (5, two), (7, two), (2, other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(2, one), (2, other), (5, two)]
+
+
+def test_fingerprints_link_what_no_band_does(spark, monkeypatch):
+    """The stage rests on SimHash links as well: with bands that no two texts share, close texts still go, and only those."""
+    rng = np.random.default_rng(3)
+    long = [f"w{i}" for i in rng.integers(0, 5000, 900)]
+    changed = [*long[:450], "other", *long[451:]]
+    rows = [(5, " ".join(long)), (2, " ".join(changed)), (7, " ".join(f"v{i}" for i in rng.integers(0, 5000, 900))), (9, "of two words"), (8, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = near_copies.sketches
+
+    def apart(*args):
+        found = whole(*args)
+        return found.withColumns({c: F.xxhash64("node", F.lit(c)) for c in found.columns if c.startswith("b")})
+
+    monkeypatch.setattr(near_copies, "sketches", apart)
+    assert ids(simhash.keep_one(docs)) == [2, 4, 7, 9]
+
+
+def test_text_links(spark):
+    """Against all pairs: texts are joined as steps of four bits join them; distant ones share no link."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("node", near_copies.text_number("text"))
+    prints = {r.node: r.fp & (2**64 - 1) for r in simhash.fingerprints(docs, "node", "text", 5).collect()}
+
+    def groups(pairs):
+        root = {n: n for n in prints}
+
+        def top(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in pairs:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+        return {n: top(n) for n in prints}
+
+    nodes = sorted(prints)
+    near = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1:] if (prints[a] ^ prints[b]).bit_count() <= 4]
+    found = [(r.a, r.b) for r in simhash.text_links(docs).collect()]
+    assert near and all(a < b for a, b in found) and groups(found) == groups(near)
