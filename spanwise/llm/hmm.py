@@ -346,17 +346,16 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     names = ["_same", "_also"]
     often = stored(rows.groupBy(*names).count().where(F.col("count") > OFTEN).select(*names), "hmm-often")
     repeated = not often.isEmpty()
+    carried = [*names, "_one", "_key"] if repeated else [*names, "_key"]  # a constant would part the shuffles of the texts
     if repeated:  # their texts are scored once and their rows stay where they are
         often = broadcast_checked(often)
         held = rows.join(often, names, "left_semi").select("_key", *names)
         once = rows.join(often, names, "left_semi").groupBy(*names).agg(F.first("_key").alias("_key"), F.first("_text").alias("_text"))
         rows = rows.join(often, names, "left_anti").withColumn("_one", F.lit(False)).unionByName(once.withColumn("_one", F.lit(True)))
-    else:
-        rows = rows.withColumn("_one", F.lit(False))
     block = F.pmod("_same", F.lit(blocks)).cast("int")
     if blocks == tasks:
         block = F.element_at(F.lit(_apart(spark, blocks)), block + 1)
-    rows = rows.select(*names, "_one", "_key", "_text", block.alias("block")).repartition(tasks, "block")
+    rows = rows.select(*carried, "_text", block.alias("block")).repartition(tasks, "block")
 
     def distinct(batches):
         """Words of each block, which one task reads; a word is given again only where a block has very many of them."""
@@ -369,7 +368,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
             seen.clear()
 
         for batch in batches:
-            for block, data in zip(batch.column(5).to_pylist(), _bytes(batch, 4)):
+            for block, data in zip(batch.column("block").to_pylist(), _bytes(batch, batch.schema.get_field_index("_text"))):
                 own = seen.setdefault(block, set())
                 own.add(END)
                 for words in word_blocks(data.lower()):
@@ -399,13 +398,13 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
                 sequences.append(ids)
         likelihood = hmm.log_likelihoods(sequences) / np.log(10)
         return pa.table({
-            **{c: left.column(c) for c in (*names, "_one", "_key")}, "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known_n, pa.int64()),
+            **{c: left.column(c) for c in carried}, "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known_n, pa.int64()),
             "train_tokens": pa.array([n] * len(sizes), pa.int64()), "base_score": pa.array(base, pa.float64()),
             "score": pa.array(likelihood + np.array(within), pa.float64())})
 
     out = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     whole = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        scored, f"_same long, _also int, _one boolean, _key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        scored, f"_same long, _also int, {'_one boolean, ' if repeated else ''}_key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     if not repeated:
         return whole.select(F.col("_key").alias(key), *out)
     whole = stored(whole, "hmm-scored")

@@ -139,3 +139,12 @@ def test_blocks_get_a_task_each(spark):
         assert len(set(numbers)) == n
         parts = spark.createDataFrame([(i,) for i in numbers], "block int").repartition(n, "block").select(F.spark_partition_id().alias("p"))
         assert sorted(r.p for r in parts.collect()) == list(range(n))
+
+
+def test_texts_are_shuffled_once(spark):
+    """The blocks' words and the scores read one shuffle of the texts."""
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(40)], "doc_id long, text string")
+    found = hmm.score(docs, docs, blocks=3)
+    assert len(found.collect()) == 40
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") + final.count("Scan ExistingRDD") <= 2 and "ReusedExchange" in final
