@@ -253,11 +253,11 @@ def near_copies(
     wanted = broadcast_checked(stored(nodes.distinct(), "copies-wanted"))
     texts = stored(docs.select(text_number(text).alias("node"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
                    .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "copies-texts")
-    links = tested = roots = None
+    tested = roots = None
     if first is not None and not first.isEmpty():
         tested, found = first, stored(_alike(first, texts, words, least), "copies-links")
         if not found.isEmpty():
-            links, roots = found, components(found, "copies")
+            roots = components(found, "copies")
 
     def placed() -> DataFrame:
         """The rows of ``met`` with the group found so far, in buckets that hold more than one."""
@@ -282,8 +282,8 @@ def near_copies(
         else:
             found = stored(_across(now, small, texts, words, least), "copies-links")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = components(links, "copies")
+            # the groups found so far go on as a link from each text to its group's smallest
+            roots = components(found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))), "copies")
     if roots is None:
         return own.select(key, "node", F.col("node").alias("component"))
     return own.select(key, "node").join(roots, "node", "left").select(key, "node", F.coalesce("root", "node").alias("component"))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from spanwise.llm import simhash
-from spanwise.llm.components import components
+from spanwise.llm.components import components, thinned
 from spanwise.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, fp string, anchor int"
@@ -113,3 +113,18 @@ def test_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     found = {r.node: r.root for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_links_do_not_grow_with_tasks(spark):
+    """Trees over the same nodes from many tasks are brought down to about one link for each node."""
+    rng = random.Random(5)
+    links = [(100, 101), (7, 7), (None, 3)]
+    for _ in range(40):
+        order = rng.sample(range(300, 600), 300)
+        for part in (order[i:i + 30] for i in range(0, 300, 30)):
+            links += [(min(part), x) for x in part if x != min(part)]
+    df = spark.createDataFrame(links, "a long, b long")
+    few = thinned(df).collect()
+    assert len(set(links)) > 5000 and len(few) < 2 * 302
+    found = {r.node: r.root for r in components(df).collect()}
+    assert found == {**{i: 300 for i in range(300, 600)}, 100: 100, 101: 100}
