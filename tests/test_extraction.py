@@ -238,6 +238,20 @@ def test_many_records_get_more_tasks(spark, sf_dir, monkeypatch):
     assert rows(many) == rows(cohort_extract(records, lists, rec.DATES))
 
 
+def test_tasks_of_many_records_are_not_put_together(spark, monkeypatch):
+    """Where the session names more partitions than the records need, a step over many of them keeps them all."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        people = spark.range(1000).withColumnRenamed("id", "patient_id")
+        days = session.dealt(people, session.tasks_for(spark, 1000), "patient_id").groupBy("patient_id").count()
+        assert days.select(F.spark_partition_id()).distinct().count() == 32
+        assert session.tasks_for(spark, 100) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_listed_codes_go_below_joins(spark, sf_dir):
     """Only the parts with a listed code are joined to the order lines."""
     tagged = ft.tag_by_codelist(rec.medications(spark, sf_dir), rec.codelists(spark), ["immunosuppression_medication"])
