@@ -252,6 +252,57 @@ def test_tasks_of_many_records_are_not_put_together(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Many partitions of the session do not cut a step into many more tasks than cores; more records do."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    before, cores = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(100 * cores))
+    try:
+        assert session.tasks_for(spark, 1000) == session.CORE_TASKS * cores
+        assert session.tasks_for(spark, 100 * 50 * cores) == 50 * cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tests_outside_all_windows_are_left_out(spark):
+    """Each rule keeps the records of its own windows: an early test counts only if it is positive."""
+    index = spark.createDataFrame([(1, day(100))], "patient_id long, dose_2 date")
+    late, until = F.col("dose_2"), F.date_add("dose_2", 50)
+    near = ft.reach(index, [Feature("n", "any", "count", late, until)], [Feature("d", "positive", "first_date", upper=until)])
+    records = spark.createDataFrame(
+        [(1, day(10), False), (1, day(20), True), (1, day(30), None), (1, day(100), False), (1, day(150), None), (1, day(151), True), (1, None, True)],
+        "patient_id long, event_date date, positive boolean")
+    rules = {"any": near.on(0), "positive": near.on(1) & F.col("positive")}
+    kept = near.cut(records, wanted=rules["any"] | rules["positive"])
+    assert sorted(r.event_date for r in kept.collect()) == [day(20), day(100), day(150)]
+    assert sorted(tuple(r) for r in ft.fold_rules(records, rules).collect()) == [
+        (1, day(20), "positive", 1), (1, day(100), "any", 1), (1, day(150), "any", 1)]
+
+
+def test_stages_hold_few_sorts_and_aggregates(spark, sf_dir, monkeypatch):
+    """Doses are stored before registrations are joined, so that their sorts and aggregations are not held by the same tasks."""
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    records, plans = rec.records(spark, sf_dir), {}
+    tasks = record_tasks(records)
+
+    def stage(df, label):
+        plans[label] = df._jdf.queryExecution().toString()
+        return snapshot_by(df, label, "patient_id", tasks)
+
+    cohort_extract(records, rec.codelists(spark), rec.DATES, stage, tasks)
+    assert list(plans) == ["doses", "index", "known"]
+    assert "Window" in plans["doses"] and "Window" not in plans["index"]
+
+
+def test_most_frequent_code_of_many_records_is_dealt(spark):
+    """Counts of a person's codes are spread over the named tasks, like the people."""
+    records = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "c"), (3, None), (None, "c")], "patient_id long, code string")
+    found = ft.most_frequent_code(records, "code", "top", 7)
+    assert sorted((r.patient_id or 0, r.top) for r in found.collect()) == [(0, "c"), (1, "b"), (2, "c")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 7)") == plan.count("hashpartitioning(")
+
+
 def test_listed_codes_go_below_joins(spark, sf_dir):
     """Only the parts with a listed code are joined to the order lines."""
     tagged = ft.tag_by_codelist(rec.medications(spark, sf_dir), rec.codelists(spark), ["immunosuppression_medication"])
